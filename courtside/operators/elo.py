@@ -86,7 +86,8 @@ def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows:
         return _replay(pdf, dict(zip(known["team"], known["rating"])), config)[0]
 
     def run(fn, known: DataFrame, schema: str) -> DataFrame:
-        return rows.groupBy(*block).cogroup(known.groupBy(*block)).applyInPandas(fn, schema)
+        other = known.select(F.col("gender").alias("g"), F.col("block").alias("blk"), "team", "rating")
+        return rows.groupBy(*block).cogroup(other.groupBy("g", "blk")).applyInPandas(fn, schema)
 
     order = Window.partitionBy("gender", "team").orderBy("block")
     while True:
@@ -94,8 +95,8 @@ def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows:
         moved = left.select(
             *block, "team", F.coalesce(F.lag("rating").over(order), F.lit(config.initial_rating)).alias("rating"))
         moved = cut(moved)
-        gap = (moved.join(start.withColumnRenamed("rating", "_old"), [*block, "team"])
-               .agg(F.max(F.abs(F.col("rating") - F.col("_old")))).first()[0])
+        both = moved.unionByName(start).groupBy(*block, "team")
+        gap = (both.agg((F.max("rating") - F.min("rating")).alias("gap")).agg(F.max("gap"))).first()[0]
         start = moved
         if gap is None or gap <= tolerance:
             break
