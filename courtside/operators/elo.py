@@ -59,11 +59,12 @@ _HISTORY_SCHEMA = "seq bigint, " + ", ".join(f"{c} double" for c in HISTORY)
 
 
 def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS,
-                tolerance: float = 1e-9) -> DataFrame:
+                tolerance: float = 1e-9, largest: int | None = None) -> DataFrame:
     """seq plus ratings before and after each match and the chance given to side a."""
     slim = matches.select("gender", F.unix_date("date").alias("date"), F.col("seq").cast("bigint").alias("seq"), "team_a", "team_b",
                           (F.col("winner") == "team_a").alias("a_won"))
-    largest = slim.groupBy("gender").count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = slim.groupBy("gender").count().agg(F.max("count")).first()[0] or 0
     if largest <= block_rows:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             return _replay(pdf, {}, config)[0]

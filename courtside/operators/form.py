@@ -65,9 +65,10 @@ def _with_carry(rows: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def team_form(long: DataFrame, windows: tuple[int, ...] = WINDOWS, budget: int = ROW_BUDGET) -> DataFrame:
+def team_form(long: DataFrame, windows: tuple[int, ...] = WINDOWS, budget: int = ROW_BUDGET,
+              largest: int | None = None) -> DataFrame:
     """Form columns for every row of the long frame, from earlier rows of the same team only."""
-    pieces = cut_hot_groups(long, TEAM, budget=budget)
+    pieces = cut_hot_groups(long, TEAM, budget=budget, largest=largest)
     if pieces.split:
         rows = _with_carry(pieces.rows, max(windows))
     else:

@@ -21,10 +21,10 @@ def meetings(matches: DataFrame) -> DataFrame:
     )
 
 
-def head_to_head(matches: DataFrame, budget: int = ROW_BUDGET) -> DataFrame:
+def head_to_head(matches: DataFrame, budget: int = ROW_BUDGET, largest: int | None = None) -> DataFrame:
     """seq, h2h_matches_played, h2h_win_rate_a; the rate is null while the pair has not met."""
     met = meetings(matches).withColumn("lo_won", (F.col("winner_team") == F.col("lo")).cast("int"))
-    pieces = cut_hot_groups(met, PAIR, budget=budget)
+    pieces = cut_hot_groups(met, PAIR, budget=budget, largest=largest)
     piece = [*PAIR, "piece"]
     rows = pieces.rows
     if pieces.split:

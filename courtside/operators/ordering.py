@@ -48,6 +48,30 @@ def with_position(df: DataFrame, keys: list[str], out: str = "pos", date: str =
     )
 
 
+@dataclass(frozen=True)
+class GroupSizes:
+    """Rows in the largest pool, the largest team and the largest pair."""
+
+    pool: int
+    team: int
+    pair: int
+
+
+def group_sizes(matches: DataFrame) -> GroupSizes:
+    """One pass over the matches; teams and pools are summed from the pair counts."""
+    pairs = matches.groupBy(
+        "gender", F.least("team_a", "team_b").alias("lo"), F.greatest("team_a", "team_b").alias("hi")
+    ).agg(F.count("*").alias("n"))
+    sides = pairs.select("gender", "n", "lo", F.explode(F.array("lo", "hi")).alias("team"))
+    teams = sides.groupBy("gender", "team").agg(
+        F.sum("n").alias("team_n"), F.sum(F.when(F.col("team") == F.col("lo"), F.col("n"))).alias("as_lo"),
+        F.max("n").alias("pair_n"))
+    pools = teams.groupBy("gender").agg(
+        F.sum("as_lo").alias("pool_n"), F.max("team_n").alias("team_n"), F.max("pair_n").alias("pair_n"))
+    top = pools.agg(F.max("pool_n"), F.max("team_n"), F.max("pair_n")).first()
+    return GroupSizes(*(value or 0 for value in top))
+
+
 @dataclass
 class Pieces:
     """Rows tagged with ``piece``; ``split`` tells whether any group was cut at all."""
@@ -57,15 +81,17 @@ class Pieces:
 
 
 def cut_hot_groups(df: DataFrame, keys: list[str], date: str = "date", seq: str = "seq",
-                   budget: int = ROW_BUDGET) -> Pieces:
+                   budget: int = ROW_BUDGET, largest: int | None = None) -> Pieces:
     """Tag rows with a ``piece`` number so that (keys, piece) never holds over 2 * budget rows.
 
     Group sizes are counted first (pre-aggregated on the map side).  With no group over the
     budget all rows keep piece 0 and a plain window does.  Otherwise only the large groups are
     cut along their day counts; a day that is itself too large is cut along seq ranges.
+    A caller that knows the size of the largest group passes it as ``largest``.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= budget:
         return Pieces(df.withColumn("piece", F.lit(0).cast("bigint")), False)
 

@@ -9,7 +9,7 @@ from courtside.operators.context import add_importance, add_tournament_progress
 from courtside.operators.elo import BLOCK_ROWS, EloConfig, elo_history
 from courtside.operators.form import WINDOWS, form_by_match, long_form, team_form
 from courtside.operators.h2h import head_to_head
-from courtside.operators.ordering import ROW_BUDGET
+from courtside.operators.ordering import ROW_BUDGET, group_sizes
 
 
 def feature_columns(windows: tuple[int, ...] = WINDOWS) -> list[str]:
@@ -43,11 +43,12 @@ def build_features(matches: DataFrame, competitions: DataFrame, elo: EloConfig =
     Each part is computed on slim columns and comes back keyed by seq, so the joins below all
     hash on the same key.
     """
-    form = form_by_match(team_form(long_form(matches), windows, budget), windows)
+    sizes = group_sizes(matches)
+    form = form_by_match(team_form(long_form(matches), windows, budget, sizes.team), windows)
     result = (
-        matches.join(elo_history(matches, elo, block_rows), "seq")
+        matches.join(elo_history(matches, elo, block_rows, largest=sizes.pool), "seq")
         .join(form, "seq")
-        .join(head_to_head(matches, budget), "seq")
+        .join(head_to_head(matches, budget, sizes.pair), "seq")
     )
     result = add_tournament_progress(add_importance(result, competitions))
     return add_diffs(result, windows)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators.ordering import with_position
-from courtside.schemas import COMPETITION
+from courtside.schemas import COMPETITION, columns
+from courtside.session import small_table
 
 # The competitions of the sample, id prefix and level.
 SAMPLE_LEVELS = {
@@ -18,8 +19,17 @@ SAMPLE_LEVELS = {
 }
 
 
+# Declared, so that reading needs no pass over the files to find the schema.
+TABLES = {
+    "orders": columns("o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string"),
+    "customer": columns("c_custkey bigint, c_nationkey int"),
+    "nation": columns("n_nationkey int, n_name string, n_regionkey int"),
+    "region": columns("r_regionkey int, r_name string"),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def base_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def competitions(spark: SparkSession) -> DataFrame:
     rows = [(f"{prefix}_{g.upper()}", f"{prefix}_{g.upper()}", g, level, False)
             for prefix, level in SAMPLE_LEVELS.items() for g in ("men", "women")]
-    return spark.createDataFrame(rows, COMPETITION)
+    return small_table(spark, rows, COMPETITION)
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

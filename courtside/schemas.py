@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
+    TimestampNTZType,
 )
 
 _TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType(),
-          "boolean": BooleanType(), "date": DateType()}
+          "boolean": BooleanType(), "date": DateType(), "timestamp_ntz": TimestampNTZType()}
 
 
 def columns(text: str) -> StructType:

@@ -36,6 +36,19 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
     return spark
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """A local relation: Spark knows its size, so joins with it are planned as broadcasts."""
+    def text(v, kind):
+        cast = kind.simpleString()
+        if v is None:
+            return f"CAST(NULL AS {cast})"
+        quoted = str(v).replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{quoted}' AS {cast})"
+    kinds = [f.dataType for f in schema.fields]
+    values = ", ".join("(" + ", ".join(text(v, k) for v, k in zip(row, kinds)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in schema.names)})")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, set here only when unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
