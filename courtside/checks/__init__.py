@@ -1,5 +1,5 @@
 """Registered queries, each with the SQL that must give the same rows."""
 
-from courtside.checks import ingest, windows
+from courtside.checks import evaluation, ingest, windows
 
-ALL_CHECKS = (windows, ingest)
+ALL_CHECKS = (windows, ingest, evaluation)

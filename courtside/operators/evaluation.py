@@ -106,7 +106,7 @@ def leak_violations(provenance: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str, direct_rows: int = 5_000_000, bins: int = 4096) -> float | None:
+def exact_median(df: DataFrame, column: str, direct_rows: int = 1_000_000, bins: int = 4096) -> float | None:
     """Median of a column of any size: narrow the range by histograms, then sort what is left."""
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
     n, lo, hi = values.agg(F.count("*"), F.min("v"), F.max("v")).first()

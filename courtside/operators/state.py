@@ -51,6 +51,6 @@ def reference_date(states: DataFrame) -> DataFrame:
 
 
 def known_teams(ratings: DataFrame) -> DataFrame:
-    """One row per pool: the sorted team list and its length (team lists are short by nature)."""
-    return ratings.groupBy("gender").agg(F.array_sort(F.collect_set("team")).alias("teams")).withColumn(
-        "n_teams", F.size("teams").cast("bigint"))
+    """gender, team, n_teams: the teams of each pool as rows, with the size of the pool."""
+    teams = ratings.select("gender", "team").distinct()
+    return teams.join(teams.groupBy("gender").agg(F.count("*").alias("n_teams")), "gender")
