@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.schemas import SCORES
@@ -106,31 +106,46 @@ def leak_violations(provenance: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str, direct_rows: int = 1_000_000, bins: int = 4096) -> float | None:
-    """Median of a column of any size: narrow the range by histograms, then sort what is left."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    n, lo, hi = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    ranks = sorted({(n - 1) // 2, n // 2})
-
-    def at(rank: int, low: float, high: float) -> float:
-        part, below = values, 0
-        size = n
-        while size > direct_rows and high > low:
-            width = (high - low) / bins
-            number = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))
-            counts = sorted((r["b"], r["count"], r["mn"], r["mx"]) for r in part.groupBy(number.alias("b")).agg(
-                F.count("*").alias("count"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
-            for _, count, mn, mx in counts:
-                if rank < below + count:
-                    size, low, high = count, mn, mx
-                    break
-                below += count
-            part = values.filter(F.col("v").between(low, high))
-        if high == low:
-            return low
-        return part.agg(F.expr(f"array_sort(collect_list(v))[{rank - below}]")).first()[0]
-
-    picked = [at(rank, lo, hi) for rank in ranks]
-    return sum(picked) / len(picked)
+def exact_medians(df: DataFrame, columns: list[str], direct_rows: int = 1_000_000, bins: int = 4096) -> dict:
+    """Medians of columns of any size; None for a column without values.
+
+    Columns with few values are aggregated directly, all in one pass.  For the others the range
+    that holds the median is narrowed by histograms until few values are left in it.
+    """
+    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{tag}_{c}")
+                     for c in columns for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    small = [c for c in columns if 0 < stats[f"n_{c}"] <= direct_rows]
+    out = dict.fromkeys(columns)
+    if small:
+        row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in small]).first()
+        out.update({c: row[c] for c in small})
+    for c in columns:
+        if stats[f"n_{c}"] > direct_rows:
+            values = df.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
+            n = stats[f"n_{c}"]
+            ranks = sorted({(n - 1) // 2, n // 2})
+            found = [_value_at(values, r, n, stats[f"lo_{c}"], stats[f"hi_{c}"], direct_rows, bins) for r in ranks]
+            out[c] = sum(found) / len(found)
+    return out
+
+
+def _value_at(values: DataFrame, rank: int, size: int, low: float, high: float, direct_rows: int, bins: int) -> float:
+    """The value at a zero-based rank, by repeated histograms of at most ``bins`` counts."""
+    part, below = values, 0
+    while size > direct_rows and high > low:
+        number = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
+        counts = part.groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: r["b"]):
+            if rank < below + r["n"]:
+                size, low, high = r["n"], r["lo"], r["hi"]
+                break
+            below += r["n"]
+        part = values.filter(F.col("v").between(low, high))
+    return low if high == low else _ranked(part, rank - below)
+
+
+def _ranked(part: DataFrame, rank: int) -> float:
+    """The value at a rank among few values: running counts over the distinct ones."""
+    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = part.groupBy("v").count().withColumn("upto", F.sum("count").over(order))
+    return counts.filter(F.col("upto") > rank).agg(F.min("v")).first()[0]
