@@ -9,8 +9,8 @@ from courtside.operators.context import add_importance, add_tournament_progress,
 from courtside.operators.elo import elo_history, expected_score, final_ratings
 from courtside.operators.form import form_by_match, long_form, team_form
 from courtside.operators.h2h import head_to_head
-from courtside.plans.features import FEATURE_COLUMNS, add_diffs, build_features
-from courtside.plans.sample import base_matches, competitions, matches
+from courtside.plans.features import FEATURE_COLUMNS, add_diffs
+from courtside.plans.sample import base_matches, competitions, feature_frame, matches
 
 
 def _form(spark, sf):
@@ -145,5 +145,5 @@ def w15(spark, sf):
        round(s10,6) set_margin_avg_last10_diff
        from elo join two using (seq) join h2hr using (seq) join imp using (seq)""", recursive=True)
 def w16(spark, sf):
-    features = build_features(matches(spark, sf), competitions(spark))
+    features = feature_frame(spark, sf)
     return features.select("seq", "match_id", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURE_COLUMNS])
