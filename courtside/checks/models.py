@@ -99,14 +99,14 @@ def l10(spark, sf):
 @check("l11_calibrated_model")
 def l11(spark, sf):
     rows = cut(_elo_rows(spark, sf))
-    folded = assign_folds(rows)
+    folded = cut(assign_folds(rows, n_folds=3))
     models = {"platt": per_pool(calibrated(elo_logistic, Platt)), "isotonic": per_pool(calibrated(elo_logistic, Isotonic))}
-    return summarize(evaluate(folded, models), ["gender", "model", "fold"])
+    return summarize(evaluate(folded, models, n_folds=3), ["gender", "model", "fold"])
 
 
 @check("l12_model_comparison")
 def l12(spark, sf):
-    folded = cut(assign_folds(_features(spark, sf)))
+    folded = cut(assign_folds(_features(spark, sf), n_folds=3))
     models = {
         "elo": elo_predictor,
         "bradley_terry": per_pool(bradley_terry),
@@ -114,7 +114,7 @@ def l12(spark, sf):
         "win_trees": per_pool(win_trees(maxIter=3)),
         "ensemble": per_pool(average_ensemble({"elo": elo_predictor, "bt": bradley_terry})),
     }
-    return summarize(evaluate(folded, models, n_folds=5), ["gender", "model", "fold"])
+    return summarize(evaluate(folded, models, n_folds=3), ["gender", "model", "fold"])
 
 
 @check("s10_run_metadata", MATCHES,

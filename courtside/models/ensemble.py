@@ -44,10 +44,11 @@ def average_ensemble(components: dict[str, Predictor], weights: dict[str, float]
 def calibrated(base: Predictor, calibrator: Callable, fraction: float = 0.2) -> Predictor:
     """Fit the base on the earlier part of the training rows and the calibrator on the later part."""
     def factory(train: DataFrame) -> Predict:
-        extra = [c for c in ("pos", "pool_n") if c in train.columns]
-        split = tail_split(train.drop(*extra), fraction)
+        split = tail_split(train, fraction).persist()
         predict = base(split.filter(~F.col("held_out")).drop("held_out"))
-        tail = predict(split.filter("held_out")).select("p", label().alias("y"))
+        tail = predict(split.filter("held_out")).select("p", label().alias("y")).persist()
         fitted = calibrator().fit(tail)
+        tail.unpersist()
+        split.unpersist()
         return lambda test: fitted.transform(predict(test))
     return factory

@@ -72,6 +72,15 @@ def for_each_training_fold(folded: DataFrame, n_folds: int = 5) -> DataFrame:
 
 
 def tail_split(df: DataFrame, fraction: float, keys: tuple[str, ...] = ("gender",)) -> DataFrame:
-    """held_out marks the last part of each pool; the first floor(n * (1 - fraction)) rows stay in."""
+    """held_out marks the last part of each pool; the first floor(n * (1 - fraction)) rows stay in.
+
+    The training rows of a fold are the first rows of their pool, so their positions (pos) are
+    used as they are.
+    """
     cut = F.floor(F.col("pool_n") * F.lit(1 - fraction))
-    return _with_count(df, list(keys)).withColumn("held_out", F.col("pos") >= cut)
+    if "pos" in df.columns:
+        counts = df.groupBy(*keys).agg(F.count("*").alias("pool_n"))
+        placed = df.drop("pool_n").join(counts, list(keys))
+    else:
+        placed = _with_count(df, list(keys))
+    return placed.withColumn("held_out", F.col("pos") >= cut)
