@@ -16,6 +16,7 @@ from courtside.operators.folds import assign_folds, fold_bounds, tail_split
 from courtside.operators.form import long_form, recent_dates
 from courtside.plans.sample import base_matches
 from courtside.plans.walkforward import elo_predictor, evaluate, fold_metrics
+from courtside.session import cut
 
 FOLDS = """fp as (select *, row_number() over (partition by gender order by date, seq)-1 pos, count(*) over (partition by gender) pn from {src}),
 fs as (select *, greatest(1, floor(pn*0.3::double)::bigint) ts from fp),
@@ -119,7 +120,7 @@ def a7(spark, sf):
        count(*) n, round({_loss('y','p')},6) log_loss, round(avg((p-y)*(p-y)),6) brier_score,
        round(avg(cast(cast(p>=0.5 as double)=y as double)),6) accuracy from preds group by gender, fold""", recursive=True)
 def a8(spark, sf):
-    folded = assign_folds(_elo_rows(spark, sf))
+    folded = cut(assign_folds(_elo_rows(spark, sf)))
     metrics = fold_metrics(evaluate(folded, {"elo": elo_predictor}), folded)
     return metrics.select("gender", "model", "fold", "train_size", "n",
                           *[F.round(c, 6).alias(c) for c in ("log_loss", "brier_score", "accuracy")])

@@ -55,9 +55,9 @@ kept as (select * from judged where reason is null
   qualify row_number() over (partition by gd, dt, least(team_a,team_b), greatest(team_a,team_b) order by rid)=1)"""
 
 
-def _clean(spark, sf):
+def _clean(spark, sf, materialise=False):
     raw = raw_rows(spark, sf)
-    return raw, clean(raw, aliases(spark, sf), competitions(spark))
+    return raw, clean(raw, aliases(spark, sf), competitions(spark), materialise=materialise)
 
 
 def _tournament_names():
@@ -241,7 +241,7 @@ def v3(spark, sf):
        select 'rejected', reason, count(*) from judged where reason is not null group by reason union all
        select 'duplicate', null, (select count(*) from raw)-(select count(*) from kept)-(select count(*) from judged where reason is not null)""")
 def v5(spark, sf):
-    return cleaning_report(*_clean(spark, sf))
+    return cleaning_report(*_clean(spark, sf, materialise=True))
 
 
 @check("v6_unresolved_names", MATCHES, RAW, ALIASES, COMPETITIONS, JUDGED,
@@ -346,7 +346,7 @@ def a2(spark, sf):
        """select (select count(*) from raw)-(select count(*) from a1) source_copies,
        (select count(*) from judged where reason is null)-(select count(*) from kept) meeting_copies""")
 def a3(spark, sf):
-    raw, done = _clean(spark, sf)
+    raw, done = _clean(spark, sf, materialise=True)
     source = first_per_source_id(raw).agg(F.count("*").alias("n")).unionAll(
         raw.agg(-F.count("*"))).agg((-F.sum("n")).alias("source_copies"))
     meeting = done.matches.agg(F.count("*").alias("n")).unionAll(

@@ -11,6 +11,7 @@ from courtside.functions.dates import parse_date, plausible
 from courtside.functions.text import name_key, stage_of
 from courtside.operators.names import distinct_names, resolve_names
 from courtside.schemas import GENDERS, MATCH
+from courtside.session import cut
 
 
 def first_by(df: DataFrame, keys: list[Column | str], seq: str = "seq") -> DataFrame:
@@ -102,11 +103,16 @@ class Cleaned:
 
 
 def clean(raw: DataFrame, aliases: DataFrame, competitions: DataFrame, overrides: DataFrame | None = None,
-          countries: DataFrame | None = None) -> Cleaned:
-    """Copies out, names and competitions resolved, rules checked in order, repeats out."""
+          countries: DataFrame | None = None, materialise: bool = False) -> Cleaned:
+    """Copies out, names and competitions resolved, rules checked in order, repeats out.
+
+    ``materialise`` writes the judged rows once, for callers that use more than one part.
+    """
     unique = first_per_source_id(raw)
     resolved = resolve_names(distinct_names(unique), aliases, overrides, countries)
     judged = judge(unique, resolved, competitions)
+    if materialise:
+        judged = cut(judged)
     kept = first_per_meeting(judged.filter("reason IS NULL"))
     matches = kept.select("seq", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in MATCH.fields])
     rejected = judged.filter("reason IS NOT NULL").select("source", "source_match_id", "reason")
