@@ -120,7 +120,7 @@ def a7(spark, sf):
        count(*) n, round({_loss('y','p')},6) log_loss, round(avg((p-y)*(p-y)),6) brier_score,
        round(avg(cast(cast(p>=0.5 as double)=y as double)),6) accuracy from preds group by gender, fold""", recursive=True)
 def a8(spark, sf):
-    folded = cut(assign_folds(_elo_rows(spark, sf)))
+    folded = cut(assign_folds(_elo_rows(spark, sf)), "gender", "test_fold")
     metrics = fold_metrics(evaluate(folded, {"elo": elo_predictor}), folded)
     return metrics.select("gender", "model", "fold", "train_size", "n",
                           *[F.round(c, 6).alias(c) for c in ("log_loss", "brier_score", "accuracy")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.checks.ingest import ALIASES, _clean
+from courtside.checks.ingest import ALIASES, JUDGED, RAW, _clean
 from courtside.checks.registry import COMPETITIONS, ELO, FORM, LONG, MATCHES, check
 from courtside.checks.scoring import FIXTURES, FX, RATING, STATE, fixtures
 from courtside.operators.cleaning import clean, valid_sets
@@ -203,7 +203,11 @@ def s4(spark, sf):
     return keys.unionByName(comps)
 
 
-@check("s5_match_sink")
+@check("s5_match_sink", MATCHES, RAW, ALIASES, COMPETITIONS, JUDGED,
+       """select source||':'||source_match_id match_id, dt as date, gd gender, competition_id competition, competition_id, stg stage, team_a, team_b,
+       coalesce(team_a_score,0)::int team_a_score, coalesce(team_b_score,0)::int team_b_score, sets_a, sets_b,
+       case when sets_a>sets_b then 'team_a' else 'team_b' end winner, null::varchar venue, null::varchar country_host, true neutral, source, source_match_id,
+       null::varchar tournament_no, null::int no_in_tournament from kept""")
 def s5_sink(spark, sf):
     path = scratch_path(spark, "matches")
     write_matches(_clean(spark, sf)[1].matches, path, f"{path}-csv")

@@ -30,7 +30,7 @@ QUICK_FOREST = {"numTrees": 10, "maxDepth": 4}
 
 
 def _features(spark, sf):
-    return cut(feature_frame(spark, sf))
+    return cut(feature_frame(spark, sf), "gender")
 
 
 def _by_pool(rows, fit_and_score):
@@ -40,8 +40,9 @@ def _by_pool(rows, fit_and_score):
 @check("l1_bradley_terry_strengths")
 def l1(spark, sf):
     m = base_matches(spark, sf)
-    return _by_pool(m, lambda rows: BradleyTerry().fit(rows).strengths.join(
-        rows.select("gender").limit(1), F.lit(True)).select("gender", "team", F.round("strength", 6).alias("strength")))
+    parts = [BradleyTerry().fit(m.filter(F.col("gender") == g)).strengths.select(
+        F.lit(g).alias("gender"), "team", F.round("strength", 6).alias("strength")) for g in GENDERS]
+    return parts[0].unionByName(parts[1])
 
 
 @check("l2_elo_logistic")
@@ -99,14 +100,14 @@ def l10(spark, sf):
 @check("l11_calibrated_model")
 def l11(spark, sf):
     rows = cut(_elo_rows(spark, sf))
-    folded = cut(assign_folds(rows, n_folds=3))
+    folded = cut(assign_folds(rows, n_folds=3), "gender", "test_fold")
     models = {"platt": per_pool(calibrated(elo_logistic, Platt)), "isotonic": per_pool(calibrated(elo_logistic, Isotonic))}
     return summarize(evaluate(folded, models, n_folds=3), ["gender", "model", "fold"])
 
 
 @check("l12_model_comparison")
 def l12(spark, sf):
-    folded = cut(assign_folds(_features(spark, sf), n_folds=3))
+    folded = cut(assign_folds(_features(spark, sf), n_folds=3), "gender", "test_fold")
     models = {
         "elo": elo_predictor,
         "bradley_terry": per_pool(bradley_terry),

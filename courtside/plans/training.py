@@ -46,7 +46,7 @@ def run_metadata(features: DataFrame, columns: list[str] = FEATURE_COLUMNS) -> D
 def train_all(matches: DataFrame, competitions: DataFrame, win: dict | None = None, margin: dict | None = None,
               points: dict | None = None) -> Bundle:
     """Ratings and features are computed once and shared by state, metadata and the three models."""
-    features = cut(build_features(matches, competitions))
+    features = cut(build_features(matches, competitions), "gender")
     models = {}
     for g in GENDERS:
         mine = features.filter(F.col("gender") == g)

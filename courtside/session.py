@@ -69,9 +69,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame reliably, so that later stages do not depend on its lineage."""
-    shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write a frame once to the shared folder and go on from the written table.
+
+    Later stages no longer depend on the lineage (a lost executor rereads files), the table is
+    columnar, its size is known to the planner, and ``partition_by`` columns are pruned on reading.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
