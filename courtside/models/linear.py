@@ -41,10 +41,11 @@ class BradleyTerry:
         lo, hi = F.least("team_a", "team_b"), F.greatest("team_a", "team_b")
         winner = F.when(F.col("winner") == "team_a", F.col("team_a")).otherwise(F.col("team_b"))
         pairs = matches.groupBy(lo.alias("lo"), hi.alias("hi"), (winner == lo).cast("double").alias("_y")).agg(
-            F.count("*").cast("double").alias("_w")).persist()
-        n, classes = pairs.agg(F.sum("_w"), F.count_distinct("_y")).first()
+            F.count("*").cast("double").alias("_n"), F.sum((F.col("winner") == "team_a").cast("double")).alias("_a")
+        ).persist()
+        n, a_wins = pairs.agg(F.sum("_n"), F.sum("_a")).first()
         teams = pairs.select(F.explode(F.array("lo", "hi")).alias("team")).distinct()
-        if not n or classes < 2:
+        if not n or a_wins in (0.0, n):
             self.strengths = teams.withColumn("strength", F.lit(0.0))
             return self
         names = [r["team"] for r in teams.orderBy("team").collect()]
@@ -55,7 +56,12 @@ class BradleyTerry:
         def contrast(first, second):
             return Vectors.sparse(size, {place[first]: 1.0, place[second]: -1.0})
 
-        model = _penalised(n, self.c, False).setWeightCol("_w").fit(pairs.withColumn("_x", contrast("lo", "hi")))
+        # Half of each pair is seen from the other side: the same likelihood, and both labels occur.
+        half = F.col("_n") / 2
+        both = pairs.select(F.inline(F.array(
+            F.struct(F.col("lo").alias("one"), F.col("hi").alias("two"), F.col("_y"), half.alias("_w")),
+            F.struct(F.col("hi").alias("one"), F.col("lo").alias("two"), (1 - F.col("_y")).alias("_y"), half.alias("_w")))))
+        model = _penalised(n, self.c, False).setWeightCol("_w").fit(both.withColumn("_x", contrast("one", "two")))
         rows = [(name, float(v)) for name, v in zip(names, model.coefficients.toArray())]
         self.strengths = matches.sparkSession.createDataFrame(rows, "team string, strength double")
         pairs.unpersist()

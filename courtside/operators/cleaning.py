@@ -38,14 +38,18 @@ def first_per_meeting(valid: DataFrame) -> DataFrame:
     return first_by(valid, natural_key())
 
 
-def competition_lookup(rows: DataFrame, competitions: DataFrame) -> DataFrame:
-    """rows plus competition_id and competition, matched on the normalised name and the gender."""
-    keys = rows.select("competition_name").distinct().withColumn("_ckey", name_key(F.col("competition_name")))
+def competition_lookup(rows: DataFrame, competitions: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """rows plus competition_id and competition, matched on the normalised name and the gender.
+
+    The distinct names are taken from ``named`` (any frame that covers those of ``rows`` and is
+    cheaper to read), so that the rows themselves are not computed twice.
+    """
+    keys = (rows if named is None else named).select("competition_name").distinct().withColumn("_ckey", name_key(F.col("competition_name")))
     dim = (competitions.withColumn("_ckey", name_key(F.col("name")))
            .select("_ckey", F.col("gender").alias("_g"), F.col("name").alias("competition"), "competition_id"))
-    named = keys.join(dim, "_ckey").drop("_ckey").withColumnRenamed("competition_name", "_cname")
-    hit = rows["competition_name"].eqNullSafe(named["_cname"]) & (rows["gender"] == named["_g"])
-    return rows.join(named, hit, "left").drop("_cname", "_g")
+    known = keys.join(dim, "_ckey").drop("_ckey").withColumnRenamed("competition_name", "_cname")
+    hit = (F.col("competition_name") == F.col("_cname")) & (F.col("gender") == F.col("_g"))
+    return rows.join(known, hit, "left").drop("_cname", "_g")
 
 
 def match_faults(sets_a: Column, sets_b: Column, score_a: Column, score_b: Column, team_a: Column,
@@ -61,15 +65,18 @@ def match_faults(sets_a: Column, sets_b: Column, score_a: Column, score_b: Colum
     )
 
 
-def judge(rows: DataFrame, resolved: DataFrame, competitions: DataFrame) -> DataFrame:
-    """Every row with its normalised columns and the first reason against it (null when valid)."""
+def judge(rows: DataFrame, resolved: DataFrame, competitions: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Every row with its normalised columns and the first reason against it (null when valid).
+
+    ``raw`` is the frame the rows were picked from, read again for the distinct names.
+    """
     for side in ("a", "b"):
         names = resolved.select(F.col("source").alias("_src"), F.col("name").alias("_name"),
                                 F.col("team_id").alias(f"team_{side}"))
         rows = rows.join(names, (F.col("source") == F.col("_src")) & (F.col(f"team_{side}_name") == F.col("_name")),
                          "left").drop("_src", "_name")
     rows = rows.withColumn("gender", F.lower(F.trim("gender")))
-    rows = competition_lookup(rows, competitions)
+    rows = competition_lookup(rows, competitions, raw)
     date = parse_date(F.col("date_str"))
     rows = rows.withColumns({
         "date": date,
@@ -109,14 +116,15 @@ def clean(raw: DataFrame, aliases: DataFrame, competitions: DataFrame, overrides
     ``materialise`` writes the judged rows once, for callers that use more than one part.
     """
     unique = first_per_source_id(raw)
-    resolved = resolve_names(distinct_names(unique), aliases, overrides, countries)
-    judged = judge(unique, resolved, competitions)
+    resolved = resolve_names(distinct_names(raw), aliases, overrides, countries)
+    judged = judge(unique, resolved, competitions, raw)
     if materialise:
         judged = cut(judged)
     kept = first_per_meeting(judged.filter("reason IS NULL"))
     matches = kept.select("seq", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in MATCH.fields])
     rejected = judged.filter("reason IS NOT NULL").select("source", "source_match_id", "reason")
-    return Cleaned(judged, matches, rejected, resolved)
+    used = resolved.join(distinct_names(judged if materialise else unique), ["source", "name"], "left_semi")
+    return Cleaned(judged, matches, rejected, used)
 
 
 def cleaning_report(raw: DataFrame, cleaned: Cleaned) -> DataFrame:

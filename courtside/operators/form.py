@@ -81,20 +81,19 @@ def team_form(long: DataFrame, windows: tuple[int, ...] = WINDOWS, budget: int =
     rows = rows.withColumn(
         "_pos", F.col("off_n") + F.sum(1 - F.col("ghost")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     real = F.col("ghost") == 0
-    rows = (
-        rows.withColumn("_last_win", F.greatest(
-            F.coalesce(F.max(F.when(real & (F.col("won") == 1), F.col("_pos"))).over(before), F.lit(0)),
-            F.col("off_win")))
-        .withColumn("_last_loss", F.greatest(
-            F.coalesce(F.max(F.when(real & (F.col("won") == 0), F.col("_pos"))).over(before), F.lit(0)),
-            F.col("off_loss")))
-        .withColumn("_prev_won", F.lag("won").over(w))
-        .withColumn("_prev_date", F.lag("date").over(w))
-    )
+
+    def last_place(won: int, carried: str):
+        place = F.max(F.when(real & (F.col("won") == won), F.col("_pos"))).over(before)
+        return F.greatest(F.coalesce(place, F.lit(0)), F.col(carried))
+
+    rolling = {}
     for n in windows:
         frame = w.rowsBetween(-n, -1)
-        rows = rows.withColumn(f"win_rate_last{n}", F.avg("won").over(frame))
-        rows = rows.withColumn(f"set_margin_avg_last{n}", F.avg(margin).over(frame))
+        rolling[f"win_rate_last{n}"] = F.avg("won").over(frame)
+        rolling[f"set_margin_avg_last{n}"] = F.avg(margin).over(frame)
+    rows = rows.withColumns({
+        "_last_win": last_place(1, "off_win"), "_last_loss": last_place(0, "off_loss"),
+        "_prev_won": F.lag("won").over(w), "_prev_date": F.lag("date").over(w), **rolling})
     played = F.col("_pos") - 1
     return (
         rows.filter(real)

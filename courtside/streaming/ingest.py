@@ -39,8 +39,8 @@ def merge_batch(batch: DataFrame, batch_id: int, out: str, source: str, aliases:
     raw = usable(translate(number_located(batch), source))
     seen = _earlier(spark, f"{out}/judged", _SEEN, batch_id)
     fresh = first_per_source_id(raw).join(seen, ["source", "source_match_id"], "left_anti")
-    resolved = resolve_names(distinct_names(fresh), aliases, overrides, countries)
-    judged = judge(fresh, resolved, competitions).drop("file", "line")
+    resolved = resolve_names(distinct_names(raw), aliases, overrides, countries)
+    judged = judge(fresh, resolved, competitions, raw).drop("file", "line")
     judged.write.mode("overwrite").parquet(f"{out}/judged/batch={batch_id}")
 
     stored = spark.read.parquet(f"{out}/judged/batch={batch_id}")
