@@ -70,6 +70,16 @@ def l5(spark, sf):
         "gender", "seq", F.round("p", 6).alias("p"))
 
 
+@check("s9_model_round_trip")
+def s9(spark, sf):
+    features = _features(spark, sf)
+    path = scratch_path(spark, "model")
+    WinTrees(maxIter=3).fit(features, FEATURE_COLUMNS).save(path)
+    loaded = WinTrees.load(path)
+    return loaded.transform(features).select(
+        "gender", "seq", F.round("p", 6).alias("p"), F.lit(",".join(loaded.feature_columns)).alias("features"))
+
+
 @check("l6_feature_importance")
 def l6(spark, sf):
     features = _features(spark, sf)

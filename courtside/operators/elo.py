@@ -6,7 +6,8 @@ block from the initial rating, each following round starts a block from the rati
 the earlier blocks left its teams.  Block 0 is right after one round, block 1 after two, and so
 on; as a result forgets its starting point after some matches, the start ratings stop moving
 long before the last block is reached.  The loop ends when no start rating moved by more than
-``tolerance``, so the outcome is the ordered replay itself, not an approximation of it.
+``tolerance``, so the outcome is the ordered replay itself, not an approximation of it.  The more
+matches each team plays inside a block, the fewer rounds it takes, so large blocks pay off.
 """
 
 from __future__ import annotations
