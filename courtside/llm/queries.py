@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from courtside.llm import decontam, language, packing, simhash, toxicity
+from courtside.llm import decontam, language, packing, quality, simhash, tokens, toxicity
 from courtside.llm.shared import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.with_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), "q")
+    return found.select("doc_id", *quality.columns(F.col("q")))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -45,6 +51,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokens.with_tokens(documents, public_tokenizers.path("byte_bpe_50k.json"), "n_tokens")
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
+                        (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 OP5_SQL = r"""with dw as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
 bw as (select item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
