@@ -38,7 +38,7 @@ class WordTokenizer:
     letters or with the file's special strings go through the library whole.
     """
 
-    KEEP = 300_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -49,26 +49,42 @@ class WordTokenizer:
         letters, numbers, space = some("L"), some("N"), r"\t-\r \x85\xa0"
         # The file's own pattern, its classes spelled out for Latin text.
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
-        self.other = re.compile("[^\x00-ɏ]|<\\||İ").search
+        self.other = re.compile("[^\x00-\u024f]|<\\||\u0130").search
+        size = self.library.get_vocab_size()
+        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if self.other(text):
-            return self._ids(text)
+    def _learn(self, words: list[str]) -> None:
+        """Look words up in the library, many in one call: a word's last token is marked in the vocabulary."""
+        if len(self.known) + len(words) > self.KEEP:
+            self.known.clear()
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            self.known.update((w, self._ids(w)) for w in words)
+            return
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0] + cuts, cuts))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [None if self.other(t) else self.split(t.lower()) for t in texts]
+        fresh = set().union(*(s for s in split if s)).difference(self.known)
+        if fresh and len(self.known) + len(fresh) > self.KEEP:
+            self.known.clear()
+            fresh = set().union(*(s for s in split if s))
+        if fresh:
+            self._learn(list(fresh))
         known = self.known
-        words = self.split(text.lower())
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.KEEP:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._ids(w)
-            return b"".join([known[w] for w in words])
+        return [self._ids(t) if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split)]
+
+    def batches(self, column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+        """The ids of every row of a string column; null is the empty text."""
+        for at in range(0, len(column), rows):
+            yield from self.encode([t or "" for t in column.slice(at, rows).to_pylist()])
 
 
 def with_pieces(df: DataFrame, tokenizer: str, name: str, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -77,8 +93,8 @@ def with_pieces(df: DataFrame, tokenizer: str, name: str, text: str = "text", le
         words = WordTokenizer(tokenizer)
         for column in batches:
             ends, start, size, crc = [0], [], [], []
-            for row in column:
-                ids = words.encode(row.as_py() or "") + b"\0\0\0\0"
+            for ids in words.batches(column):
+                ids += b"\0\0\0\0"
                 for at in range(0, len(ids), 4 * length):
                     part = ids[at:at + 4 * length]
                     start.append(at // 4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from courtside.llm import decontam, html, language, packing, quality, simhash, tokens, toxicity
+from courtside.llm import decontam, html, language, lm, packing, quality, simhash, tokens, toxicity
 from courtside.llm.shared import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op9_lm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learns = F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 5, 1)
+    found = lm.scored(documents, learns, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", in_fold(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
