@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from courtside.llm import decontam, html, language, lm, packing, quality, simhash, tokens, toxicity
+from courtside.llm import chat, decontam, html, language, lm, packing, quality, simhash, tokens, toxicity
 from courtside.llm.shared import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(n) for n, c in decontam.digest(F.col("hits")).items()])
 
 
+OP6_SQL = r"""with rows as (select conv_id, turn, role, text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from rows),
+e as (select *, len(role) + len(text) + 23
+   + len(regexp_extract_all(role || chr(0) || text, '(\|<\||</?s>|<</?SYS>>|\[/?INST\])')) size from t)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+  cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(size) as bigint) formatted_chars from e group by conv_id"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
+    turns = rows.union(more).withColumn("parts", chat.text_part(F.col("text")))
+    made = chat.format_chats(turns)
+    read = made.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.read_loss(F.col("formatted"), F.col("loss")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
 @query("op7_pack")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
