@@ -1,8 +1,9 @@
 """Toxicity scores: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams (3 to 5, with word edges) of its distinct words, present or not.
-Each is scaled by the log ratio of its smoothed shares in the two classes; a logistic regression with a ridge penalty is
-fitted to the scaled features.
+A text's features are the hashed character n-grams (3 to 5, with word edges) of its distinct words; a feature's value is
+log2(1 + the number of distinct words that hold it). Each is scaled by the log ratio of its smoothed shares of the texts of either
+class, which is zero unless the shares differ by ``LEAST_Z`` standard errors; a logistic regression with a
+ridge penalty is fitted to the scaled features.
 """
 
 from __future__ import annotations
@@ -22,22 +23,30 @@ from courtside.llm.shared import free_name, in_fold, with_struct
 
 BITS = 18
 ORDERS = (3, 4, 5)
-SAMPLE = 3000          # labelled texts of each class that the fit sees at most
+SAMPLE = (5000, 2500)  # labelled texts without and with the label that the fit sees at most
+LEAST_Z = 3.5
+_SLOTS = (1 << BITS) - 1
 
 
 class Features:
-    """Distinct feature numbers of a text; a word's are kept, up to a bound on words."""
+    """Feature numbers of a text with the number of its words that hold each, as ``number * 256 + words`` (255 at most).
+
+    With ``wanted`` (booleans by number) only those are looked at. A word's features are kept, up to a bound on words.
+    """
 
     KEEP = 200_000
     _words = re.compile(r"[^\W_]+").findall
 
-    def __init__(self):
+    def __init__(self, wanted: np.ndarray | None = None):
+        self.wanted = wanted
         self.known: dict[str, np.ndarray] = {}
 
     def _of_word(self, word: str) -> np.ndarray:
         padded = f" {word} "
         grams = {padded[i:i + n] for n in ORDERS for i in range(len(padded) - n + 1)}
-        found = np.array(sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in grams}), np.int32)
+        found = np.array(sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) & _SLOTS for g in grams}), np.int32)
+        if self.wanted is not None:
+            found = found[self.wanted[found]]
         if len(self.known) > self.KEEP:
             self.known.clear()
         self.known[word] = found
@@ -45,13 +54,18 @@ class Features:
 
     def of(self, text: str | None) -> np.ndarray:
         words = set(self._words(text.lower())) if text else ()
-        if not words:
-            return np.zeros(0, np.int32)
         known = self.known
         parts = [known[w] if w in known else self._of_word(w) for w in words]
+        parts = [p for p in parts if p.size]
+        if not parts:
+            return np.zeros(0, np.int32)
         seen = np.concatenate(parts)
         seen.sort()
-        return seen[np.r_[True, seen[1:] != seen[:-1]]]
+        edge = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
+        return seen[edge] * 256 + np.minimum(np.diff(np.r_[edge, len(seen)]), 255).astype(np.int32)
+
+
+_VALUE = np.log2(1 + np.arange(256))
 
 
 @dataclass
@@ -62,45 +76,46 @@ class Model:
     bias: float
 
     def score(self, found: np.ndarray) -> float:
-        z = self.bias + float(self.weight[found].sum())
-        return 1 / (1 + np.exp(-min(max(z, -500), 500)))
-
-
-def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1.0, steps: int = 80) -> Model:
-    """Naive Bayes ratios, then logistic regression by accelerated gradient steps; classes weigh the same."""
-    size = 1 << BITS
-    if not len(rows) or label.min() == label.max():
-        sure = 0.0 if not len(rows) or label[0] == 0 else 1.0
-        return Model(np.zeros(size), -4.0 if sure == 0 else 4.0)
-    length = np.array([len(r) for r in rows])
-    index = np.concatenate(rows).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), length)
-    pos = np.bincount(index, weights=label[doc], minlength=size) + 1.0
-    neg = np.bincount(index, weights=1 - label[doc], minlength=size) + 1.0
-    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    value = ratio[index]
-    share = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
-    bound = 0.25 * float((share * np.bincount(doc, weights=value ** 2, minlength=len(rows))).sum()) + 0.25
-    ridge = ridge / len(rows)
-    step = 1 / (bound + ridge)
-    w, b = np.zeros(size), 0.0
+        z = self.bias + float((self.weight[found >> 8] * _VALUE[found & 255]).sum())
+        return float(1 / (1 + np.exp(-min(max(z, -500), 500))))
+
+
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1.0, steps: int = 1500) -> Model:
+    """Naive Bayes ratios, then logistic regression by accelerated gradient steps."""
+    size, n = 1 << BITS, len(rows)
+    if not n or label.min() == label.max():
+        return Model(np.zeros(size), 4.0 if n and label[0] == 1 else -4.0)
+    found = np.concatenate(rows).astype(np.int64)
+    index, doc = found >> 8, np.repeat(np.arange(n), [len(r) for r in rows])
+    with_, without = label.sum(), n - label.sum()
+    pos, neg = np.bincount(index, label[doc], size), np.bincount(index, 1 - label[doc], size)
+    share = (pos + neg) / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / with_ + 1 / without))
+    ratio = np.log((pos + 1) / (with_ + 2)) - np.log((neg + 1) / (without + 2))
+    ratio[np.abs(pos / with_ - neg / without) < LEAST_Z * error] = 0
+    on = ratio[index] != 0
+    value = (ratio[index] * _VALUE[found & 255])[on]
+    kept, index = np.unique(index[on], return_inverse=True)
+    doc = doc[on]
+    ridge /= n
+    step = 1 / (0.25 * float((value ** 2).sum()) / n + 0.25 + ridge)
+    w, b = np.zeros(len(kept)), 0.0
     ahead, ahead_b = w, b
-    for k in range(steps * 10):
-        z = ahead_b + np.bincount(doc, weights=value * ahead[index], minlength=len(rows))
-        off = share * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label)
-        grad = np.bincount(index, weights=value * off[doc], minlength=size) + ridge * ahead
-        nw, nb = ahead - step * grad, ahead_b - step * float(off.sum())
+    for k in range(steps):
+        z = ahead_b + np.bincount(doc, value * ahead[index], n)
+        off = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) / n
+        nw = ahead - step * (np.bincount(index, value * off[doc], len(kept)) + ridge * ahead)
+        nb = ahead_b - step * float(off.sum())
         ahead, ahead_b = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
-        still = np.abs(nw - w).max() < 1e-5
         w, b = nw, nb
-        if still and k > steps:
-            break
-    return Model(w * ratio, b)
+    weight = np.zeros(size)
+    weight[kept] = w * ratio[kept]
+    return Model(weight, b)
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
-        sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows of each class, those first in the order of a hash of the id.
+        sample: tuple[int, int] = SAMPLE) -> Model:
+    """Fit on at most ``sample`` labelled rows without and with the label, those first in the order of a hash of the id.
 
     The bound keeps the fit in one task; features are made where the rows are. Rows with a null id, label or text are
     not learned from. Without labelled rows of both classes the scores are constant.
@@ -109,10 +124,10 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     order = F.xxhash64("id")
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(order, "id").limit(sample)
+        part = known.where(F.col("y") == y).orderBy(order, "id").limit(sample[y])
         chosen = part if chosen is None else chosen.union(part)
     read = documents.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null")
-    rows = read.join(F.broadcast(chosen), "id").select("y", "text")  # at most 2 * sample ids
+    rows = read.join(F.broadcast(chosen), "id").select("y", "text")  # at most sum(sample) ids
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features = Features()
         for column in batches:
@@ -121,7 +136,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     found = with_struct(rows, "f", work, "binary", F.col("text")).select("y", "f")
     bounded = None
     for y in (0, 1):  # ids may repeat among the documents
-        part = found.where(F.col("y") == y).limit(sample)
+        part = found.where(F.col("y") == y).limit(sample[y])
         bounded = part if bounded is None else bounded.union(part)
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "f"], kind="stable")
@@ -139,7 +154,8 @@ def with_score(df: DataFrame, model: Model, name: str = "toxicity", text: str =
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, features = shared.value, Features()
+        model = shared.value
+        features = Features(model.weight != 0)
         for column in batches:
             yield pa.array([model.score(features.of(t.as_py())) for t in column], pa.float64())
 
