@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +32,25 @@ UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def grams(word: str) -> list[bytes]:
-    padded = f" {word} "
-    return [padded[i:i + n].encode("utf-8", "surrogatepass") for n in ORDERS for i in range(len(padded) - n + 1)]
-
-
-def _key(gram: bytes) -> int:
-    """One number per n-gram, from which the positions follow."""
-    return xxhash.xxh64_intdigest(gram) & ((1 << 60) - 1)  # sums of positions stay within 63 bits
+def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 60-bit number for every n-gram of the words (with a space before and after each), and the word it is in."""
+    text = "".join(f" {w} " for w in words)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    word = np.repeat(np.arange(len(words)), size)
+    keys, owners = [], []
+    for n in ORDERS:
+        last = len(code) - n + 1
+        inside = np.flatnonzero(word[:max(last, 0)] == word[n - 1:]) if last > 0 else np.zeros(0, np.int64)
+        key = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + code[inside + k]
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(32)
+        keys.append((key & np.uint64((1 << 60) - 1)).astype(np.int64))  # sums of positions stay within 63 bits
+        owners.append(word[inside])
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 @dataclass
@@ -75,15 +85,14 @@ class Counts:
             self.row, new = {}, list(words)
         if not new:
             return
-        made = [grams(w) for w in new]
-        size = np.array([len(g) for g in made])
-        hit = self.model.member(np.array([_key(g) for part in made for g in part], np.int64))
-        begin = np.cumsum(size) - size
+        keys, word = gram_keys(new)
+        hit = self.model.member(keys)
         start = len(self.row)
         while start + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[start:start + len(new), :-1] = np.add.reduceat(hit, begin, axis=0, dtype=np.int64)
-        self.table[start:start + len(new), -1] = size
+        for k in range(hit.shape[1]):
+            self.table[start:start + len(new), k] = np.bincount(word[hit[:, k]], minlength=len(new))
+        self.table[start:start + len(new), -1] = np.bincount(word, minlength=len(new))
         self.row.update(zip(new, range(start, start + len(new))))
 
     def of(self, text: str | None) -> np.ndarray | None:
@@ -112,31 +121,31 @@ def decide(model: Filter, counts: np.ndarray | None) -> tuple[str, float]:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, n): occurrences of each n-gram, added up before they leave the task."""
-    words: Counter = Counter()
+    words: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for (lang, word), n in words.items():
-            for g in grams(word):
-                total[lang, _key(g)] += n
-            if len(total) >= 200_000:
-                yield table(total)
-                total.clear()
+        for lang, count in words.items():
+            every = list(count)
+            for at in range(0, len(every), 20_000):
+                part = every[at:at + 20_000]
+                keys, word = gram_keys(part)
+                key, back = np.unique(keys, return_inverse=True)
+                n = np.bincount(back, np.array([count[w] for w in part], float)[word], len(key))
+                held.setdefault(lang, []).append((key, n))
         words.clear()
-        if total:
-            yield table(total)
-
-    def table(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in total], pa.string()),
-                                           "key": pa.array([k[1] for k in total], pa.int64()),
-                                           "n": pa.array(list(total.values()), pa.int64())})
-
+        for lang, parts in held.items():
+            key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([p[1] for p in parts]), len(key))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(key), pa.string()), "key": pa.array(key, pa.int64()),
+                                              "n": pa.array(n.astype(np.int64), pa.int64())})
+        held.clear()
+
+    held: dict[str, list] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for word, n in Counter(_WORDS((text.as_py() or "").lower())).items():
-                words[lang, word] += n
-            if len(words) >= 200_000:
-                yield from flush()
+            words.setdefault(lang, Counter()).update(_WORDS((text.as_py() or "").lower()))
+        if sum(map(len, words.values())) >= 300_000:
+            yield from flush()
     yield from flush()
 
 
