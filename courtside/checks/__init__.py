@@ -1,5 +1,5 @@
 """Registered queries, each with the SQL that must give the same rows."""
 
-from courtside.checks import evaluation, files, ingest, models, scoring, windows
+from courtside.checks import evaluation, extended, files, ingest, models, scoring, windows
 
-ALL_CHECKS = (windows, ingest, evaluation, scoring, models, files)
+ALL_CHECKS = (windows, ingest, evaluation, scoring, models, files, extended)

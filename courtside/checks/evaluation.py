@@ -40,7 +40,7 @@ def _elo_rows(spark, sf):
 
 
 def _predictions(spark, sf):
-    return evaluate(assign_folds(_elo_rows(spark, sf)), {"elo": elo_predictor})
+    return evaluate(cut(assign_folds(_elo_rows(spark, sf))), {"elo": elo_predictor})
 
 
 @check("w11_walk_forward_folds", MATCHES, MATCH_FOLDS, "select seq, cast(pos as bigint) pos, test_fold from folds")

@@ -102,9 +102,9 @@ def _named(spark, sf):
 
 
 @check("p1_name_key", MATCHES, RAW,
-       f"select distinct team_a_name as name, {_KEY.format('team_a_name')} name_key from raw")
+       f"select name, {_KEY.format('name')} name_key from (select team_a_name as name from raw union select team_b_name from raw)")
 def p1(spark, sf):
-    names = raw_rows(spark, sf).select(F.col("team_a_name").alias("name")).distinct()
+    names = distinct_names(raw_rows(spark, sf)).select("name").distinct()
     return names.withColumn("name_key", name_key(F.col("name")))
 
 
@@ -209,13 +209,10 @@ def v1(spark, sf):
 
 @check("v2_match_rules", MATCHES,
        """select seq, case when (seq%17=0 and team_a_score-200<0) then 'negative score' when seq%19=0 then 'sets out of range'
-       when seq%23=0 then 'same team' when seq%29=0 then 'not a best-of-five result' end reason from matches
-       where seq%17=0 or seq%19=0 or seq%23=0 or seq%29=0 or seq%31=0""")
+       when seq%23=0 then 'same team' when seq%29=0 then 'not a best-of-five result' end reason from matches""")
 def v2(spark, sf):
     from courtside.operators.cleaning import match_faults
-    m = base_matches(spark, sf).filter(
-        "seq % 17 = 0 OR seq % 19 = 0 OR seq % 23 = 0 OR seq % 29 = 0 OR seq % 31 = 0")
-    bent = m.selectExpr(
+    bent = base_matches(spark, sf).selectExpr(
         "seq", "CASE WHEN seq % 17 = 0 THEN team_a_score - 200 ELSE team_a_score END AS score_a", "team_b_score AS score_b",
         "CASE WHEN seq % 19 = 0 THEN 4 ELSE sets_a END AS sets_a",
         "CASE WHEN seq % 29 = 0 THEN sets_a ELSE sets_b END AS sets_b",

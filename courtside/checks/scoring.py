@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from courtside.checks.evaluation import _MARGINS, ELO_FOLDS, score_sample
 from courtside.checks.ingest import ALIASES, JUDGED, RAW, _clean
-from courtside.checks.registry import COMPETITIONS, ELO, FORM, H2H, LONG, MATCHES, check
+from courtside.checks.registry import COMPETITIONS, ELO, FORM, LONG, MATCHES, check
+from courtside.checks.windows import FRAME
 from courtside.functions.scores import (
     confidence_level, decisiveness, explanatory_factors, logit, margin_class, margin_training_frame, orient, score_rows,
 )
@@ -14,16 +15,17 @@ from courtside.models.ensemble import average_predictions
 from courtside.operators.elo import elo_history, final_ratings
 from courtside.operators.evaluation import best_score, label
 from courtside.operators.form import form_by_match, long_form, team_form
-from courtside.operators.h2h import head_to_head, pair_days, record_before
+from courtside.operators.h2h import pair_days, record_before
 from courtside.operators.imputation import fit_preparation
 from courtside.operators.names import unresolved_names
 from courtside.operators.state import known_teams, pair_meetings, pair_state, reference_date, team_state
-from courtside.plans.features import FEATURE_COLUMNS, add_diffs
+from courtside.plans.features import FEATURE_COLUMNS
 from courtside.plans.predict import (
     active_teams, display_label, eligible_competitions, fixture_features, judge_requests, pool_competitions,
     with_display_name, with_state,
 )
-from courtside.plans.sample import base_matches, competitions, table
+from courtside.plans.sample import base_matches, competitions, feature_frame, table
+from courtside.session import cut
 
 # Fixtures: the last meeting of each pair, played again one day after the pool's last match.
 FIXTURES = """fx as (select gender, team_a, team_b, least(team_a,team_b) lo, greatest(team_a,team_b) hi, competition_id,
@@ -111,12 +113,12 @@ def j8(spark, sf):
 
 @check("j9_meetings_before", MATCHES,
        """select a.gender, a.lo, a.hi, a.date, count(b.seq) met, count(b.seq) filter (b.w=b.lo) lo_wins from
-       (select distinct gender, least(team_a,team_b) lo, greatest(team_a,team_b) hi, date from matches where seq%3=0) a
+       (select distinct gender, least(team_a,team_b) lo, greatest(team_a,team_b) hi, date from matches) a
        left join (select gender, least(team_a,team_b) lo, greatest(team_a,team_b) hi, date, seq, case when winner='team_a' then team_a else team_b end w from matches) b
        on a.gender=b.gender and a.lo=b.lo and a.hi=b.hi and b.date<a.date group by all""")
 def j9(spark, sf):
     m = base_matches(spark, sf)
-    asked = m.filter("seq % 3 = 0").select(
+    asked = m.select(
         "gender", F.least("team_a", "team_b").alias("lo"), F.greatest("team_a", "team_b").alias("hi"), "date")
     return record_before(asked, pair_days(m))
 
@@ -177,43 +179,27 @@ def f4(spark, sf):
     return known_teams(long_form(base_matches(spark, sf)))
 
 
-_ORIENT = """two as (select a.seq, a.played-b.played mp, a.streak-b.streak st, a.wr5-b.wr5 w5, a.sm10-b.sm10 s10
- from form a join form b on a.seq=b.seq and a.side='a' and b.side='b')"""
+def _same(name):
+    return name in ("h2h_matches_played", "competition_importance", "tournament_progress")
 
 
-def _partial_features(spark, sf):
-    m = base_matches(spark, sf)
-    form = add_diffs(form_by_match(team_form(long_form(m))))
-    return m.join(form, "seq").join(head_to_head(m), "seq")
-
-
-_ORIENTED = ["matches_played_diff", "current_streak_diff", "win_rate_last5_diff", "set_margin_avg_last10_diff",
-             "h2h_win_rate_a", "h2h_matches_played"]
-
+def _turned(name):
+    return name if _same(name) else f"1-{name}" if name == "h2h_win_rate_a" else f"0.0::double-{name}"
 
-def _oriented_columns(df):
-    return [F.round(F.col(c).cast("double"), 6).alias(c) for c in _ORIENTED]
 
-
-@check("m5_orient_features", MATCHES, LONG, FORM, H2H, _ORIENT,
-       """select seq, 0.0::double-mp matches_played_diff, 0.0::double-st current_streak_diff, round(0.0::double-w5,6) win_rate_last5_diff,
-       round(0.0::double-s10,6) set_margin_avg_last10_diff, round(1-rate,6) h2h_win_rate_a, met::double h2h_matches_played
-       from two join h2hr using (seq)""")
+@check("m5_orient_features", MATCHES, *FRAME,
+       "select seq, " + ", ".join(f"round({_turned(c)},6) {c}" for c in FEATURE_COLUMNS) + " from ff", recursive=True)
 def m5(spark, sf):
-    flipped = orient(_partial_features(spark, sf), _ORIENTED, F.lit(True))
-    return flipped.select("seq", *_oriented_columns(flipped))
+    flipped = orient(feature_frame(spark, sf), FEATURE_COLUMNS, F.lit(True))
+    return flipped.select("seq", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURE_COLUMNS])
 
 
-@check("m6_margin_training_frame", MATCHES, LONG, FORM, H2H, _ORIENT,
-       """select seq, case when winner='team_b' then 0.0::double-mp else mp end matches_played_diff,
-       case when winner='team_b' then 0.0::double-st else st end current_streak_diff,
-       round(case when winner='team_b' then 0.0::double-w5 else w5 end,6) win_rate_last5_diff,
-       round(case when winner='team_b' then 0.0::double-s10 else s10 end,6) set_margin_avg_last10_diff,
-       round(case when winner='team_b' then 1-rate else rate end,6) h2h_win_rate_a, met::double h2h_matches_played,
-       '3-'||least(sets_a,sets_b) margin_class from two join h2hr using (seq) join matches using (seq)""")
+@check("m6_margin_training_frame", MATCHES, *FRAME,
+       "select seq, '3-'||least(sets_a,sets_b) margin_class, " + ", ".join(
+           f"round(case when winner='team_b' then {_turned(c)} else {c} end,6) {c}" for c in FEATURE_COLUMNS) + " from ff", recursive=True)
 def m6(spark, sf):
-    frame = margin_training_frame(_partial_features(spark, sf), _ORIENTED)
-    return frame.select("seq", "margin_class", *_oriented_columns(frame))
+    frame = margin_training_frame(feature_frame(spark, sf), FEATURE_COLUMNS)
+    return frame.select("seq", "margin_class", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FEATURE_COLUMNS])
 
 
 @check("m7_combined_scores", MATCHES, ELO, _MARGINS,
@@ -284,33 +270,33 @@ def m12(spark, sf):
     return mixed.select("seq", "fold", F.round("p", 6).alias("p"))
 
 
-_PREP_COLUMNS = ["current_streak_diff", "days_since_last_diff", "win_rate_last5_diff", "h2h_win_rate_a"]
-_PREP = """raw_f as (select a.seq, a.streak-b.streak c1, a.rest-b.rest c2, a.wr5-b.wr5 c3, rate c4 from form a
- join form b on a.seq=b.seq and a.side='a' and b.side='b' join h2hr on h2hr.seq=a.seq),
-md as (select median(c2) m2, median(c3) m3, median(c4) m4 from raw_f),
-imp as (select seq, c1::double c1, coalesce(c2,m2)::double c2, coalesce(c3,m3) c3, coalesce(c4,m4) c4, (c2 is null)::int::double f2,
- (c3 is null)::int::double f3, (c4 is null)::int::double f4 from raw_f, md)"""
+# On the samples these inputs have gaps; the others never do.
+_GAPS = ["days_since_last_diff", "h2h_win_rate_a", "win_rate_last5_diff", "win_rate_last10_diff", "set_margin_avg_last5_diff",
+         "set_margin_avg_last10_diff"]
+_PREP = ("md as (select " + ", ".join(f"median({c}) {c}" for c in _GAPS) + " from ff), imp2 as (select seq, "
+         + ", ".join(f"coalesce(ff.{c}, md.{c}) {c}, (ff.{c} is null)::int::double {c}_was_missing" if c in _GAPS else f"ff.{c}" for c in FEATURE_COLUMNS)
+         + " from ff, md)")
+_INPUTS = [*FEATURE_COLUMNS, *[f"{c}_was_missing" for c in _GAPS]]
+
+
+def _prepared(spark, sf):
+    features = cut(feature_frame(spark, sf).select("seq", *FEATURE_COLUMNS))
+    prep = fit_preparation(features, FEATURE_COLUMNS)
+    return prep, prep.impute(features)
 
 
-@check("m13_median_imputation", MATCHES, LONG, FORM, H2H, _PREP,
-       """select seq, c1 current_streak_diff, c2 days_since_last_diff, round(c3,6) win_rate_last5_diff, round(c4,6) h2h_win_rate_a,
-       f2 days_since_last_diff_was_missing, f3 win_rate_last5_diff_was_missing, f4 h2h_win_rate_a_was_missing from imp""")
+@check("m13_median_imputation", MATCHES, *FRAME, _PREP,
+       "select seq, " + ", ".join(f"round({c},6) {c}" for c in _INPUTS) + " from imp2", recursive=True)
 def m13(spark, sf):
-    features = _partial_features(spark, sf).select("seq", *_PREP_COLUMNS)
-    prep = fit_preparation(features, _PREP_COLUMNS)
-    return prep.impute(features).select("seq", *[F.round(c, 6).alias(c) for c in prep.inputs])
+    prep, filled = _prepared(spark, sf)
+    return filled.select("seq", *[F.round(c, 6).alias(c) for c in prep.inputs])
 
 
-@check("m14_standardise", MATCHES, LONG, FORM, H2H, _PREP,
-       "select seq, " + ", ".join(
-           f"round(({c}-avg({c}) over ())/stddev_pop({c}) over (),6) {n}" for c, n in (
-               ("c1", "current_streak_diff"), ("c2", "days_since_last_diff"), ("c3", "win_rate_last5_diff"),
-               ("c4", "h2h_win_rate_a"), ("f2", "days_since_last_diff_was_missing"),
-               ("f3", "win_rate_last5_diff_was_missing"), ("f4", "h2h_win_rate_a_was_missing"))) + " from imp")
+@check("m14_standardise", MATCHES, *FRAME, _PREP,
+       "select seq, " + ", ".join(f"round(({c}-avg({c}) over ())/stddev_pop({c}) over (),6) {c}" for c in _INPUTS) + " from imp2", recursive=True)
 def m14(spark, sf):
-    features = _partial_features(spark, sf).select("seq", *_PREP_COLUMNS)
-    prep = fit_preparation(features, _PREP_COLUMNS)
-    return prep.scale(prep.impute(features)).select("seq", *[F.round(c, 6).alias(c) for c in prep.inputs])
+    prep, filled = _prepared(spark, sf)
+    return prep.scale(filled).select("seq", *[F.round(c, 6).alias(c) for c in prep.inputs])
 
 
 @check("p18_margin_class", MATCHES, "select seq, '3-'||least(sets_a,sets_b) margin_class from matches")

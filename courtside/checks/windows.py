@@ -66,6 +66,15 @@ def w8(spark, sf):
     return history.select("seq", *[F.round(c, 6).alias(c) for c in history.columns if c != "seq"])
 
 
+@check("w8_elo_blocks", MATCHES, ELO,
+       """select seq, round(elo_a_pre,6) elo_a_pre, round(elo_b_pre,6) elo_b_pre, round(elo_pred_a,6) elo_pred_a,
+       round(elo_a_post,6) elo_a_post, round(elo_b_post,6) elo_b_post from elo""", recursive=True)
+def w8_blocks(spark, sf):
+    """The same replay in blocks of 1 000 rows."""
+    history = elo_history(base_matches(spark, sf), block_rows=1000)
+    return history.select("seq", *[F.round(c, 6).alias(c) for c in history.columns if c != "seq"])
+
+
 @check("w9_final_ratings", MATCHES, ELO,
        """select gender, team, round(max_by(post, rn),6) elo from (
        select gender, rn, team_a team, elo_a_post post from elo union all select gender, rn, team_b, elo_b_post from elo)
@@ -136,6 +145,15 @@ def w15(spark, sf):
           for n in ("win_rate", "set_margin_avg") for w in (5, 10)])
 
 
+# All model inputs, unrounded.
+FRAME = (COMPETITIONS, LONG, FORM, H2H, ELO, _BOTH, _IMPORTANCE, """ff as (select elo.seq, elo.gender, elo.winner, elo.sets_a, elo.sets_b,
+  elo_a_pre-elo_b_pre elo_diff, mp::double matches_played_diff, st::double current_streak_diff, dy::double days_since_last_diff,
+  met::double h2h_matches_played, rate h2h_win_rate_a, ci competition_importance,
+  cast(elo.no_in_tournament as double)/max(elo.no_in_tournament) over (partition by elo.tournament_no) tournament_progress,
+  w5 win_rate_last5_diff, w10 win_rate_last10_diff, s5 set_margin_avg_last5_diff, s10 set_margin_avg_last10_diff
+  from elo join two using (seq) join h2hr using (seq) join imp using (seq))""")
+
+
 @check("w16_feature_frame", MATCHES, COMPETITIONS, LONG, FORM, H2H, ELO, _BOTH, _IMPORTANCE,
        """select elo.seq, elo.match_id, round(elo_a_pre-elo_b_pre,6) elo_diff, cast(mp as double) matches_played_diff,
        cast(st as double) current_streak_diff, cast(dy as double) days_since_last_diff,

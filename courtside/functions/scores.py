@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from courtside.schemas import MARGINS, SCORES
 
-# How a feature changes when the match is seen from the other side.
-SIGN_FLIPS = [
-    "elo_diff", "matches_played_diff", "current_streak_diff", "days_since_last_diff", "win_rate_last5_diff",
-    "win_rate_last10_diff", "set_margin_avg_last5_diff", "set_margin_avg_last10_diff",
-]
-COMPLEMENTS = ["h2h_win_rate_a"]
+def flips(name: str) -> bool:
+    """Whether a feature changes sign when the match is seen from the other side: every difference does, whatever its window."""
+    return name.endswith("_diff")
+
+
+def complements(name: str) -> bool:
+    """Whether a feature is a share of side a's, so that side b has the rest of it."""
+    return name == "h2h_win_rate_a" or name.startswith("h2h_last_")
 
 
 def margin_class(sets_a: Column, sets_b: Column) -> Column:
@@ -23,9 +25,9 @@ def orient(df: DataFrame, columns: list[str], from_b: Column) -> DataFrame:
     """Feature columns seen from side b where ``from_b`` holds."""
     changed = {}
     for name in columns:
-        if name in SIGN_FLIPS:
+        if flips(name):
             changed[name] = F.when(from_b, 0.0 - F.col(name)).otherwise(F.col(name))
-        elif name in COMPLEMENTS:
+        elif complements(name):
             changed[name] = F.when(from_b, 1.0 - F.col(name)).otherwise(F.col(name))
     return df.withColumns(changed)
 

@@ -51,6 +51,17 @@ def add_importance(df: DataFrame, competitions: DataFrame) -> DataFrame:
     )
 
 
+# Stages from which the loser goes home.
+KNOCKOUT_STAGES = ("quarterfinal", "semifinal", "bronze", "final")
+
+
+def add_stage_flags(df: DataFrame) -> DataFrame:
+    """is_knockout and one flag for each knockout stage; false for a missing stage."""
+    def is_one_of(*stages: str) -> Column:
+        return F.coalesce(F.col("stage").isin(*stages), F.lit(False))
+    return df.withColumns({"is_knockout": is_one_of(*KNOCKOUT_STAGES)} | {f"is_{s}": is_one_of(s) for s in KNOCKOUT_STAGES})
+
+
 def tournament_sizes(df: DataFrame) -> DataFrame:
     """Highest match number seen in each tournament."""
     return df.groupBy("tournament_no").agg(F.max("no_in_tournament").alias("tournament_max"))

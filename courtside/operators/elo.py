@@ -1,13 +1,10 @@
 """Elo ratings: every rating depends on the rating before it, across teams.
 
-Matches of a pool are cut into ordered blocks of bounded size.  One task replays one block
-from a table of start ratings.  All blocks run at the same time: the first round starts every
-block from the initial rating, each following round starts a block from the ratings at which
-the earlier blocks left its teams.  Block 0 is right after one round, block 1 after two, and so
-on; as a result forgets its starting point after some matches, the start ratings stop moving
-long before the last block is reached.  The loop ends when no start rating moved by more than
-``tolerance``, so the outcome is the ordered replay itself, not an approximation of it.  The more
-matches each team plays inside a block, the fewer rounds it takes, so large blocks pay off.
+Matches of a pool are cut into ordered blocks of bounded size, and one task replays one block from a table of start ratings. The
+first block of a pool starts from the initial ratings by definition. The others are first replayed from the initial ratings too,
+and then again from the ratings at which the earlier blocks left their teams, as long as any of these differs in
+any bit from the one used before. Only blocks whose start has changed are replayed. Block k is right after
+k + 1 rounds at the latest, so the loop ends, and what it ends with is the ordered replay itself.
 """
 
 from __future__ import annotations
@@ -15,12 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.operators.ordering import with_position
-from courtside.session import cut
+from courtside.session import cut, forget
 
 BLOCK_ROWS = 500_000
 HISTORY = ["elo_a_pre", "elo_b_pre", "elo_pred_a", "elo_a_post", "elo_b_post"]
@@ -28,9 +24,19 @@ HISTORY = ["elo_a_pre", "elo_b_pre", "elo_pred_a", "elo_a_post", "elo_b_post"]
 
 @dataclass(frozen=True)
 class EloConfig:
+    """``margin_weight`` raises the factor by that share for every set of difference beyond the first; with ``half_life_days`` the
+    distance from the initial rating halves in that time without a match."""
+
     k_factor: float = 32.0
     initial_rating: float = 1500.0
     scale: float = 400.0
+    margin_weight: float = 0.0
+    half_life_days: float | None = None
+
+
+RECENT = EloConfig(k_factor=64.0)              # reacts faster, so old results count for less
+BY_MARGIN = EloConfig(margin_weight=0.25)
+DECAYING = EloConfig(half_life_days=730.0)
 
 
 def expected_score(rating_a: Column, rating_b: Column, scale: float = 400.0) -> Column:
@@ -39,70 +45,86 @@ def expected_score(rating_a: Column, rating_b: Column, scale: float = 400.0) ->
 
 
 def _replay(block: pd.DataFrame, start: dict, config: EloConfig):
-    """Replay one block in order; returns the history rows and the ratings at its end."""
+    """Replay one block in order; returns the history rows and each team's rating and last day at its end.
+
+    ``start`` has (rating, day of the last match) of teams that have played before.
+    """
     block = block.sort_values(["date", "seq"], kind="stable")
-    k, initial, scale = config.k_factor, config.initial_rating, config.scale
-    ratings = dict(start)
+    initial, scale, life = config.initial_rating, config.scale, config.half_life_days
+    state = dict(start)
     out = []
-    for a, b, won in zip(block["team_a"].tolist(), block["team_b"].tolist(), block["a_won"].tolist()):
-        ra, rb = ratings.get(a, initial), ratings.get(b, initial)
+
+    def before(team, day):
+        rating, last = state.get(team, (initial, day))
+        return rating if life is None else initial + (rating - initial) * 0.5 ** ((day - last) / life)
+
+    for day, a, b, won, margin in zip(*(block[c].tolist() for c in ("date", "team_a", "team_b", "a_won", "margin"))):
+        ra, rb = before(a, day), before(b, day)
+        k = config.k_factor * (1.0 + config.margin_weight * (margin - 1))
         e = 1.0 / (1.0 + 10 ** ((rb - ra) / scale))
         y = 1.0 if won else 0.0
         na, nb = ra + k * (y - e), rb + k * ((1.0 - y) - (1.0 - e))
-        ratings[a], ratings[b] = na, nb
+        state[a], state[b] = (na, day), (nb, day)
         out.append((ra, rb, e, na, nb))
     history = pd.DataFrame(out, columns=HISTORY)
     history.insert(0, "seq", block["seq"].to_numpy())
-    return history, ratings
+    return history, state
 
 
 _HISTORY_SCHEMA = "seq bigint, " + ", ".join(f"{c} double" for c in HISTORY)
+_STATE = "gender string, block bigint, team string, rating double, day int"
+_BLOCK = ["gender", "block"]
 
 
-def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS,
-                tolerance: float = 1e-9, largest: int | None = None) -> DataFrame:
+def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """seq plus ratings before and after each match and the chance given to side a."""
+    margin = F.abs(F.col("sets_a") - F.col("sets_b")).cast("double") if config.margin_weight else F.lit(1.0)
     slim = matches.select("gender", F.unix_date("date").alias("date"), F.col("seq").cast("bigint").alias("seq"), "team_a", "team_b",
-                          (F.col("winner") == "team_a").alias("a_won"))
-    if largest is None:
-        largest = slim.groupBy("gender").count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _replay(pdf, {}, config)[0]
-        return slim.groupBy("gender").applyInPandas(whole, _HISTORY_SCHEMA)
-
-    block = ["gender", "block"]
-    rows = (
-        with_position(slim, ["gender"])
-        .withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("bigint")).drop("pos")
-        .repartition(*block).persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    teams = rows.select(*block, F.explode(F.array("team_a", "team_b")).alias("team")).distinct()
-    start = cut(teams.withColumn("rating", F.lit(config.initial_rating)))
-
-    def ends(key, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        _, ratings = _replay(pdf, dict(zip(known["team"], known["rating"])), config)
-        return pd.DataFrame({"gender": key[0], "block": key[1], "team": list(ratings), "rating": list(ratings.values())})
-
-    def history(key, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return _replay(pdf, dict(zip(known["team"], known["rating"])), config)[0]
-
-    def run(fn, known: DataFrame, schema: str) -> DataFrame:
-        other = known.select(F.col("gender").alias("g"), F.col("block").alias("blk"), "team", "rating")
-        return rows.groupBy(*block).cogroup(other.groupBy("g", "blk")).applyInPandas(fn, schema)
+                          (F.col("winner") == "team_a").alias("a_won"), margin.alias("margin"))
+    rows = cut(with_position(slim, ["gender"])
+               .withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("bigint")).drop("pos"))
+
+    def known(pdf: pd.DataFrame) -> dict:
+        return {t: (r, d) for t, r, d in zip(pdf["team"].tolist(), pdf["rating"].tolist(), pdf["day"].tolist())}
+
+    def ends(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"gender": [], "block": [], "team": [], "rating": [], "day": []})
+        _, state = _replay(pdf, known(start), config)
+        return pd.DataFrame({"gender": key[0], "block": key[1], "team": list(state), "rating": [x[0] for x in state.values()],
+                             "day": [x[1] for x in state.values()]})
+
+    def history(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        return _replay(pdf, known(start), config)[0]
+
+    def run(fn, some: DataFrame, start: DataFrame, schema: str) -> DataFrame:
+        other = start.select(F.col("gender").alias("g"), F.col("block").alias("blk"), "team", "rating", "day")
+        return some.groupBy(*_BLOCK).cogroup(other.groupBy("g", "blk")).applyInPandas(fn, schema)
 
     order = Window.partitionBy("gender", "team").orderBy("block")
-    while True:
-        left = run(ends, start, "gender string, block bigint, team string, rating double")
-        moved = left.select(
-            *block, "team", F.coalesce(F.lag("rating").over(order), F.lit(config.initial_rating)).alias("rating"))
-        moved = cut(moved)
-        both = moved.unionByName(start).groupBy(*block, "team")
-        gap = (both.agg((F.max("rating") - F.min("rating")).alias("gap")).agg(F.max("gap"))).first()[0]
-        start = moved
-        if gap is None or gap <= tolerance:
-            break
-    return run(history, start, _HISTORY_SCHEMA)
+    start = rows.sparkSession.createDataFrame([], _STATE)
+    # where each block's teams stand before it; a team's first block has no entry
+    entered = rows.select(*_BLOCK, F.explode(F.array("team_a", "team_b")).alias("team")).distinct()
+    if (rows.agg(F.max("block")).first()[0] or 0) > 0:
+        left = cut(run(ends, rows, start, _STATE))
+        while True:
+            lag = entered.join(left, [*_BLOCK, "team"]).select(
+                *_BLOCK, "team", F.lag("rating").over(order).alias("rating"), F.lag("day").over(order).alias("day"))
+            fresh = cut(lag.where("rating IS NOT NULL"))
+            old = start.select(*_BLOCK, "team", F.col("rating").alias("r"), F.col("day").alias("d"))
+            moved = cut(fresh.join(old, [*_BLOCK, "team"], "left")
+                        .where(~(F.col("rating").eqNullSafe(F.col("r")) & F.col("day").eqNullSafe(F.col("d"))))
+                        .select(*_BLOCK).distinct())
+            forget(start)
+            start = fresh
+            if moved.isEmpty():
+                break
+            again = run(ends, rows.join(moved, _BLOCK, "left_semi"), start.join(moved, _BLOCK, "left_semi"), _STATE)
+            after = cut(left.join(moved, _BLOCK, "left_anti").unionByName(again))
+            forget(left)
+            forget(moved)
+            left = after
+    return run(history, rows, start, _HISTORY_SCHEMA)
 
 
 def final_ratings(matches: DataFrame, history: DataFrame) -> DataFrame:

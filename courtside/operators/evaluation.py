@@ -53,6 +53,32 @@ def calibration_table(df: DataFrame, by: list[str], y: str = "y", p: str = "p",
     )
 
 
+def expected_calibration_error(df: DataFrame, by: list[str], y: str = "y", p: str = "p", n_bins: int = 10) -> DataFrame:
+    """Mean distance of predicted and actual rate over the bins, weighted by their rows: by, n, ece, mce (the largest distance)."""
+    gap = F.abs(F.col("predicted_mean") - F.col("actual_rate"))
+    return calibration_table(df, by, y, p, n_bins).groupBy(*by).agg(
+        F.sum("count").alias("n"), (F.sum(gap * F.col("count")) / F.sum("count")).alias("ece"), F.max(gap).alias("mce"))
+
+
+def roc_auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p", ranges: int = 4096) -> DataFrame:
+    """Chance that a row with y = 1 has a larger p than one with y = 0, ties counting half: by, n, auc (null for one class).
+
+    Rows are counted per distinct p; negatives below are summed per range of p, of which there is a fixed number, and inside each
+    range, so no task sorts all of a group's values. Rows with a null p or y are left out.
+    """
+    counted = (df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).alias("_p"))
+               .agg(F.sum(F.col(y)).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg")))
+    ranged = counted.withColumn("_range", F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor(F.col("_p") * ranges))))
+    key = [*by, "_range"]
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*key).agg(F.sum("_neg").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(below), F.lit(0.0)).alias("_off"))
+    inside = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0.0))).join(offsets, key)
+    won = F.sum(F.col("_pos") * (F.col("_off") + F.col("_in") + F.col("_neg") / 2))
+    pairs = F.sum("_pos") * F.sum("_neg")
+    return placed.groupBy(*by).agg((F.sum("_pos") + F.sum("_neg")).cast("bigint").alias("n"), F.when(pairs > 0, won / pairs).alias("auc"))
+
+
 def summarize_across_folds(metrics: DataFrame, by: list[str]) -> DataFrame:
     """Mean and sample deviation over the folds, to four places."""
     out = []

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.operators.ordering import with_position
+from courtside.operators.ordering import null_safe_join, with_position
 
 
 def _with_count(df: DataFrame, keys: list[str]) -> DataFrame:
     """Position in the pool and the pool's row count."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("pool_n"))
-    return with_position(df, keys).join(counts, keys)
+    return null_safe_join(with_position(df, keys), counts, keys)
 
 
 def assign_folds(df: DataFrame, n_folds: int = 5, min_train_fraction: float = 0.3,
@@ -34,6 +34,16 @@ def assign_folds(df: DataFrame, n_folds: int = 5, min_train_fraction: float = 0.
     )
 
 
+def year_folds(df: DataFrame, warm_up: int = 1, keys: tuple[str, ...] = ("gender",)) -> DataFrame:
+    """test_fold per row by calendar year: fold i is tested on one year and trained on all years before it.
+
+    The first ``warm_up`` years of a pool are only trained on (test_fold null), as is a row without a date; years without rows count.
+    """
+    first = df.groupBy(*keys).agg(F.min(F.year("date")).alias("_first"))
+    fold = F.year("date") - F.col("_first") - F.lit(warm_up)
+    return null_safe_join(df, first, list(keys)).withColumn("test_fold", F.when(fold >= 0, fold).cast("int")).drop("_first")
+
+
 def train_rows(folded: DataFrame, fold: int) -> DataFrame:
     return folded.filter(F.coalesce("test_fold", F.lit(-1)) < fold)
 
@@ -80,7 +90,7 @@ def tail_split(df: DataFrame, fraction: float, keys: tuple[str, ...] = ("gender"
     cut = F.floor(F.col("pool_n") * F.lit(1 - fraction))
     if "pos" in df.columns:
         counts = df.groupBy(*keys).agg(F.count("*").alias("pool_n"))
-        placed = df.drop("pool_n").join(counts, list(keys))
+        placed = null_safe_join(df.drop("pool_n"), counts, list(keys))
     else:
         placed = _with_count(df, list(keys))
     return placed.withColumn("held_out", F.col("pos") >= cut)

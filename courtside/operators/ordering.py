@@ -35,19 +35,24 @@ def with_position(df: DataFrame, keys: list[str], out: str = "pos", date: str =
     days = days.select(*keys, date, F.coalesce(F.sum("_dn").over(by_day), F.lit(0)).alias("_day_off"))
     in_day = Window.partitionBy(*keys, date).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cells.withColumn("_range_off", F.coalesce(F.sum("_n").over(in_day), F.lit(0)))
-        .join(days, [*keys, date])
+        null_safe_join(cells.withColumn("_range_off", F.coalesce(F.sum("_n").over(in_day), F.lit(0))), days, [*keys, date])
         .select(*cell, (F.col("_day_off") + F.col("_range_off")).alias("_off"))
     )
     local = F.row_number().over(Window.partitionBy(*cell).orderBy(seq))
     return (
-        ranged.withColumn("_local", local)
-        .join(offsets, cell)
+        null_safe_join(ranged.withColumn("_local", local), offsets, cell)
         .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("bigint"))
         .drop("_range", "_local", "_off")
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, keeping the left side's keys."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"_right_{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 @dataclass(frozen=True)
 class GroupSizes:
     """Rows in the largest pool, the largest team and the largest pair."""

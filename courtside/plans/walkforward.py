@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.operators.evaluation import label, summarize
-from courtside.operators.folds import fold_bounds, test_rows, train_rows
+from courtside.operators.folds import assert_no_fold_leak, fold_bounds, test_rows, train_rows
 
 Predict = Callable[[DataFrame], DataFrame]
 Predictor = Callable[[DataFrame], Predict]
@@ -31,8 +31,10 @@ def evaluate(folded: DataFrame, predictors: dict[str, Predictor], n_folds: int =
              keep: tuple[str, ...] = ("gender", "seq")) -> DataFrame:
     """Out-of-fold predictions of every model: gender, seq, model, fold, p, y.
 
-    Predictors marked ``needs_training = False`` score all folds in one pass.
+    Predictors marked ``needs_training = False`` score all folds in one pass. Folds whose training rows reach past
+    their first test day are an error.
     """
+    assert_no_fold_leak(folded)
     parts = []
     for name, factory in predictors.items():
         if getattr(factory, "needs_training", True):

@@ -77,4 +77,17 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = path
+    return out
+
+
+_WRITTEN: dict[int, str] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a frame made by ``cut`` that no later step reads; does nothing for any other frame."""
+    path = _WRITTEN.pop(id(df), None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
