@@ -172,6 +172,22 @@ def s1(spark, sf):
                        "team_b_score", "sets_a", "sets_b", "venue", "country_host")
 
 
+@check("s1_odd_numbers", MATCHES,
+       """select seq%6 kind, count(*) n, count(*) filter (seq%6=1) n_unreadable, count(*) filter (seq%6 in (2,3)) n_no_sets,
+       sum(case when seq%6 in (1,4) then 0 else team_a_score end)::bigint scores from matches group by 1""")
+def s1_odd(spark, sf):
+    """Scores that are not numbers, fractional and wordy set counts, blanks, and a header with a comma in a quoted name."""
+    path = scratch_path(spark, "csv")
+    base_matches(spark, sf).selectExpr(
+        "CAST(seq % 6 AS string) AS `kind, of row`", "CAST(date AS string) AS date", "gender", "competition_id AS competition", "team_a", "team_b",
+        "CASE seq % 6 WHEN 1 THEN 'abc' WHEN 4 THEN ' ' ELSE concat(team_a_score, '') END AS team_a_score",
+        "CASE seq % 6 WHEN 2 THEN '2.9' WHEN 3 THEN 'two' ELSE concat(sets_a, '') END AS sets_a", "sets_b").write.option("header", True).csv(path)
+    rows = read_csv_matches(spark, path, column_map={"stage": "kind, of row"})
+    return rows.groupBy(F.col("stage_str").cast("bigint").alias("kind")).agg(
+        F.count("*").alias("n"), F.count_if("unreadable").alias("n_unreadable"), F.count_if(F.col("sets_a").isNull()).alias("n_no_sets"),
+        F.coalesce(F.sum("team_a_score"), F.lit(0)).cast("bigint").alias("scores"))
+
+
 @check("s1_csv_row_ids", MATCHES, "select count(*) n, count(*) n_ids, count(*) n_seq from matches")
 def s1_ids(spark, sf):
     path = scratch_path(spark, "csv")

@@ -33,6 +33,7 @@ class Isotonic:
 
         @F.pandas_udf(DoubleType())
         def level(p: pd.Series) -> pd.Series:
-            return pd.Series(np.interp(p.to_numpy(dtype=float), xs, ys))
+            values = pd.Series(np.interp(p.to_numpy(dtype=float), xs, ys), dtype=object)
+            return values.where(p.notna().to_numpy(), None)
 
         return df.withColumn(out, level("p"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.dates import parse_date, plausible
 from courtside.functions.text import name_key, stage_of
+from courtside.operators.context import last_per_key
 from courtside.operators.names import distinct_names, resolve_names
 from courtside.schemas import GENDERS, MATCH
 from courtside.session import cut
@@ -45,8 +46,8 @@ def competition_lookup(rows: DataFrame, competitions: DataFrame, named: DataFram
     cheaper to read), so that the rows themselves are not computed twice.
     """
     keys = (rows if named is None else named).select("competition_name").distinct().withColumn("_ckey", name_key(F.col("competition_name")))
-    dim = (competitions.withColumn("_ckey", name_key(F.col("name")))
-           .select("_ckey", F.col("gender").alias("_g"), F.col("name").alias("competition"), "competition_id"))
+    dim = last_per_key(competitions.withColumn("_ckey", name_key(F.col("name"))), ["_ckey", "gender"], ["name", "competition_id"])
+    dim = dim.select("_ckey", F.col("gender").alias("_g"), F.col("name").alias("competition"), "competition_id")
     known = keys.join(dim, "_ckey").drop("_ckey").withColumnRenamed("competition_name", "_cname")
     hit = (F.col("competition_name") == F.col("_cname")) & (F.col("gender") == F.col("_g"))
     return rows.join(known, hit, "left").drop("_cname", "_g")
@@ -77,6 +78,7 @@ def judge(rows: DataFrame, resolved: DataFrame, competitions: DataFrame, raw: Da
                          "left").drop("_src", "_name")
     rows = rows.withColumn("gender", F.lower(F.trim("gender")))
     rows = competition_lookup(rows, competitions, raw)
+    unreadable = F.col("unreadable") if "unreadable" in rows.columns else F.lit(False)
     date = parse_date(F.col("date_str"))
     rows = rows.withColumns({
         "date": date,
@@ -94,6 +96,7 @@ def judge(rows: DataFrame, resolved: DataFrame, competitions: DataFrame, raw: Da
         F.when(F.col("competition_id").isNull(), F.lit("unknown competition")),
         F.when(F.col("date").isNull(), F.lit("unknown date format")),
         F.when(~plausible(F.col("date")), F.lit("date out of range")),
+        F.when(unreadable, F.lit("unreadable score")),
         match_faults(*[F.col(c) for c in ("sets_a", "sets_b", "team_a_score", "team_b_score", "team_a", "team_b")]),
     )
     return rows.withColumn("reason", reason)

@@ -34,9 +34,15 @@ def lookup(table: dict, key: Column, default) -> Column:
     return chain
 
 
+def last_per_key(catalogue: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row per key: the last in file order (column ``ord``), or without it the one with the largest values."""
+    order = [c for c in ("ord",) if c in catalogue.columns] + values
+    return catalogue.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v")).select(*keys, "_v.*")
+
+
 def with_level(df: DataFrame, competitions: DataFrame) -> DataFrame:
     """Level of the competition of each row; null for an unknown id."""
-    dim = competitions.select("competition_id", "level")
+    dim = last_per_key(competitions, ["competition_id"], ["level"])
     return df.join(dim, "competition_id", "left")
 
 

@@ -131,7 +131,12 @@ def final_ratings(matches: DataFrame, history: DataFrame) -> DataFrame:
     """Rating of each team after its last match."""
     joined = matches.select("gender", "date", "seq", "team_a", "team_b").join(
         history.select("seq", "elo_a_post", "elo_b_post"), "seq")
-    sides = joined.select("gender", "date", "seq", F.inline(F.array(
+    return last_ratings(joined)
+
+
+def last_ratings(rated: DataFrame) -> DataFrame:
+    """The same from matches that carry their ratings after."""
+    sides = rated.select("gender", "date", "seq", F.inline(F.array(
         F.struct(F.col("team_a").alias("team"), F.col("elo_a_post").alias("post")),
         F.struct(F.col("team_b").alias("team"), F.col("elo_b_post").alias("post")))))
     return sides.groupBy("gender", "team").agg(F.max_by("post", F.struct("date", "seq")).alias("elo"))

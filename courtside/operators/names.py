@@ -54,22 +54,25 @@ def by_country(names: DataFrame, overrides: DataFrame, countries: DataFrame) ->
 
 
 def by_near_miss(names: DataFrame, countries: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Closest country within an edit distance of at most two: source, name, team_id, distance.
+    """Country within an edit distance of at most two: source, name, team_id, distance.
 
-    Two texts that close share a variant with at most two characters left out, so the search is
+    The candidates of a name are tried in their order; of the first with a near country the closest one counts. Two texts that close share a variant with at most two characters left out, so the search is
     an equality join on variants followed by the exact distance, never all names by all countries.
     """
     if not 0 <= max_distance <= 2:
         raise ValueError("max_distance is 0, 1 or 2")
-    left = names.select("source", "name", F.lower(F.trim("name")).alias("text"))
     right = countries.select(F.lower(F.trim("country")).alias("country"), "code").distinct()
+    longest = right.agg(F.max(F.length("country"))).first()[0] or 0
+    tries = names.select("source", "name", F.posexplode(name_candidates(F.col("name"))).alias("rank", "candidate"))
+    left = tries.select("source", "name", "rank", F.lower(F.trim("candidate")).alias("text")).where(
+        F.length("text") <= longest + max_distance)  # a longer text is near no country
     pairs = (
-        left.select("source", "name", "text", F.explode(delete_variants(F.col("text"))).alias("variant"))
+        left.select("source", "name", "rank", "text", F.explode(delete_variants(F.col("text"))).alias("variant"))
         .join(right.select("country", "code", F.explode(delete_variants(F.col("country"))).alias("variant")), "variant")
-        .select("source", "name", "code", F.levenshtein("text", "country").alias("distance"))
+        .select("source", "name", "rank", "code", F.levenshtein("text", "country").alias("distance"))
         .filter(F.col("distance") <= max_distance)
     )
-    return pairs.groupBy("source", "name").agg(F.min(F.struct("distance", "code")).alias("best")).select(
+    return pairs.groupBy("source", "name").agg(F.min(F.struct("rank", "distance", "code")).alias("best")).select(
         "source", "name", F.col("best.code").alias("team_id"), F.col("best.distance").alias("distance"))
 
 

@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from courtside.functions.scores import combine_scores, confidence_level, decisiveness, explanatory_factors, orient
 from courtside.operators.context import add_importance
+from courtside.operators.elo import EloConfig
 from courtside.operators.form import WINDOWS
 from courtside.operators.h2h import PAIR, record_before
 from courtside.plans.features import FEATURE_COLUMNS, add_diffs
 from courtside.schemas import GENDERS, SCORES
 
-INITIAL_RATING = 1500.0
-
-
 def judge_requests(requests: DataFrame, competitions: DataFrame) -> DataFrame:
     """Requests with the first reason against them (null when they can be scored)."""
-    known = competitions.select("competition_id", F.lit(True).alias("_known"))
+    known = competitions.select("competition_id", F.lit(True).alias("_known")).distinct()
     reason = F.coalesce(
         F.when(~F.coalesce(F.col("gender").isin(*GENDERS), F.lit(False)), F.lit("unknown gender")),
         F.when(F.col("team_a") == F.col("team_b"), F.lit("same team")),
@@ -26,7 +24,7 @@ def judge_requests(requests: DataFrame, competitions: DataFrame) -> DataFrame:
 
 
 def with_state(fixtures: DataFrame, ratings: DataFrame, states: DataFrame, days: DataFrame,
-               windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+               windows: tuple[int, ...] = WINDOWS, initial_rating: float = EloConfig.initial_rating) -> DataFrame:
     """Fixtures plus rating and form of both sides and the pair's record before the fixture date.
 
     Unknown teams get the initial rating, no matches and null form.
@@ -47,7 +45,7 @@ def with_state(fixtures: DataFrame, ratings: DataFrame, states: DataFrame, days:
             rolling[f"{side}_win_rate_last{n}"] = F.when(size > 0, wins / size)
             rolling[f"{side}_set_margin_avg_last{n}"] = F.when(size > 0, margin / size)
         out = out.withColumns({
-            f"elo_{side}_pre": F.coalesce("_elo", F.lit(INITIAL_RATING)),
+            f"elo_{side}_pre": F.coalesce("_elo", F.lit(initial_rating)),
             f"{side}_matches_played": F.coalesce("_mp", F.lit(0)),
             f"{side}_current_streak": F.coalesce("_st", F.lit(0)),
             f"{side}_days_since_last": F.datediff("date", "_last").cast("bigint"),
@@ -64,11 +62,12 @@ def with_state(fixtures: DataFrame, ratings: DataFrame, states: DataFrame, days:
 
 
 def fixture_features(fixtures: DataFrame, ratings: DataFrame, states: DataFrame, days: DataFrame,
-                     competitions: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+                     competitions: DataFrame, windows: tuple[int, ...] = WINDOWS,
+                     initial_rating: float = EloConfig.initial_rating) -> DataFrame:
     """The same feature columns as for history; tournament_progress only where the caller gives it."""
     if "tournament_progress" not in fixtures.columns:
         fixtures = fixtures.withColumn("tournament_progress", F.lit(None).cast("double"))
-    out = with_state(fixtures, ratings, states, days, windows).withColumn("stage", F.lit(None).cast("string"))
+    out = with_state(fixtures, ratings, states, days, windows, initial_rating).withColumn("stage", F.lit(None).cast("string"))
     return add_diffs(add_importance(out, competitions), windows).drop("stage", "stage_importance", "match_importance")
 
 
@@ -124,11 +123,11 @@ def prediction_record(scored: DataFrame) -> DataFrame:
         explanatory_factors().alias("explanatory_factors"))
 
 
-def predict(features: DataFrame, win_model, margin_model, point_model) -> DataFrame:
+def predict(features: DataFrame, win_model, margin_model, point_model, columns: list[str] = FEATURE_COLUMNS) -> DataFrame:
     """Score fixture features with the three fitted models and return the full records."""
     scored = win_model.transform(features, out="p")
     scored = margin_model.transform(scored, prefix="a")
-    flipped = orient(scored.withColumn("_keep", F.struct(*FEATURE_COLUMNS)), FEATURE_COLUMNS, F.lit(True))
+    flipped = orient(scored.withColumn("_keep", F.struct(*columns)), columns, F.lit(True))
     scored = margin_model.transform(flipped, prefix="b")
-    scored = scored.withColumns({c: F.col(f"_keep.{c}") for c in FEATURE_COLUMNS}).drop("_keep")
+    scored = scored.withColumns({c: F.col(f"_keep.{c}") for c in columns}).drop("_keep")
     return prediction_record(point_model.transform(scored, out="expected_point_diff"))

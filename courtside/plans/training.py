@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.models.trees import MarginTrees, PointTrees, WinTrees
-from courtside.operators.elo import final_ratings
+from courtside.operators.elo import EloConfig, last_ratings
+from courtside.operators.form import WINDOWS
 from courtside.operators.h2h import pair_days
 from courtside.operators.state import team_state
-from courtside.plans.features import FEATURE_COLUMNS, build_features
-from courtside.plans.predict import fixture_features, predict
+from courtside.plans.features import FEATURE_COLUMNS, build_features, feature_columns
+from courtside.plans.predict import fixture_features, judge_requests, predict
 from courtside.schemas import GENDERS
 from courtside.session import cut
 
@@ -27,11 +28,21 @@ class Bundle:
     states: DataFrame
     days: DataFrame
     metadata: DataFrame
+    elo: EloConfig = EloConfig()
+    windows: tuple[int, ...] = WINDOWS
 
     def predict(self, fixtures: DataFrame, competitions: DataFrame) -> DataFrame:
-        features = fixture_features(fixtures, self.ratings, self.states, self.days, competitions)
-        parts = [predict(features.filter(F.col("gender") == g), *models) for g, models in self.models.items()]
-        return reduce(DataFrame.unionByName, parts)
+        """A record per fixture. One that cannot be scored has its reason in the last column and nothing but its own columns."""
+        judged = judge_requests(fixtures, competitions)
+        pool = F.coalesce(F.col("gender").isin(*self.models), F.lit(False))
+        judged = judged.withColumn("reason", F.coalesce("reason", F.when(~pool, F.lit("no model for the pool"))))
+        refused = judged.where("reason IS NOT NULL").select("gender", "team_a", "team_b", "date", "competition_id", "reason")
+        features = fixture_features(judged.where("reason IS NULL").drop("reason"), self.ratings, self.states, self.days, competitions,
+                                    self.windows, self.elo.initial_rating)
+        columns = feature_columns(self.windows)
+        parts = [predict(features.filter(F.col("gender") == g), *models, columns).withColumn("reason", F.lit(None).cast("string"))
+                 for g, models in self.models.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, refused])
 
 
 def run_metadata(features: DataFrame, columns: list[str] = FEATURE_COLUMNS) -> DataFrame:
@@ -44,18 +55,19 @@ def run_metadata(features: DataFrame, columns: list[str] = FEATURE_COLUMNS) -> D
 
 
 def train_all(matches: DataFrame, competitions: DataFrame, win: dict | None = None, margin: dict | None = None,
-              points: dict | None = None) -> Bundle:
+              points: dict | None = None, elo: EloConfig = EloConfig(), windows: tuple[int, ...] = WINDOWS) -> Bundle:
     """Ratings and features are computed once and shared by state, metadata and the three models."""
-    features = cut(build_features(matches, competitions), "gender")
+    features = cut(build_features(matches, competitions, elo, windows), "gender")
+    columns = feature_columns(windows)
     models = {}
     for g in GENDERS:
         mine = features.filter(F.col("gender") == g)
         if mine.limit(1).count():
-            models[g] = (WinTrees(**(win or {})).fit(mine, FEATURE_COLUMNS),
-                         MarginTrees(**(margin or {})).fit(mine, FEATURE_COLUMNS),
-                         PointTrees(**(points or {})).fit(mine, FEATURE_COLUMNS))
-    return Bundle(models, final_ratings(features, features), team_state(features), pair_days(features),
-                  run_metadata(features))
+            models[g] = (WinTrees(**(win or {})).fit(mine, columns),
+                         MarginTrees(**(margin or {})).fit(mine, columns),
+                         PointTrees(**(points or {})).fit(mine, columns))
+    return Bundle(models, last_ratings(features), team_state(features), pair_days(features),
+                  run_metadata(features, columns), elo, windows)
 
 
 def save_bundle(bundle: Bundle, path: str) -> None:
@@ -65,7 +77,8 @@ def save_bundle(bundle: Bundle, path: str) -> None:
         points.save(f"{path}/models/{g}/points")
     for name in ("ratings", "states", "days"):
         getattr(bundle, name).write.mode("overwrite").partitionBy("gender").parquet(f"{path}/{name}")
-    bundle.metadata.withColumn("trained_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/metadata")
+    settings = {"trained_at": F.current_timestamp(), "initial_rating": F.lit(bundle.elo.initial_rating), "windows": F.lit(list(bundle.windows))}
+    bundle.metadata.withColumns(settings).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
@@ -73,4 +86,6 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     pools = [g for g in GENDERS if tables["metadata"].filter(F.col("gender") == g).limit(1).count()]
     models = {g: (WinTrees.load(f"{path}/models/{g}/win"), MarginTrees.load(f"{path}/models/{g}/margin"),
                   PointTrees.load(f"{path}/models/{g}/points")) for g in pools}
-    return Bundle(models, **tables)
+    kept = tables["metadata"].first()
+    settings = {"elo": EloConfig(initial_rating=kept["initial_rating"]), "windows": tuple(kept["windows"])} if kept else {}
+    return Bundle(models, **tables, **settings)

@@ -17,23 +17,33 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def _whole(c: Column) -> Column:
+def _score(c: Column) -> Column:
     """Integer part of a number written as text; null for blank or anything else."""
     return _blank_to_null(F.trim(c)).try_cast("double").try_cast("int")
 
 
+def _unreadable(c: Column) -> Column:
+    """Neither blank nor a number."""
+    return (F.trim(c) != "") & _score(c).isNull()
+
+
+def _count(c: Column) -> Column:
+    """A whole number written as text; null for blank, fractions or anything else."""
+    return F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), F.trim(c).try_cast("int"))
+
+
 def read_csv_matches(spark: SparkSession, path: str, source: str = "csv",
                      column_map: dict[str, str] | None = None) -> DataFrame:
     """Raw rows; source_match_id is <file stem>_<row number>.
 
     The header names the columns, so it is read once per file set; everything stays text until
-    it is cast here.  A count that is not a number becomes null and the quality gate rejects it.
+    it is cast here.  A set count that is not a whole number becomes null and the quality gate rejects it; so it does with a
+    score that is neither blank nor a number (column ``unreadable``).
     """
     names = {c: c for c in CSV_COLUMNS} | (column_map or {})
-    header = spark.read.text(path).first()
-    if header is None:
+    fields = spark.read.option("header", True).csv(path).columns
+    if not fields:
         return spark.createDataFrame([], RAW_MATCH)
-    fields = [f.strip().strip('"') for f in header[0].split(",")]
     missing = [names[c] for c in ("date", "gender", "competition", "team_a", "team_b", "sets_a", "sets_b")
                if names[c] not in fields]
     if missing:
@@ -57,13 +67,14 @@ def read_csv_matches(spark: SparkSession, path: str, source: str = "csv",
         _blank_to_null(col("stage")).alias("stage_str"),
         col("team_a").alias("team_a_name"),
         col("team_b").alias("team_b_name"),
-        _whole(col("team_a_score")).alias("team_a_score"),
-        _whole(col("team_b_score")).alias("team_b_score"),
-        _whole(col("sets_a")).alias("sets_a"),
-        _whole(col("sets_b")).alias("sets_b"),
+        _score(col("team_a_score")).alias("team_a_score"),
+        _score(col("team_b_score")).alias("team_b_score"),
+        _count(col("sets_a")).alias("sets_a"),
+        _count(col("sets_b")).alias("sets_b"),
         _blank_to_null(col("venue")).alias("venue"),
         _blank_to_null(col("country_host")).alias("country_host"),
         none.cast("boolean").alias("neutral"),
         none.cast("string").alias("tournament_no"),
         none.cast("int").alias("no_in_tournament"),
+        F.coalesce(_unreadable(col("team_a_score")) | _unreadable(col("team_b_score")), F.lit(False)).alias("unreadable"),
     )

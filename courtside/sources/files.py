@@ -58,11 +58,12 @@ def read_table(spark: SparkSession, path: str, schema, required=None) -> DataFra
 
 
 def read_competitions(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.option("header", True).csv(path)
-    require_columns(table, ["competition_id", "name", "gender", "level"])
+    header = spark.read.option("header", True).csv(path)
+    require_columns(header, ["competition_id", "name", "gender", "level"])
+    table = number_lines(header)  # of rows with one id the last counts
     club = F.col("is_club_competition").try_cast("boolean") if "is_club_competition" in table.columns else F.lit(False)
     return table.select("competition_id", "name", "gender", "level",
-                        F.coalesce(club, F.lit(False)).alias("is_club_competition"))
+                        F.coalesce(club, F.lit(False)).alias("is_club_competition"), F.col("seq").alias("ord"))
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
