@@ -36,11 +36,16 @@ def _loss(y, p):
 
 def _elo_rows(spark, sf):
     m = base_matches(spark, sf)
-    return m.join(elo_history(m), "seq")
+    return cut(m.join(elo_history(m), "seq"))
+
+
+def _folded(spark, sf):
+    rows = assign_folds(_elo_rows(spark, sf)).withColumn("elo_diff", F.col("elo_a_pre") - F.col("elo_b_pre"))
+    return cut(rows)
 
 
 def _predictions(spark, sf):
-    return evaluate(cut(assign_folds(_elo_rows(spark, sf))), {"elo": elo_predictor})
+    return evaluate(_folded(spark, sf), {"elo": elo_predictor})
 
 
 @check("w11_walk_forward_folds", MATCHES, MATCH_FOLDS, "select seq, cast(pos as bigint) pos, test_fold from folds")
@@ -185,7 +190,7 @@ def a12(spark, sf):
        """select gender, round(avg(lin),6) challenger, round(avg(mean),6) incumbent,
        case when avg(lin)<avg(mean) then 'linear_elo' else 'mean_baseline' end winner from er2 group by gender""", recursive=True)
 def a13(spark, sf):
-    folded = assign_folds(_elo_rows(spark, sf)).withColumn("elo_diff", F.col("elo_a_pre") - F.col("elo_b_pre"))
+    folded = _folded(spark, sf)
     preds = mean_baseline(folded).unionByName(linear_elo(folded))
     metrics = summarize_regression(preds, ["gender", "model", "fold"])
     out = verdict(metrics, ["gender"], "mae", "linear_elo", "mean_baseline")
@@ -198,7 +203,7 @@ def a13(spark, sf):
         select gender, fold, avg((team_a_score-team_b_score)::double) mu from tr group by gender, fold) t
         on t.gender=f.gender and t.fold=f.test_fold""")
 def a15(spark, sf):
-    return mean_baseline(assign_folds(base_matches(spark, sf))).select("seq", "fold", F.round("p", 6).alias("p"))
+    return mean_baseline(cut(assign_folds(base_matches(spark, sf)))).select("seq", "fold", F.round("p", 6).alias("p"))
 
 
 @check("l9_linear_elo_point_diff", MATCHES, ELO, ELO_FOLDS, _TRAIN,
@@ -207,8 +212,7 @@ def a15(spark, sf):
          regr_intercept((team_a_score-team_b_score)::double, elo_a_pre-elo_b_pre) a from tr group by gender, fold) t
         on t.gender=f.gender and t.fold=f.test_fold""", recursive=True)
 def l9(spark, sf):
-    folded = assign_folds(_elo_rows(spark, sf)).withColumn("elo_diff", F.col("elo_a_pre") - F.col("elo_b_pre"))
-    return linear_elo(folded).select("seq", "fold", F.round("p", 6).alias("p"))
+    return linear_elo(_folded(spark, sf)).select("seq", "fold", F.round("p", 6).alias("p"))
 
 
 @check("l12_walk_forward_predictions", MATCHES, ELO, ELO_FOLDS,

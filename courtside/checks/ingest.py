@@ -17,6 +17,7 @@ from courtside.operators.names import (
     auto_resolved_names, by_alias, by_country, by_near_miss, distinct_names, resolve_names, unresolved_names,
 )
 from courtside.plans.sample import aliases, base_matches, competitions, raw_rows, table
+from courtside.session import cut
 
 RAW = """raw0 as (select * from (
  select seq*10 rid, seq s, match_id sid, team_a ta, team_b tb, sets_a sa, sets_b sb, cast(date as varchar) d, gender g, competition_id c from matches
@@ -55,9 +56,9 @@ kept as (select * from judged where reason is null
   qualify row_number() over (partition by gd, dt, least(team_a,team_b), greatest(team_a,team_b) order by rid)=1)"""
 
 
-def _clean(spark, sf, materialise=False):
-    raw = raw_rows(spark, sf)
-    return raw, clean(raw, aliases(spark, sf), competitions(spark), materialise=materialise)
+def _clean(spark, sf):
+    raw = cut(raw_rows(spark, sf))
+    return raw, clean(raw, aliases(spark, sf), competitions(spark))
 
 
 def _tournament_names():
@@ -238,7 +239,7 @@ def v3(spark, sf):
        select 'rejected', reason, count(*) from judged where reason is not null group by reason union all
        select 'duplicate', null, (select count(*) from raw)-(select count(*) from kept)-(select count(*) from judged where reason is not null)""")
 def v5(spark, sf):
-    return cleaning_report(*_clean(spark, sf, materialise=True))
+    return cleaning_report(*_clean(spark, sf))
 
 
 @check("v6_unresolved_names", MATCHES, RAW, ALIASES, COMPETITIONS, JUDGED,
@@ -343,7 +344,7 @@ def a2(spark, sf):
        """select (select count(*) from raw)-(select count(*) from a1) source_copies,
        (select count(*) from judged where reason is null)-(select count(*) from kept) meeting_copies""")
 def a3(spark, sf):
-    raw, done = _clean(spark, sf, materialise=True)
+    raw, done = _clean(spark, sf)
     source = first_per_source_id(raw).agg(F.count("*").alias("n")).unionAll(
         raw.agg(-F.count("*"))).agg((-F.sum("n")).alias("source_copies"))
     meeting = done.matches.agg(F.count("*").alias("n")).unionAll(

@@ -57,7 +57,7 @@ def fixtures(matches):
 
 
 def _stored(spark, sf):
-    m = base_matches(spark, sf)
+    m = cut(base_matches(spark, sf))
     return m, final_ratings(m, elo_history(m)), team_state(m), pair_days(m)
 
 

@@ -104,7 +104,7 @@ def judge(rows: DataFrame, resolved: DataFrame, competitions: DataFrame, raw: Da
 
 @dataclass
 class Cleaned:
-    """Outcome of the quality gate; every part is lazy."""
+    """Outcome of the quality gate."""
 
     judged: DataFrame
     matches: DataFrame
@@ -113,10 +113,10 @@ class Cleaned:
 
 
 def clean(raw: DataFrame, aliases: DataFrame, competitions: DataFrame, overrides: DataFrame | None = None,
-          countries: DataFrame | None = None, materialise: bool = False) -> Cleaned:
+          countries: DataFrame | None = None, materialise: bool = True) -> Cleaned:
     """Copies out, names and competitions resolved, rules checked in order, repeats out.
 
-    ``materialise`` writes the judged rows once, for callers that use more than one part.
+    The judged rows are written once, as every part is read from them; without ``materialise`` all stays lazy.
     """
     unique = first_per_source_id(raw)
     resolved = resolve_names(distinct_names(raw), aliases, overrides, countries)

@@ -10,6 +10,7 @@ from courtside.operators.elo import BLOCK_ROWS, EloConfig, elo_history
 from courtside.operators.form import WINDOWS, form_by_match, long_form, team_form
 from courtside.operators.h2h import head_to_head
 from courtside.operators.ordering import ROW_BUDGET, group_sizes
+from courtside.session import cut
 
 
 def feature_columns(windows: tuple[int, ...] = WINDOWS) -> list[str]:
@@ -43,6 +44,7 @@ def build_features(matches: DataFrame, competitions: DataFrame, elo: EloConfig =
     Each part is computed on slim columns and comes back keyed by seq, so the joins below all
     hash on the same key.
     """
+    matches = cut(matches)  # read by the sizes, the ratings, form, head-to-head and progress
     sizes = group_sizes(matches)
     form = form_by_match(team_form(long_form(matches), windows, budget, sizes.team), windows)
     result = (
@@ -50,5 +52,10 @@ def build_features(matches: DataFrame, competitions: DataFrame, elo: EloConfig =
         .join(form, "seq")
         .join(head_to_head(matches, budget, sizes.pair), "seq")
     )
-    result = add_tournament_progress(add_importance(result, competitions))
+    result = add_importance(result, competitions)
+    if "tournament_no" in matches.columns and "no_in_tournament" in matches.columns:
+        slim = matches.select("seq", "tournament_no", "no_in_tournament")
+        result = result.join(add_tournament_progress(slim).select("seq", "tournament_progress"), "seq")
+    else:
+        result = add_tournament_progress(result)
     return add_diffs(result, windows)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.operators.context import add_tournament_progress
 from courtside.operators.ordering import with_position
 from courtside.plans.features import build_features
 from courtside.schemas import COMPETITION, columns
@@ -70,13 +69,8 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """build_features over the sample; the tournament numbers join in at the end, so that the
-    ratings and windows do not depend on them."""
-    base = base_matches(spark, sf_dir)
-    numbers = with_position(base.select("seq", "date", "tournament_no"), ["tournament_no"], out="no_in_tournament")
-    numbers = numbers.select("seq", (F.col("no_in_tournament") + 1).alias("no_in_tournament"))
-    frame = build_features(base, competitions(spark)).drop("tournament_progress")
-    return add_tournament_progress(frame.join(numbers, "seq"))
+    """build_features over the sample."""
+    return build_features(matches(spark, sf_dir), competitions(spark))
 
 
 def competitions(spark: SparkSession) -> DataFrame:
