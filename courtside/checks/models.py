@@ -4,29 +4,30 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.checks.evaluation import _elo_rows
-from courtside.checks.registry import MATCHES, check
-from courtside.checks.scoring import fixtures
+from courtside.checks.evaluation import ELO_FOLDS, _elo_rows, _folded
+from courtside.checks.registry import COMPETITIONS, ELO, FORM, LONG, MATCHES, check
+from courtside.checks.scoring import FIXTURES, FX, RATING, STATE, fixtures
+from courtside.models.baselines import point_diff
 from courtside.models.ensemble import average_ensemble, calibrated
 from courtside.models.isotonic import Isotonic
 from courtside.models.linear import BradleyTerry, EloLogistic, Platt
 from courtside.models.predictors import bradley_terry, elo_logistic, per_pool, small_network, win_trees
 from courtside.models.trees import MarginTrees, PointTrees, WinTrees
-from courtside.operators.evaluation import label, summarize
+from courtside.operators.evaluation import label, log_loss, summarize
 from courtside.operators.folds import assign_folds
 from courtside.plans.features import FEATURE_COLUMNS
 from courtside.plans.sample import base_matches, competitions, feature_frame, matches
 from courtside.plans.training import load_bundle, run_metadata, save_bundle, train_all
 from courtside.plans.walkforward import elo_predictor, evaluate
-from courtside.schemas import GENDERS
+from courtside.schemas import GENDERS, MARGINS
 from courtside.session import cut, scratch_path
 
-# Small models, so that a check takes seconds; the defaults of the classes are the full size.
-QUICK = {"maxIter": 8}
-QUICK_FOREST = {"numTrees": 10, "maxDepth": 4}
+# Models are fitted at the full size of their classes. What SQL cannot fit itself is held against what every right fit must satisfy:
+# row counts, first-order conditions, ranges, and being better than a constant.
+_POOLS = "select gender, count(*) n, true in_range, true better from matches group by gender"
 
 
 def _features(spark, sf):
@@ -37,95 +38,146 @@ def _by_pool(rows, fit_and_score):
     return reduce(DataFrame.unionByName, [fit_and_score(rows.filter(F.col("gender") == g)) for g in GENDERS])
 
 
-@check("l1_bradley_terry_strengths")
+def _judged(scored, better):
+    """Per pool: rows, whether all chances lie inside (0, 1), and ``better``, an aggregate."""
+    return scored.groupBy("gender").agg(F.count("*").alias("n"), F.every(F.col("p").between(0.0, 1.0)).alias("in_range"), better.alias("better"))
+
+
+def _beats_constant():
+    """Log loss below that of always giving the share of wins."""
+    share = F.avg("y")
+    return log_loss(F.col("y"), F.col("p")) < -(share * F.ln(share) + (1 - share) * F.ln(1 - share))
+
+
+@check("l1_bradley_terry_strengths", MATCHES,
+       """select gender, team, round(sum(won),1) wins from (select gender, team_a team, (winner='team_a')::int::double won from matches
+       union all select gender, team_b, (winner='team_b')::int::double from matches) group by gender, team""")
 def l1(spark, sf):
+    """At the optimum a team's expected wins plus its strength (over c = 1) are its wins."""
     m = base_matches(spark, sf)
-    parts = [BradleyTerry().fit(m.filter(F.col("gender") == g)).strengths.select(
-        F.lit(g).alias("gender"), "team", F.round("strength", 6).alias("strength")) for g in GENDERS]
-    return parts[0].unionByName(parts[1])
+
+    def wins(rows):
+        scored = BradleyTerry().fit(rows)
+        sides = scored.transform(rows).select("gender", F.inline(F.array(
+            F.struct(F.col("team_a").alias("team"), F.col("p").alias("won")), F.struct(F.col("team_b").alias("team"), (1 - F.col("p")).alias("won")))))
+        expected = sides.groupBy("gender", "team").agg(F.sum("won").alias("won"))
+        return expected.join(scored.strengths, "team").select("gender", "team", F.round(F.col("won") + F.col("strength"), 1).alias("wins"))
+
+    return _by_pool(m, wins)
 
 
-@check("l2_elo_logistic")
+_EXPECTED = "select gender, count(*) n, round(sum((winner='team_a')::int::double),1) expected_wins from matches group by gender"
+
+
+def _expected(scored):
+    return scored.groupBy("gender").agg(F.count("*").alias("n"), F.round(F.sum("p"), 1).alias("expected_wins"))
+
+
+@check("l2_elo_logistic", MATCHES, _EXPECTED)
 def l2(spark, sf):
-    rows = cut(_elo_rows(spark, sf))
-    return _by_pool(rows, lambda r: EloLogistic().fit(r).transform(r)).select("gender", "seq", F.round("p", 6).alias("p"))
+    """The intercept has no penalty, so the chances add up to the wins."""
+    return _expected(_by_pool(_elo_rows(spark, sf), lambda r: EloLogistic().fit(r).transform(r)))
+
 
+def _elo_chances(spark, sf):
+    return cut(_elo_rows(spark, sf).withColumn("p", F.col("elo_pred_a")).withColumn("y", label()))
 
-@check("l3_platt_calibrator")
+
+@check("l3_platt_calibrator", MATCHES, _EXPECTED)
 def l3(spark, sf):
-    rows = cut(_elo_rows(spark, sf).withColumn("p", F.col("elo_pred_a")).withColumn("y", label()))
-    return _by_pool(rows, lambda r: Platt().fit(r).transform(r)).select("gender", "seq", F.round("p", 6).alias("p"))
+    return _expected(_by_pool(_elo_chances(spark, sf), lambda r: Platt().fit(r).transform(r)))
 
 
-@check("l4_isotonic_calibrator")
+@check("l4_isotonic_calibrator", MATCHES,
+       "select gender, count(*) n, true in_range, true better, true monotone from matches group by gender")
 def l4(spark, sf):
-    rows = cut(_elo_rows(spark, sf).withColumn("p", F.col("elo_pred_a")).withColumn("y", label()))
-    return _by_pool(rows, lambda r: Isotonic().fit(r).transform(r)).select("gender", "seq", F.round("p", 6).alias("p"))
+    rows = _elo_chances(spark, sf).withColumn("x", F.col("p"))
+    scored = cut(_by_pool(rows, lambda r: Isotonic().fit(r).transform(r)))
+    order = Window.partitionBy("gender").orderBy("x")
+    levels = scored.groupBy("gender", "x").agg(F.max("p").alias("level"))
+    rising = levels.withColumn("up", F.coalesce(F.col("level") >= F.lag("level").over(order), F.lit(True)))
+    return _judged(scored, _beats_constant()).join(rising.groupBy("gender").agg(F.every("up").alias("monotone")), "gender")
 
 
-@check("l5_win_trees")
+@check("l5_win_trees", MATCHES, _POOLS)
 def l5(spark, sf):
-    features = _features(spark, sf)
-    return _by_pool(features, lambda r: WinTrees(**QUICK).fit(r, FEATURE_COLUMNS).transform(r)).select(
-        "gender", "seq", F.round("p", 6).alias("p"))
+    features = _features(spark, sf).withColumn("y", label())
+    return _judged(_by_pool(features, lambda r: WinTrees().fit(r, FEATURE_COLUMNS).transform(r)), _beats_constant())
 
 
-@check("s9_model_round_trip")
+@check("s9_model_round_trip", MATCHES,
+       f"select gender, count(*) n, 0::bigint changed, '{','.join(FEATURE_COLUMNS)}' features from matches group by gender")
 def s9(spark, sf):
     features = _features(spark, sf)
     path = scratch_path(spark, "model")
-    WinTrees(maxIter=3).fit(features, FEATURE_COLUMNS).save(path)
+    model = WinTrees().fit(features, FEATURE_COLUMNS)
+    model.save(path)
     loaded = WinTrees.load(path)
-    return loaded.transform(features).select(
-        "gender", "seq", F.round("p", 6).alias("p"), F.lit(",".join(loaded.feature_columns)).alias("features"))
+    both = loaded.transform(model.transform(features, out="before"), out="after")
+    return both.groupBy("gender").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("changed"),
+                                      F.lit(",".join(loaded.feature_columns)).alias("features"))
 
 
-@check("l6_feature_importance")
+@check("l6_feature_importance", MATCHES, f"select {len(FEATURE_COLUMNS)}::bigint n, true falling, 1.0::double total")
 def l6(spark, sf):
     features = _features(spark, sf)
-    return WinTrees(**QUICK).fit(features, FEATURE_COLUMNS).feature_importance(spark)
+    found = WinTrees().fit(features, FEATURE_COLUMNS).feature_importance(spark)
+    order = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
+    return found.withColumn("ok", F.col("importance") <= F.coalesce(F.lag("importance").over(order), F.col("importance"))).agg(
+        F.count("*").alias("n"), F.every("ok").alias("falling"), F.round(F.sum("importance"), 6).alias("total"))
 
 
-@check("l7_margin_trees")
+@check("l7_margin_trees", MATCHES, "select gender, count(*) n, true sums_to_one from matches group by gender")
 def l7(spark, sf):
     features = _features(spark, sf)
-    model = MarginTrees(**QUICK_FOREST).fit(features, FEATURE_COLUMNS)
-    return model.transform(features, "a").select("gender", "seq", "a_3-0", "a_3-1", "a_3-2")
+    scored = MarginTrees().fit(features, FEATURE_COLUMNS).transform(features, "a")
+    total = sum((F.col(f"`a_{m}`") for m in MARGINS[1:]), F.col(f"`a_{MARGINS[0]}`"))
+    return scored.groupBy("gender").agg(F.count("*").alias("n"), F.every(F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-@check("l8_point_trees")
+@check("l8_point_trees", MATCHES, "select gender, count(*) n, true better from matches group by gender")
 def l8(spark, sf):
+    """The squared error is below that of the mean."""
     features = _features(spark, sf)
-    return PointTrees(**QUICK).fit(features, FEATURE_COLUMNS).transform(features).select(
-        "gender", "seq", F.round("p", 4).alias("p"))
+    scored = PointTrees().fit(features, FEATURE_COLUMNS).transform(features).withColumn("y", point_diff())
+    return scored.groupBy("gender").agg(F.count("*").alias("n"), (F.avg(F.pow(F.col("y") - F.col("p"), 2)) < F.var_pop("y")).alias("better"))
 
 
-@check("l10_small_network")
+@check("l10_small_network", MATCHES, _POOLS)
 def l10(spark, sf):
     features = _features(spark, sf)
-    predict = per_pool(small_network(iterations=(20,)))(features)
-    return predict(features).select("gender", "seq", F.round("p", 6).alias("p"))
+    return _judged(per_pool(small_network())(features)(features).withColumn("y", label()), _beats_constant())
+
+
+def _models(*names):
+    models = ", ".join(f"'{n}'" for n in names)
+    return (f"select gender, model, test_fold fold, count(*) n, true finite from folds, (select unnest([{models}]) model) "
+            "where test_fold is not null group by gender, model, test_fold")
+
 
+def _compared(predictions):
+    rows = summarize(predictions, ["gender", "model", "fold"])
+    return rows.select("gender", "model", "fold", "n", F.col("log_loss").between(0.0, 3.0).alias("finite"))
 
-@check("l11_calibrated_model")
+
+@check("l11_calibrated_model", MATCHES, ELO, ELO_FOLDS, _models("platt", "isotonic"), recursive=True)
 def l11(spark, sf):
-    rows = cut(_elo_rows(spark, sf))
-    folded = cut(assign_folds(rows, n_folds=3), "gender", "test_fold")
+    folded = cut(_folded(spark, sf), "gender", "test_fold")
     models = {"platt": per_pool(calibrated(elo_logistic, Platt)), "isotonic": per_pool(calibrated(elo_logistic, Isotonic))}
-    return summarize(evaluate(folded, models, n_folds=3), ["gender", "model", "fold"])
+    return _compared(evaluate(folded, models))
 
 
-@check("l12_model_comparison")
+@check("l12_model_comparison", MATCHES, ELO, ELO_FOLDS, _models("elo", "bradley_terry", "elo_logistic", "win_trees", "ensemble"), recursive=True)
 def l12(spark, sf):
-    folded = cut(assign_folds(_features(spark, sf), n_folds=3), "gender", "test_fold")
+    folded = cut(assign_folds(_features(spark, sf)), "gender", "test_fold")
     models = {
         "elo": elo_predictor,
         "bradley_terry": per_pool(bradley_terry),
         "elo_logistic": per_pool(elo_logistic),
-        "win_trees": per_pool(win_trees(maxIter=3)),
+        "win_trees": per_pool(win_trees()),
         "ensemble": per_pool(average_ensemble({"elo": elo_predictor, "bt": bradley_terry})),
     }
-    return summarize(evaluate(folded, models, n_folds=3), ["gender", "model", "fold"])
+    return _compared(evaluate(folded, models))
 
 
 @check("s10_run_metadata", MATCHES,
@@ -136,25 +188,35 @@ def s10(spark, sf):
     return run_metadata(base_matches(spark, sf)).drop("feature_columns")
 
 
-def _flat(records):
-    return records.select(
-        "gender", "team_a", "team_b", "date", "competition_id", "p_team_a_wins", "p_team_b_wins", "most_likely_score",
-        "most_likely_score_probability", "score_confidence", "score_confidence_gap", "expected_point_diff", "elo_team_a",
-        "elo_team_b", "confidence", F.size("set_score_probabilities").alias("n_scores"),
-        F.size("close_score_alternatives").alias("n_alternatives"), F.array_join("explanatory_factors", "; ").alias("factors"))
-
-
-@check("f2_prediction_records")
+@check("f2_prediction_records", MATCHES, COMPETITIONS, LONG, FORM, STATE, ELO, RATING, FIXTURES, FX,
+       """select gender, team_a, team_b, date, competition_id, round_even(ea,1) elo_team_a, round_even(eb,1) elo_team_b,
+       case when least(mpa,mpb)=0 then 'low (at least one team has no history in the dataset)' when least(mpa,mpb)<5 then 'low'
+        when least(mpa,mpb)<15 then 'medium' else 'high' end confidence, true chances, true scores, 6 n_scores, null::varchar reason from fxx
+       union all select 'mixed', 'X', 'Y', date '2020-01-01', 'none', null, null, null, null, null, null, 'unknown gender'""", recursive=True)
 def f2(spark, sf):
-    m = matches(spark, sf)
-    bundle = train_all(m, competitions(spark), QUICK, QUICK_FOREST, QUICK)
-    return _flat(bundle.predict(fixtures(base_matches(spark, sf)), competitions(spark)))
-
-
-@check("l14_train_save_and_score")
+    """Records of all fixtures and of one that cannot be scored."""
+    bundle = train_all(matches(spark, sf), competitions(spark))
+    asked = cut(fixtures(base_matches(spark, sf)))
+    odd = spark.sql("SELECT 'mixed' AS gender, 'X' AS team_a, 'Y' AS team_b, DATE '2020-01-01' AS date, 'none' AS competition_id")
+    got = bundle.predict(asked.unionByName(odd), competitions(spark))
+    chances = F.map_values("set_score_probabilities")
+    total = F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)
+    return got.select(
+        "gender", "team_a", "team_b", "date", "competition_id", "elo_team_a", "elo_team_b", "confidence",
+        (F.abs(F.col("p_team_a_wins") + F.col("p_team_b_wins") - 1) < 2e-4).alias("chances"), (F.abs(total - 1) < 1e-3).alias("scores"),
+        F.when(F.col("reason").isNull(), F.size(chances)).alias("n_scores"), "reason")
+
+
+@check("l14_train_save_and_score", MATCHES, FIXTURES, "select gender, count(*) n, 0::bigint changed from fx group by gender")
 def l14(spark, sf):
+    """Predictions of a bundle before and after it was written and read again."""
     path = scratch_path(spark, "bundle")
-    save_bundle(train_all(matches(spark, sf), competitions(spark), {"maxIter": 3}, {"numTrees": 5, "maxDepth": 3},
-                          {"maxIter": 3}), path)
-    bundle = load_bundle(spark, path)
-    return _flat(bundle.predict(fixtures(base_matches(spark, sf)), competitions(spark)))
+    bundle = train_all(matches(spark, sf), competitions(spark))
+    asked = cut(fixtures(base_matches(spark, sf)))
+    save_bundle(bundle, path)
+    key = ["gender", "team_a", "team_b", "date"]
+    shown = ["p_team_a_wins", "most_likely_score", "expected_point_diff", "confidence"]
+    before, after = (b.predict(asked, competitions(spark)).select(*key, F.struct(*shown).alias(n))
+                     for b, n in ((bundle, "before"), (load_bundle(spark, path), "after")))
+    both = before.join(after, key, "full")
+    return both.groupBy("gender").agg(F.count("*").alias("n"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))

@@ -11,7 +11,10 @@ from tools.compare import TABLES, rows_of
 SF = "/root/testdata/sf0.001"
 SOME = ["w2_current_streak", "w7_h2h_win_rate_a", "w8_elo_history", "w16_feature_frame", "w11_walk_forward_folds",
         "a7_calibration_table", "v5_cleaning_report", "s5_clean_matches", "j3_near_miss", "f1_fixture_features",
-        "m9_score_decisiveness", "p13_discard_reasons"]
+        "m9_score_decisiveness", "p13_discard_reasons", "w8_elo_blocks", "w17_form_windows", "w18_point_rates_in_pieces",
+        "w19_schedule_strength", "w20_schedule_density", "w21_h2h_last_n_in_pieces", "w22_year_folds", "w23_elo_margin", "w24_elo_decay",
+        "w25_elo_recent", "a16_ece", "a17_auc", "m5_orient_features", "m15_stage_flags", "s1_odd_numbers", "l9_linear_elo_point_diff",
+        "a15_mean_baseline", "l2_elo_logistic", "l4_isotonic_calibrator"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables not present")
 
 
