@@ -27,7 +27,7 @@ from courtside.llm import boosting
 from courtside.llm.shared import with_struct
 
 SAMPLE = 300           # pages whose text the training pages are made of
-MADE = 600             # training pages
+MADE = 900             # training pages
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -341,8 +341,8 @@ class Maker:
     def article(self) -> str:
         rng, m = self.rng, f" {self.MARK}"
         blocks = list(rng.choice(self.material))
-        if rng.random() < 0.15:    # a short one
-            blocks = [self.some(1, 9) for _ in range(rng.randint(1, 2))]
+        if rng.random() < 0.25:    # a short one
+            blocks = [self.some(1, rng.choice((2, 9))) for _ in range(rng.randint(1, 2))]
         parts = [f"<{rng.choice(('h1', 'h1', 'h2'))}{m}>{self.some(3, 14)}</h1>"] if rng.random() < 0.9 else []
         parts[:] = [re.sub(r"</h1>$", "</" + p[1:3] + ">", p) for p in parts]
         for block in blocks:
