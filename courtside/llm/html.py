@@ -27,7 +27,7 @@ from courtside.llm import boosting
 from courtside.llm.shared import with_struct
 
 SAMPLE = 300           # pages whose text the training pages are made of
-MADE = 900             # training pages
+MADE = 1500            # training pages
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -359,7 +359,7 @@ class Maker:
                 parts.append(f"<blockquote{m}><p{m}>{block}</p></blockquote>")
             else:
                 parts.append(f"<table{m}><tr{m}><td{m}>{block}</td><td{m}>{self.some(1, 5)}</td></tr></table>")
-            if rng.random() < 0.06:
+            if rng.random() < 0.1:
                 parts.append(self.junk(rng.choice(("ad", "share", "notice", "form"))))
         body = "".join(parts)
         return rng.choice((f"<article{m}>{body}</article>", f"<article{m}>{body}</article>", f"<main{m}><article{m}>{body}</article></main>",

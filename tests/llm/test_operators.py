@@ -348,7 +348,7 @@ def test_word_ids(parts):
 @pytest.fixture(scope="module")
 def trees():
     rng = np.random.default_rng(6)
-    return html._train([[prose(rng, int(n)) for n in rng.integers(5, 60, 5)] for _ in range(40)], 300)
+    return html._train([[prose(rng, int(n)) for n in rng.integers(5, 60, 5)] for _ in range(40)], html.MADE)
 
 
 def test_main_text(spark, trees):
