@@ -3,8 +3,10 @@
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -456,6 +458,41 @@ def test_attention_gradient_and_training():
     assert loss(trained) < loss(flat) and seen == count
 
 
+def test_training_predicts_every_token_once():
+    texts, v = _toy(2)
+    base = attention.prior(attention.pairs_of(attention.lay_out(texts, v, 79)).reshape(attention.ROWS, -1))
+    column = pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary())
+    old, attention.BATCH = attention.BATCH, 3  # several steps, whose windows meet without gap or overlap
+    try:
+        got = lm._train(SimpleNamespace(value=lm.Setting(v, 79, 78)), SimpleNamespace(value=(attention.start(), base)))(iter([column]))
+    finally:
+        attention.BATCH = old
+    assert got[-1] == sum(map(len, texts)) + len(texts)  # and the end marks
+
+
+def test_gradient_of_overlapping_windows():
+    texts, v = _toy(2)
+    s = attention.lay_out(texts, v, 79)
+    base = attention.prior(attention.pairs_of(s).reshape(attention.ROWS, -1))
+    flat = attention.start()
+    model = attention.Model(flat.copy(), base)
+    model.tables()
+    grad, count = model.gradient(s.inputs, s.classes, attention.BLOCK)
+    def loss(f):
+        m = attention.Model(f, base)
+        m.tables()
+        return -m.log_chances(s).sum() / count
+    at = 0
+    for name, shape in attention.SHAPES.items():
+        size = int(np.prod(shape))
+        i = at + int(np.argmax(np.abs(grad[at:at + size])))
+        at += size
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        assert abs((loss(up) - loss(down)) / 2e-2 - grad[i]) < 0.05 * abs(grad[i]) + 1e-4, name
+
+
 def test_lm_base_scores(spark, odd):
     learns = F.col("doc_id").isNotNull() & (F.col("doc_id") != 5)
     got = lm.scored(odd, learns, WORD_BPE).collect()
