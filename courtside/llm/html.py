@@ -32,8 +32,14 @@ MADE = 1500            # training pages
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes textarea select option object svg math canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("head script style template iframe noembed noframes textarea select option svg canvas audio video".split())
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+LOOSE = frozenset("option svg canvas audio video".split())   # end where their block ends for the next one
+LEAVES_SVG = frozenset(("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s "
+                        "small span strong strike sub sup table tt u ul var").split())
+INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover "
+                   "mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation").split())
 CLOSES_P = frozenset(("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                       "header hgroup hr main menu nav ol p pre search section summary table ul").split())
 KINDS = ("p", "li", "ul ol menu", "div", "article main", "section", "nav", "aside", "header", "footer", "form fieldset button input",
@@ -90,11 +96,13 @@ def parse(page: str) -> tuple[list[Node], int]:
     """The block elements of a page in page order (node 0 is the root), and how many pieces of text it has.
 
     Closing tags without an opening one are passed over; paragraphs, list items and table cells end where the next begins.
+    A hidden element without an end ends with its block or where HTML ends it: an option at the next one, a select at an input,
+    an svg at a paragraph and the like, a head at the first text or element of the body. Formulae are text of their block.
     """
     nodes = [Node("html", -1, 0, 0)]
     stack = [0]                    # open blocks
-    hidden = 0                     # open hidden elements
-    hidden_tags: list[str] = []
+    hidden: list[str] = []         # an open hidden element and the open elements within it
+    inline: dict[str, int] = {}    # open inline elements of the block
     links = 0
     at = order = 0
     size = len(page)
@@ -112,12 +120,28 @@ def parse(page: str) -> tuple[list[Node], int]:
     def close(to: int) -> None:
         while len(stack) > to:
             nodes[stack.pop()].last = len(nodes) - 1
+            inline.clear()
+
+    def leave(tag: str) -> None:
+        while hidden.pop() != tag:
+            pass
+
+    def head() -> bool:
+        return hidden[:1] == ["head"] and all(t == "noscript" for t in hidden[1:])
+
+    def ends_top(tag: str) -> bool:
+        top = nodes[stack[-1]].tag
+        return (tag in CLOSES_P and top == "p" or tag == top == "li" or tag in ("dt", "dd") and top in ("dt", "dd")
+                or tag in ("td", "th", "tr") and top in ("td", "th") or tag == top == "tr")
 
     while at < size:
         m = _MARKUP.search(page, at)
         begin = m.start() if m else size
-        if begin > at and not hidden:
-            text(page[at:begin])
+        if begin > at:
+            if hidden and head() and not page[at:begin].isspace():
+                hidden.clear()
+            if not hidden:
+                text(page[at:begin])
         if not m:
             break
         at = m.end()
@@ -126,13 +150,17 @@ def parse(page: str) -> tuple[list[Node], int]:
             continue
         tag = tag.lower()
         if m[1]:
+            if hidden:
+                if tag in hidden:
+                    leave(tag)
+                    continue
+                if not inline.get(tag) and all(nodes[k].tag != tag for k in stack[1:]):
+                    continue
+                hidden.clear()     # what is around it ends
+            if inline.get(tag):
+                inline[tag] -= 1
             if tag == "a":
                 links = max(0, links - 1)
-            elif hidden:
-                if tag in hidden_tags:
-                    while hidden_tags.pop() != tag:
-                        pass
-                    hidden = len(hidden_tags)
             elif tag not in INLINE:
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
@@ -141,30 +169,39 @@ def parse(page: str) -> tuple[list[Node], int]:
                         break
             continue
         attrs = m[3]
+        if hidden:
+            if head() and tag not in IN_HEAD:
+                hidden.clear()
+            elif tag in ("input", "textarea", "select") and "select" in hidden:
+                leave("select")
+                if tag == "select":
+                    continue
+            elif tag in ("option", "optgroup") and hidden[-1] == "option":
+                hidden.pop()
+            elif tag in LEAVES_SVG and "svg" in hidden and "foreignobject" not in hidden and "desc" not in hidden:
+                leave("svg")
+            elif len(hidden) == 1 and hidden[0] in LOOSE and ends_top(tag):
+                hidden.clear()
         if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at) if tag not in _ENDS else _ENDS[tag].search(page, at)
             at = end.end() if end else size
             if not hidden:
                 nodes[stack[-1]].fields += tag == "textarea"
             continue
-        if hidden:
-            if tag in HIDDEN and tag not in VOID and not attrs.endswith("/"):
-                hidden_tags.append(tag)
-                hidden += 1
-            if tag == "body" and hidden_tags[0] == "head":  # a head without an end
-                hidden_tags.clear()
-                hidden = 0
-            else:
-                continue
-        if tag in HIDDEN:
-            if not attrs.endswith("/"):
-                hidden_tags.append(tag)
-                hidden = len(hidden_tags)
+        if hidden and tag == "body" and hidden[0] == "head":
+            hidden.clear()
+        if hidden or tag in HIDDEN:
+            if tag not in VOID and not attrs.endswith("/"):
+                hidden.append(tag)
+            continue
+        if tag == "object" and attrs.endswith("/"):
             continue
         if tag in INLINE or tag in VOID:
+            if tag not in VOID and not attrs.endswith("/"):
+                inline[tag] = inline.get(tag, 0) + 1
             if tag == "a":
                 links += 1
-            elif tag == "br" or tag == "hr":
+            elif tag in ("br", "hr", "mtd", "annotation"):
                 text(" ")
             elif tag in ("img", "input", "embed"):
                 nodes[stack[-1]].fields += 1

@@ -369,6 +369,21 @@ def test_main_text(spark, trees):
     assert html.with_main_text(df.limit(0), trees).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><form><datalist id=d><option value=a><option value=b></datalist></form><p>one</p>", "one"),
+    ("<form><select><option>a<option>b</form><p>one", "one"), ("<div><select><option>a<input>mid</div>one", "mid one"),
+    *((f"<div><{t} src=x></div><p>one</p><p>two", "one two") for t in ("video", "audio", "svg", "canvas", "template", "object", "noscript")),
+    ("<ul><li>a<video src=x><li>b</ul>", "a b"), ("<p>a <span><svg><path d=x></span> b</p>", "a b"), ("<div><svg><path d=x><p>one</p></div>", "one"),
+    ("<div><video><div>no</div><p>no</p>no</video>one</div>", "one"), ("<div><svg><g><text>no</text></g></svg>one</div>", "one"),
+    ("<html><head><title>t</title><meta charset=x><p>one</p>two", "one two"), ("<head><title>t</title> one <b>two</b>", "one two"),
+    ("<head><noscript><link href=x></noscript><title>t</title></head><p>one", "one"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+    ("<p>a</p><object data=x><p>b</p></object><noscript><p>c</p></noscript>", "a b c")])
+def test_hidden_elements_end_with_their_block(page, want):
+    nodes, _ = html.parse(page)
+    assert html.text_of(nodes, [True] * len(nodes)) == want
+
+
 def test_decoding_agrees_along_paths():
     rng = np.random.default_rng(9)
     for _ in range(60):
