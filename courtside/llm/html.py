@@ -28,6 +28,7 @@ from courtside.llm.shared import with_struct
 
 SAMPLE = 300           # pages whose text the training pages are made of
 MADE = 1500            # training pages
+MATERIAL = 200_000     # characters of a sampled page that give material
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -435,13 +436,16 @@ class Maker:
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE, made: int = MADE) -> boosting.Trees:
     """Trees trained on ``made`` pages set from the text of at most ``sample`` of the given ones (first by a hash of the page).
 
-    The bound keeps training in one task. Without pages the skeletons are set with placeholder words.
+    Copies of a page count once and pages without any text but white space not at all. The bound keeps training in one task; of a sampled page
+    the first ``MATERIAL`` characters are material. Without pages the skeletons are set with placeholder words.
     """
-    chosen = pages.select(F.col(html).cast("string").alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(sample)
+    told = pages.select(F.col(html).cast("string").alias("html")).where(F.col("html").rlike(r"\S")).withColumn("hash", F.xxhash64("html"))
+    first = [r.hash for r in told.select("hash").distinct().orderBy("hash").limit(sample).collect()]
+    chosen = told.where(F.col("hash").isin(first)).dropDuplicates(["hash"]).select("html")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
-        material = [blocks_of(page[:200_000]) for batch in batches for page in sorted(batch["html"])]
+        material = [blocks_of(page[:MATERIAL]) for batch in batches for page in sorted(batch["html"])]
         yield pd.DataFrame({"model": [pickle.dumps(_train(material, made))]})
 
     import pickle

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty tables, ties, repeats and clashing names."""
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -384,6 +385,16 @@ def test_hidden_elements_end_with_their_block(page, want):
     assert html.text_of(nodes, [True] * len(nodes)) == want
 
 
+def test_training_sample_has_each_page_once(spark):
+    rng = np.random.default_rng(3)
+    pages = [f"<p>{prose(rng, 30)}</p><p>{prose(rng, 20)}</p>" for _ in range(6)]
+    once = spark.createDataFrame([(p,) for p in pages], "html string")
+    often = spark.createDataFrame([(p,) for p in pages * 5] + [("",), (" \n",), (None,)] * 20, "html string")
+    want, got = (pickle.dumps(html.fit(df, sample=4, made=30)) for df in (once, often))
+    assert got == want
+    assert html.fit(once.limit(0), made=30)
+
+
 def test_decoding_agrees_along_paths():
     rng = np.random.default_rng(9)
     for _ in range(60):
