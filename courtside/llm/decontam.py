@@ -241,15 +241,14 @@ def _find(shared) -> object:
     return work
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple]]:
-    """The benchmark in parts of a bounded number of words (an item longer than that is a part of its own)."""
+def _slices(benchmark: DataFrame, item_id: str, text: str, words: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many parts of a bounded number of words the benchmark has (one item may be longer), and the parts, each collected when asked for."""
     read = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text"))
     bytes_ = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-bytes_ // (4 * words)))
-    if parts == 1:
-        return [[(r.item, r.text.encode() if r.text is not None else None) for r in read.collect()]]
     part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [[(r.item, r.text.encode() if r.text is not None else None) for r in read.where(part == k).collect()] for k in range(parts)]
+    chosen = (read.where(part == k) if parts > 1 else read for k in range(parts))
+    return parts, ([(r.item, r.text.encode() if r.text is not None else None) for r in c.collect()] for c in chosen)
 
 
 def with_hits(df: DataFrame, benchmark: DataFrame, name: str, text: str = "text", item_id: str = "item_id",
@@ -258,19 +257,20 @@ def with_hits(df: DataFrame, benchmark: DataFrame, name: str, text: str = "text"
 
     Null and empty texts have no words and no hits; an item without words has no window; items without an id hit but
     are not listed; repeated item ids count once. An empty benchmark hits nothing. The benchmark is broadcast while it is under
-    ``pattern_words``; a larger one is dealt out to several passes, each broadcasting a part, and the spans are merged.
+    ``pattern_words``; a larger one is dealt out to several passes, each collecting and broadcasting a part, and the spans are merged.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
     made = []
-    parts = _slices(benchmark, item_id, item_text, pattern_words)
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(Patterns(part, window))
-        made.append(free_name(df, f"_hits{k}") if len(parts) > 1 else name)
+    n_parts, parts = _slices(benchmark, item_id, item_text, pattern_words)
+    for k in range(n_parts):
+        shared = spark.sparkContext.broadcast(Patterns(next(parts), window))
+        made.append(free_name(df, f"_hits{k}") if n_parts > 1 else name)
         df = with_struct(df, made[-1], _find(shared), KIND, F.col(text))
-        if len(parts) > 1:
+        if n_parts > 1:
             df = scratch.keep(df)
-    if len(parts) == 1:
+            shared.destroy()       # the pass is written
+    if n_parts == 1:
         return df
     return df.withColumn(name, F.struct(
         F.col(made[0]).n_words.alias("n_words"),

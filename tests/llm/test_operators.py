@@ -244,6 +244,23 @@ def test_decontamination(spark):
     assert none == 0 and decontam.with_hits(df.limit(0), bench, "h").count() == 0
 
 
+def test_benchmark_parts_are_collected_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    items = [(i, prose(rng, 30)) for i in range(12)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, prose(rng, 10) + " " + t) for i, t in items], "doc_id bigint, text string")
+    steps = []
+    collect, keep = type(benchmark).collect, Scratch.keep
+    monkeypatch.setattr(type(benchmark), "collect", lambda self: steps.append("collect") or collect(self))
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: steps.append("pass") or keep(self, df))
+    found = decontam.with_hits(docs, benchmark, "hits", pattern_words=150)
+    monkeypatch.undo()
+    parts = steps.count("pass")
+    passes = [s for s in steps if s == "pass" or s == "collect"][-2 * parts:]
+    assert parts > 1 and passes == ["collect", "pass"] * parts
+    assert all(r.hits["items"] == [r.doc_id] for r in found.collect())
+
+
 def test_index_searches_and_locates():
     rng = np.random.default_rng(4)
     seq = np.concatenate([np.r_[rng.integers(1, 5, rng.integers(1, 50)), 0] for _ in range(30)]).astype(np.int32)
