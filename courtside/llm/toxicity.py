@@ -29,7 +29,7 @@ _SLOTS = (1 << BITS) - 1
 
 
 class Features:
-    """Feature numbers of a text with the number of its words that hold each, as ``number * 256 + words`` (255 at most).
+    """Feature numbers of a text with the number of its words that hold each, as ``number << 32 | words``.
 
     With ``wanted`` (booleans by number) only those are looked at. A word's features are kept, up to a bound on words.
     """
@@ -58,14 +58,14 @@ class Features:
         parts = [known[w] if w in known else self._of_word(w) for w in words]
         parts = [p for p in parts if p.size]
         if not parts:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int64)
         seen = np.concatenate(parts)
         seen.sort()
         edge = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
-        return seen[edge] * 256 + np.minimum(np.diff(np.r_[edge, len(seen)]), 255).astype(np.int32)
+        return seen[edge].astype(np.int64) << 32 | np.diff(np.r_[edge, len(seen)])
 
 
-_VALUE = np.log2(1 + np.arange(256))
+_WORDS = (1 << 32) - 1
 
 
 @dataclass
@@ -76,7 +76,7 @@ class Model:
     bias: float
 
     def score(self, found: np.ndarray) -> float:
-        z = self.bias + float((self.weight[found >> 8] * _VALUE[found & 255]).sum())
+        z = self.bias + float((self.weight[found >> 32] * np.log2(1 + (found & _WORDS))).sum())
         return float(1 / (1 + np.exp(-min(max(z, -500), 500))))
 
 
@@ -86,7 +86,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1.0, step
     if not n or label.min() == label.max():
         return Model(np.zeros(size), 4.0 if n and label[0] == 1 else -4.0)
     found = np.concatenate(rows).astype(np.int64)
-    index, doc = found >> 8, np.repeat(np.arange(n), [len(r) for r in rows])
+    index, doc = found >> 32, np.repeat(np.arange(n), [len(r) for r in rows])
     with_, without = label.sum(), n - label.sum()
     pos, neg = np.bincount(index, label[doc], size), np.bincount(index, 1 - label[doc], size)
     share = (pos + neg) / n
@@ -94,7 +94,7 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1.0, step
     ratio = np.log((pos + 1) / (with_ + 2)) - np.log((neg + 1) / (without + 2))
     ratio[np.abs(pos / with_ - neg / without) < LEAST_Z * error] = 0
     on = ratio[index] != 0
-    value = (ratio[index] * _VALUE[found & 255])[on]
+    value = (ratio[index] * np.log2(1 + (found & _WORDS)))[on]
     kept, index = np.unique(index[on], return_inverse=True)
     doc = doc[on]
     ridge /= n
@@ -140,7 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         bounded = part if bounded is None else bounded.union(part)
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "f"], kind="stable")
-        model = fit_rows([np.frombuffer(f, np.int32) for f in part["f"]], part["y"].to_numpy(np.float64))
+        model = fit_rows([np.frombuffer(f, np.int64) for f in part["f"]], part["y"].to_numpy(np.float64))
         return pd.DataFrame({"w": [model.weight.astype(np.float32).tobytes()], "b": [model.bias]})
 
     got = bounded.withColumn("all", F.lit("one")).groupBy("all").applyInPandas(train, "w binary, b double").collect()

@@ -565,6 +565,16 @@ def test_lm_base_scores(spark, odd):
 
 # ---- 10 --------------------------------------------------------------------------------------------------
 
+def test_toxicity_counts_all_words_of_an_ngram():
+    text = " ".join(f"abc{k}" for k in range(700))
+    found = toxicity.Features().of(text)
+    number = zlib.crc32(b" abc") & toxicity._SLOTS
+    weight = np.zeros(1 << toxicity.BITS)
+    weight[number] = 1.0
+    score = toxicity.Model(weight, -9.0).score(found)
+    assert abs(np.log(score / (1 - score)) + 9 - np.log2(701)) < 0.01
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(7)
     rows, labels = [], []
