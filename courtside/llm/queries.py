@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from courtside.llm import chat, decontam, html, language, lm, packing, quality, simhash, tokens, toxicity
+from courtside.llm import ann, audit, chat, decontam, fim, html, language, lm, packing, quality, simhash, tokens, toxicity
 from courtside.llm.shared import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,58 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.with_score(documents, model, "score")
     return found.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op11_ann")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+OP12_SQL = r"""with t as (select doc_id, coalesce(lang, '') part, coalesce(text, '') text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') ws from t),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) bad from labels group by doc_id),
+f as (select part, coalesce(good, false) good, coalesce(bad, false) bad,
+  case when len(ws) < 100 then 1 else 0 end + case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 2 else 0 end
+  + case when 100 * (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * len(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+  + case when doc_id > min(doc_id) over (partition by text) then 16 else 0 end fails
+  from w left join l using (doc_id)),
+c as (select part, fails, count(*) n, count(*) filter (good) g, count(*) filter (bad) x from f group by part, fails),
+i as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o as (select [a.bit, b.bit, d.bit, e.bit, h.bit] bits, a.name || b.name || d.name || e.name || h.name filter_order
+  from i a, i b, i d, i e, i h where a.bit + b.bit + d.bit + e.bit + h.bit = 31 and (a.bit | b.bit | d.bit | e.bit | h.bit) = 31),
+s as (select filter_order, cast(step as int) step, bits[step] bit, cast(list_sum([0] || bits[1:step - 1]) as int) earlier from o, range(1, 6) r(step)),
+m as (select part, filter_order, step, bit,
+  sum(case when fails & (earlier | bit) = 0 then n else 0 end) kept, sum(case when fails & earlier = 0 and fails & bit > 0 then n else 0 end) removed,
+  sum(case when fails & earlier > 0 and fails & bit > 0 then n else 0 end) redundant, sum(case when fails = bit then n else 0 end) unique_fails,
+  sum(case when fails & earlier = 0 and fails & bit > 0 then g else 0 end) good_lost,
+  sum(case when fails & earlier = 0 and fails & bit > 0 then x else 0 end) toxic_lost from c, s group by part, filter_order, step, bit)
+select part, filter_order, step, cast(kept as bigint) kept, cast(removed as bigint) removed, cast(redundant as bigint) redundant,
+  cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost, cast(toxic_lost as bigint) toxic_lost,
+  cast(sum(removed) over (partition by part, bit) as bigint) shapley from m"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""with t as (select doc_id, coalesce(text, '') text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+u as (select *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') ls, [cast('0x' || h[8 * k + 1:8 * k + 8] as bigint) for k in range(0, 4)] r from t),
+c as (select *, len(ls) n, least(r[1] % (len(ls) + 1), r[2] % (len(ls) + 1)) a, greatest(r[1] % (len(ls) + 1), r[2] % (len(ls) + 1)) b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or r[3] % 100 >= 100 then 'plain'
+   when r[4] % 100 < 50 then 'spm' else 'psm' end form from u),
+p as (select *, array_to_string(ls[1:a], '') pre, array_to_string(ls[a + 1:b], '') mid, array_to_string(ls[b + 1:], '') suf from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(len(pre) as bigint) end prefix_chars,
+  case when form <> 'plain' then cast(len(mid) as bigint) end middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+   else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(text) restored_sha256 from p"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.with_fim(table(spark, sf_dir, "documents").select("doc_id", "text"), "fim")
+    back = fim.restored(F.col("fim.output"), F.col("fim.form"))
+    return found.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                        F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
