@@ -1,21 +1,22 @@
 """Elo ratings: every rating depends on the rating before it, across teams.
 
-Matches of a pool are cut into ordered blocks of bounded size, and one task replays one block from a table of start ratings. The
-first block of a pool starts from the initial ratings by definition. The others are first replayed from the initial ratings too,
-and then again from the ratings at which the earlier blocks left their teams, as long as any of these differs in
-any bit from the one used before. Only blocks whose start has changed are replayed. Block k is right after
-k + 1 rounds at the latest, so the loop ends, and what it ends with is the ordered replay itself.
+A pool of bounded size is replayed by one task. A larger one is first divided into its unconnected groups of teams, whose ratings
+have nothing to do with each other, and each group is cut into ordered blocks of bounded size. A block can be replayed as soon as
+the blocks in which its teams played before are: its level is one more than the highest of theirs. Levels are worked off in
+order, all blocks of a level at the same time, so each block is replayed once, from ratings that are final.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.operators.ordering import with_position
+from courtside.operators.graph import connected_groups
+from courtside.operators.ordering import null_safe_join, with_position
 from courtside.session import cut, forget
 
 BLOCK_ROWS = 500_000
@@ -72,8 +73,8 @@ def _replay(block: pd.DataFrame, start: dict, config: EloConfig):
 
 
 _HISTORY_SCHEMA = "seq bigint, " + ", ".join(f"{c} double" for c in HISTORY)
-_STATE = "gender string, block bigint, team string, rating double, day int"
-_BLOCK = ["gender", "block"]
+_STANDING = "gender string, team string, rating double, day int"
+_BLOCK = ["gender", "part", "block"]
 
 
 def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -81,50 +82,68 @@ def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows:
     margin = F.abs(F.col("sets_a") - F.col("sets_b")).cast("double") if config.margin_weight else F.lit(1.0)
     slim = matches.select("gender", F.unix_date("date").alias("date"), F.col("seq").cast("bigint").alias("seq"), "team_a", "team_b",
                           (F.col("winner") == "team_a").alias("a_won"), margin.alias("margin"))
-    rows = cut(with_position(slim, ["gender"])
-               .withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("bigint")).drop("pos"))
-
-    def known(pdf: pd.DataFrame) -> dict:
-        return {t: (r, d) for t, r, d in zip(pdf["team"].tolist(), pdf["rating"].tolist(), pdf["day"].tolist())}
-
-    def ends(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    largest = slim.groupBy("gender").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= block_rows:
+        return slim.groupBy("gender").applyInPandas(lambda pdf: _replay(pdf, {}, config)[0], _HISTORY_SCHEMA)
+    return _by_levels(cut(slim), config, block_rows)
+
+
+def block_levels(entered: DataFrame) -> DataFrame:
+    """gender, part, block, level from the teams that each block enters: 0 without earlier blocks, else one above the highest of them."""
+    order = Window.partitionBy("gender", "part", "team").orderBy("block")
+    needs = cut(entered.withColumn("before", F.lag("block").over(order)).where("before IS NOT NULL").select(*_BLOCK, "before").distinct())
+    blocks = entered.select(*_BLOCK).distinct()
+    # usually every block needs the one just before it, and then its number is its level
+    chained = null_safe_join(blocks.where("block > 0"), needs.where("before = block - 1").select(*_BLOCK, F.lit(True).alias("chain")), _BLOCK, "left")
+    if chained.where("chain IS NULL").isEmpty():
+        return blocks.withColumn("level", F.col("block"))
+    levels = cut(blocks.withColumn("level", F.lit(0).cast("bigint")))
+    while True:
+        below = levels.select("gender", "part", F.col("block").alias("before"), F.col("level").alias("under"))
+        raised = null_safe_join(needs, below, ["gender", "part", "before"]).groupBy(*_BLOCK).agg((F.max("under") + 1).alias("new"))
+        after = cut(null_safe_join(levels, raised, _BLOCK, "left").select(*_BLOCK, F.coalesce("new", F.lit(0)).cast("bigint").alias("level"), (
+            F.coalesce("new", F.lit(0)) != F.col("level")).alias("moved")))
+        forget(levels)
+        levels = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return levels
+
+
+def _by_levels(slim: DataFrame, config: EloConfig, block_rows: int) -> DataFrame:
+    spark = slim.sparkSession
+    named = {side: F.coalesce(f"team_{side}", F.lit("")).alias(side) for side in ("a", "b")}  # a missing team is one, too
+    groups = connected_groups(slim.select("gender", *named.values()).distinct(), ["gender"])
+    mine = groups.select("gender", F.col("node").alias("a"), F.col("label").alias("part"))
+    placed = with_position(null_safe_join(slim.select("*", named["a"]), mine, ["gender", "a"]).drop("a"), ["gender", "part"])
+    rows = cut(placed.withColumn("block", F.floor(F.col("pos") / F.lit(block_rows)).cast("bigint")).drop("pos"))
+    entered = cut(rows.select(*_BLOCK, F.explode(F.array("team_a", "team_b")).alias("team")).distinct())
+    levels = cut(block_levels(entered))
+    leveled = cut(null_safe_join(rows, levels, _BLOCK), "level")
+    forget(rows)
+    entries = cut(null_safe_join(entered, levels, _BLOCK), "level")
+
+    def replay(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame({"gender": [], "block": [], "team": [], "rating": [], "day": []})
-        _, state = _replay(pdf, known(start), config)
-        return pd.DataFrame({"gender": key[0], "block": key[1], "team": list(state), "rating": [x[0] for x in state.values()],
-                             "day": [x[1] for x in state.values()]})
-
-    def history(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        return _replay(pdf, known(start), config)[0]
-
-    def run(fn, some: DataFrame, start: DataFrame, schema: str) -> DataFrame:
-        other = start.select(F.col("gender").alias("g"), F.col("block").alias("blk"), "team", "rating", "day")
-        return some.groupBy(*_BLOCK).cogroup(other.groupBy("g", "blk")).applyInPandas(fn, schema)
-
-    order = Window.partitionBy("gender", "team").orderBy("block")
-    start = rows.sparkSession.createDataFrame([], _STATE)
-    # where each block's teams stand before it; a team's first block has no entry
-    entered = rows.select(*_BLOCK, F.explode(F.array("team_a", "team_b")).alias("team")).distinct()
-    if (rows.agg(F.max("block")).first()[0] or 0) > 0:
-        left = cut(run(ends, rows, start, _STATE))
-        while True:
-            lag = entered.join(left, [*_BLOCK, "team"]).select(
-                *_BLOCK, "team", F.lag("rating").over(order).alias("rating"), F.lag("day").over(order).alias("day"))
-            fresh = cut(lag.where("rating IS NOT NULL"))
-            old = start.select(*_BLOCK, "team", F.col("rating").alias("r"), F.col("day").alias("d"))
-            moved = cut(fresh.join(old, [*_BLOCK, "team"], "left")
-                        .where(~(F.col("rating").eqNullSafe(F.col("r")) & F.col("day").eqNullSafe(F.col("d"))))
-                        .select(*_BLOCK).distinct())
-            forget(start)
-            start = fresh
-            if moved.isEmpty():
-                break
-            again = run(ends, rows.join(moved, _BLOCK, "left_semi"), start.join(moved, _BLOCK, "left_semi"), _STATE)
-            after = cut(left.join(moved, _BLOCK, "left_anti").unionByName(again))
-            forget(left)
-            forget(moved)
-            left = after
-    return run(history, rows, start, _HISTORY_SCHEMA)
+            return pd.DataFrame({"gender": [], "seq": [], **{c: [] for c in HISTORY}, "team": [], "day": []})
+        known = {t: (r, d) for t, r, d in zip(start["team"].tolist(), start["rating"].tolist(), start["day"].tolist())}
+        history, state = _replay(pdf, known, config)
+        ends = pd.DataFrame({"team": list(state), "elo_a_post": [r for r, _ in state.values()], "day": [d for _, d in state.values()]})
+        return pd.concat([history, ends]).assign(gender=key[0])
+
+    both = f"gender string, {_HISTORY_SCHEMA}, team string, day int"
+    standing = spark.createDataFrame([], _STANDING)
+    done = []
+    for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
+        start = null_safe_join(entries.where(F.col("level") == level), standing, ["gender", "team"]).select(
+            F.col("gender").alias("g"), F.col("part").alias("p"), F.col("block").alias("k"), "team", "rating", "day")
+        now = cut(leveled.where(F.col("level") == level).drop("level").groupBy(*_BLOCK).cogroup(start.groupBy("g", "p", "k")).applyInPandas(replay, both))
+        done.append(now)
+        ends = now.where("seq IS NULL").select("gender", "team", F.col("elo_a_post").alias("rating"), "day")
+        after = cut(ends.unionByName(null_safe_join(standing, ends.select("gender", "team"), ["gender", "team"], "left_anti")))
+        forget(standing)
+        standing = after
+    forget(leveled)
+    return reduce(DataFrame.unionByName, done).where("seq IS NOT NULL").select("seq", *HISTORY)
 
 
 def final_ratings(matches: DataFrame, history: DataFrame) -> DataFrame:

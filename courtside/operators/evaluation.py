@@ -132,46 +132,51 @@ def leak_violations(provenance: DataFrame) -> DataFrame:
     )
 
 
-def exact_medians(df: DataFrame, columns: list[str], direct_rows: int = 1_000_000, bins: int = 4096) -> dict:
-    """Medians of columns of any size; None for a column without values.
+def exact_medians(df: DataFrame, columns: list[str], bins: int = 4096) -> dict:
+    """Medians of columns of any size; None for a column without values (null and NaN count as none).
 
-    Columns with few values are aggregated directly, all in one pass.  For the others the range
-    that holds the median is narrowed by histograms until few values are left in it.
+    Both middle ranks of all columns are narrowed together: a step is one pass that counts, for every (column, rank), the values
+    of its range by bin, with each bin's least and largest value, and the range shrinks to the bin that holds the rank. A
+    rank is found when its range is one value. Steps end after a few rounds, whatever the number of rows.
     """
-    stats = df.agg(*[f(F.col(c).cast("double")).alias(f"{tag}_{c}")
-                     for c in columns for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    small = [c for c in columns if 0 < stats[f"n_{c}"] <= direct_rows]
+    number = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+    stats = df.agg(*[f(number[c]).alias(f"{tag}{i}") for i, c in enumerate(columns)
+                     for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    # (column, rank) -> rank inside the range, range
+    open_, found = {}, {}
+    for i in range(len(columns)):
+        n = stats[f"n{i}"]
+        for rank in {(n - 1) // 2, n // 2} if n else ():
+            open_[i, rank] = (rank, stats[f"lo{i}"], stats[f"hi{i}"])
+    while True:
+        found.update({key: low for key, (_, low, high) in open_.items() if low == high})
+        open_ = {key: state for key, state in open_.items() if state[1] < state[2]}
+        if not open_:
+            break
+        keys = list(open_)
+        targets = []
+        for t, key in enumerate(keys):
+            _, low, high = open_[key]
+            v = number[columns[key[0]]]
+            # halves of very wide ranges, so that a difference cannot overflow; the upper end has the last bin
+            place = F.floor(F.try_divide(v / 2 - low / 2, F.lit((high / 2 - low / 2) / bins))).try_cast("int")
+            bin_ = F.when(v >= high, bins).when(v <= low, -1).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
+            targets.append(F.struct(F.lit(t).alias("t"), F.when(v.between(low, high), bin_).alias("b"), v.alias("v")))
+        stacked = df.select(F.inline(F.array(*targets))).where("b IS NOT NULL")
+        counts = stacked.groupBy("t", "b").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        by_target: dict[int, list] = {}
+        for r in counts.collect():  # at most bins + 2 rows for each of two ranks of a column
+            by_target.setdefault(r["t"], []).append(r)
+        for t, key in enumerate(keys):
+            rank = open_[key][0]
+            for r in sorted(by_target[t], key=lambda r: r["b"]):
+                if rank < r["n"]:
+                    open_[key] = (rank, r["lo"], r["hi"])
+                    break
+                rank -= r["n"]
     out = dict.fromkeys(columns)
-    if small:
-        row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in small]).first()
-        out.update({c: row[c] for c in small})
-    for c in columns:
-        if stats[f"n_{c}"] > direct_rows:
-            values = df.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
-            n = stats[f"n_{c}"]
-            ranks = sorted({(n - 1) // 2, n // 2})
-            found = [_value_at(values, r, n, stats[f"lo_{c}"], stats[f"hi_{c}"], direct_rows, bins) for r in ranks]
-            out[c] = sum(found) / len(found)
+    for i, c in enumerate(columns):
+        values = [v for (j, _), v in found.items() if j == i]
+        if values:
+            out[c] = sum(values) / len(values)
     return out
-
-
-def _value_at(values: DataFrame, rank: int, size: int, low: float, high: float, direct_rows: int, bins: int) -> float:
-    """The value at a zero-based rank, by repeated histograms of at most ``bins`` counts."""
-    part, below = values, 0
-    while size > direct_rows and high > low:
-        number = F.least(F.floor((F.col("v") - low) / ((high - low) / bins)), F.lit(bins - 1))
-        counts = part.groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        for r in sorted(counts.collect(), key=lambda r: r["b"]):
-            if rank < below + r["n"]:
-                size, low, high = r["n"], r["lo"], r["hi"]
-                break
-            below += r["n"]
-        part = values.filter(F.col("v").between(low, high))
-    return low if high == low else _ranked(part, rank - below)
-
-
-def _ranked(part: DataFrame, rank: int) -> float:
-    """The value at a rank among few values: running counts over the distinct ones."""
-    order = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    counts = part.groupBy("v").count().withColumn("upto", F.sum("count").over(order))
-    return counts.filter(F.col("upto") > rank).agg(F.min("v")).first()[0]

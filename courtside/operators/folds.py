@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.operators.ordering import null_safe_join, with_position
@@ -81,6 +81,34 @@ def for_each_training_fold(folded: DataFrame, n_folds: int = 5) -> DataFrame:
         "fold", F.explode(F.sequence("_first", F.lit(n_folds - 1)))).drop("_first")
 
 
+def for_each_later_fold(df: DataFrame, own: str, n_folds: int = 5) -> DataFrame:
+    """Repeat a row once for every fold after its ``own`` one (column fold)."""
+    return df.filter(F.col(own) < n_folds - 1).withColumn("fold", F.explode(F.sequence(F.col(own) + 1, F.lit(n_folds - 1)))).drop(own)
+
+
+def fold_weights(folded: DataFrame, scheme: str, n_folds: int = 5, days: float = 365.0, keys: tuple[str, ...] = ("gender",)) -> DataFrame:
+    """Adds ``fold_weights``: what a row counts for in the training of each fold, an array with an entry a fold.
+
+    Age is the days from the row to the fold's first test day. ``expanding``: 1 at any age; ``rolling``: 1 up to ``days``, 0
+    beyond; ``decayed``: halved every ``days``. Rows that a fold does not train on, and rows without a date unless
+    expanding, have 0 there; so has a fold without test rows.
+    """
+    if scheme not in ("expanding", "rolling", "decayed"):
+        raise ValueError(f"unknown scheme {scheme}")
+    starts = folded.where("test_fold IS NOT NULL").groupBy(*keys, "test_fold").agg(F.min("date").alias("_start")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("test_fold", "_start"))).alias("_starts"))  # an entry a fold
+
+    def weight(fold: int) -> Column:
+        start = F.try_element_at("_starts", F.lit(fold))
+        age = F.datediff(start, "date").cast("double")
+        w = {"expanding": F.when(start.isNotNull(), 1.0), "rolling": F.when(age <= days, 1.0),
+             "decayed": F.pow(F.lit(0.5), age / F.lit(float(days)))}[scheme]
+        return F.when(F.coalesce("test_fold", F.lit(-1)) < fold, F.coalesce(w, F.lit(0.0))).otherwise(0.0)
+
+    return null_safe_join(folded, starts, list(keys), "left").withColumn(
+        "fold_weights", F.array(*[weight(i) for i in range(n_folds)])).drop("_starts")
+
+
 def tail_split(df: DataFrame, fraction: float, keys: tuple[str, ...] = ("gender",)) -> DataFrame:
     """held_out marks the last part of each pool; the first floor(n * (1 - fraction)) rows stay in.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from courtside.operators.form import TEAM
 from courtside.operators.h2h import PAIR, meetings
-from courtside.operators.ordering import ROW_BUDGET, cut_hot_groups
+from courtside.operators.ordering import ROW_BUDGET, cut_hot_groups, null_safe_join
 
 
 def rolling_means(rows: DataFrame, values: list[str], windows: tuple[int, ...], keys: list[str] = TEAM,
@@ -41,11 +41,13 @@ def rolling_means(rows: DataFrame, values: list[str], windows: tuple[int, ...],
 def day_sums(rows: DataFrame, sums: dict[str, Column], days: dict[str, int], keys: list[str] = TEAM) -> DataFrame:
     """keys, date and ``<sum>_<window>``: sums over the days before each day on which the group has a row.
 
-    ``days`` names each window and gives its length; the day itself is not part of it.
+    ``days`` names each window and gives its length; the day itself is not part of it. Rows without a date are a day of their
+    own that lies in no other day's window, and has nothing before it.
     """
     per_day = rows.groupBy(*keys, "date").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     w = Window.partitionBy(*keys).orderBy(F.unix_date("date"))
-    out = [F.coalesce(F.sum(s).over(w.rangeBetween(-n, -1)), F.lit(0)).alias(f"{s}_{name}") for s in sums for name, n in days.items()]
+    dated = F.col("date").isNotNull()
+    out = [F.coalesce(F.when(dated, F.sum(s).over(w.rangeBetween(-n, -1))), F.lit(0)).alias(f"{s}_{name}") for s in sums for name, n in days.items()]
     return per_day.select(*keys, "date", *out)
 
 
@@ -65,7 +67,7 @@ def form_last_year(long: DataFrame, days: int = 365) -> DataFrame:
     """Rows of the long frame with win_rate_365d and matches_365d, from the days before."""
     sums = day_sums(long, {"n": F.lit(1), "w": F.col("won")}, {"d": days})
     rate = F.when(F.col("n_d") > 0, F.col("w_d") / F.col("n_d"))
-    return long.join(sums, [*TEAM, "date"]).withColumn("win_rate_365d", rate).withColumn("matches_365d", F.col("n_d")).drop("n_d", "w_d")
+    return null_safe_join(long, sums, [*TEAM, "date"]).withColumn("win_rate_365d", rate).withColumn("matches_365d", F.col("n_d")).drop("n_d", "w_d")
 
 
 def schedule_density(long: DataFrame, windows: tuple[int, ...] = (7, 14, 30)) -> DataFrame:
@@ -73,7 +75,7 @@ def schedule_density(long: DataFrame, windows: tuple[int, ...] = (7, 14, 30)) ->
     sums = day_sums(long, {"n": F.lit(1)}, {f"last_{n}d": n for n in windows} | {"yesterday": 1})
     named = sums.select(*TEAM, "date", *[F.col(f"n_last_{n}d").alias(f"matches_last_{n}d") for n in windows],
                         (F.col("n_yesterday") > 0).alias("back_to_back"))
-    return long.join(named, [*TEAM, "date"])
+    return null_safe_join(long, named, [*TEAM, "date"])
 
 
 def schedule_strength(long: DataFrame, history: DataFrame, windows: tuple[int, ...] = (5, 10), budget: int = ROW_BUDGET) -> DataFrame:

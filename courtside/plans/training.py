@@ -59,22 +59,20 @@ def train_all(matches: DataFrame, competitions: DataFrame, win: dict | None = No
     """Ratings and features are computed once and shared by state, metadata and the three models."""
     features = cut(build_features(matches, competitions, elo, windows), "gender")
     columns = feature_columns(windows)
-    models = {}
-    for g in GENDERS:
-        mine = features.filter(F.col("gender") == g)
-        if mine.limit(1).count():
-            models[g] = (WinTrees(**(win or {})).fit(mine, columns),
-                         MarginTrees(**(margin or {})).fit(mine, columns),
-                         PointTrees(**(points or {})).fit(mine, columns))
+    pools = [g for g in GENDERS if features.filter(F.col("gender") == g).limit(1).count()]
+    kinds = (WinTrees(**(win or {})), MarginTrees(**(margin or {})), PointTrees(**(points or {})))
+    fitted = [kind.fit_pools(features, columns, pools) for kind in kinds] if pools else []
+    models = {g: tuple(by_pool[g] for by_pool in fitted) for g in pools}
     return Bundle(models, last_ratings(features), team_state(features), pair_days(features),
                   run_metadata(features, columns), elo, windows)
 
 
 def save_bundle(bundle: Bundle, path: str) -> None:
+    spark = bundle.ratings.sparkSession
     for g, (win, margin, points) in bundle.models.items():
-        win.save(f"{path}/models/{g}/win")
-        margin.save(f"{path}/models/{g}/margin")
-        points.save(f"{path}/models/{g}/points")
+        win.save(spark, f"{path}/models/{g}/win")
+        margin.save(spark, f"{path}/models/{g}/margin")
+        points.save(spark, f"{path}/models/{g}/points")
     for name in ("ratings", "states", "days"):
         getattr(bundle, name).write.mode("overwrite").partitionBy("gender").parquet(f"{path}/{name}")
     settings = {"trained_at": F.current_timestamp(), "initial_rating": F.lit(bundle.elo.initial_rating), "windows": F.lit(list(bundle.windows))}
@@ -84,8 +82,8 @@ def save_bundle(bundle: Bundle, path: str) -> None:
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("ratings", "states", "days", "metadata")}
     pools = [g for g in GENDERS if tables["metadata"].filter(F.col("gender") == g).limit(1).count()]
-    models = {g: (WinTrees.load(f"{path}/models/{g}/win"), MarginTrees.load(f"{path}/models/{g}/margin"),
-                  PointTrees.load(f"{path}/models/{g}/points")) for g in pools}
+    models = {g: (WinTrees.load(spark, f"{path}/models/{g}/win"), MarginTrees.load(spark, f"{path}/models/{g}/margin"),
+                  PointTrees.load(spark, f"{path}/models/{g}/points")) for g in pools}
     kept = tables["metadata"].first()
     settings = {"elo": EloConfig(initial_rating=kept["initial_rating"]), "windows": tuple(kept["windows"])} if kept else {}
     return Bundle(models, **tables, **settings)

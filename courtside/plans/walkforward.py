@@ -31,13 +31,15 @@ def evaluate(folded: DataFrame, predictors: dict[str, Predictor], n_folds: int =
              keep: tuple[str, ...] = ("gender", "seq")) -> DataFrame:
     """Out-of-fold predictions of every model: gender, seq, model, fold, p, y.
 
-    Predictors marked ``needs_training = False`` score all folds in one pass. Folds whose training rows reach past
-    their first test day are an error.
+    Predictors marked ``needs_training = False`` score all folds in one pass, and those marked ``all_folds`` are called as
+    (folded, n_folds) and fit all pools and folds together. Folds whose training rows reach past their first test day are an error.
     """
     assert_no_fold_leak(folded)
     parts = []
     for name, factory in predictors.items():
-        if getattr(factory, "needs_training", True):
+        if getattr(factory, "all_folds", False):
+            scored = [factory(folded, n_folds)]
+        elif getattr(factory, "needs_training", True):
             scored = [factory(train_rows(folded, i))(test_rows(folded, i)) for i in range(n_folds)]
         else:
             scored = [factory(folded)(folded.filter("test_fold IS NOT NULL"))]

@@ -72,12 +72,12 @@ def test_summary_across_folds(spark):
     assert (row["log_loss_mean"], row["log_loss_std"]) == (0.6, round(math.sqrt(0.02), 4))
 
 
-@pytest.mark.parametrize("direct", [10_000, 20])
-def test_exact_medians(spark, direct):
+@pytest.mark.parametrize("bins", [4096, 3])
+def test_exact_medians(spark, bins):
     rng = random.Random(3)
     rows = [(rng.gauss(0, 1) ** 3, float(rng.randrange(4)), None) for _ in range(501)] + [(None, None, None)] * 7
     df = spark.createDataFrame(rows, "a double, b double, c double")
-    got = exact_medians(df, ["a", "b", "c"], direct_rows=direct, bins=16)
+    got = exact_medians(df, ["a", "b", "c"], bins=bins)
     assert got["a"] == pytest.approx(float(np.median([r[0] for r in rows if r[0] is not None])), abs=1e-12)
     assert got["b"] == float(np.median([r[1] for r in rows if r[1] is not None]))
     assert got["c"] is None

@@ -21,7 +21,7 @@ from courtside.operators.elo import final_ratings
 from courtside.session import cut
 from courtside.sources.dimensions import competition_table
 
-SMALL = {"maxIter": 3}
+SMALL = {"rounds": 3}
 
 
 @pytest.fixture(scope="module")
@@ -85,10 +85,10 @@ def test_calibrators(spark):
 
 
 def test_win_trees_save_load_and_importance(spark, features, tmp_path):
-    model = WinTrees(**SMALL, minInstancesPerNode=1).fit(features, FEATURE_COLUMNS)
+    model = WinTrees(**SMALL, least_rows=1).fit(features, FEATURE_COLUMNS)
     before = model.transform(features).select("seq", "p").orderBy("seq").collect()
-    model.save(f"{tmp_path}/m")
-    loaded = WinTrees.load(f"{tmp_path}/m")
+    model.save(spark, f"{tmp_path}/m")
+    loaded = WinTrees.load(spark, f"{tmp_path}/m")
     assert loaded.feature_columns == FEATURE_COLUMNS
     assert loaded.transform(features).select("seq", "p").orderBy("seq").collect() == before
     weights = [r["importance"] for r in model.feature_importance(spark).collect()]
@@ -96,7 +96,7 @@ def test_win_trees_save_load_and_importance(spark, features, tmp_path):
 
 
 def test_margin_and_point_models(features):
-    margin = MarginTrees(numTrees=5, maxDepth=3).fit(features, FEATURE_COLUMNS)
+    margin = MarginTrees(rounds=5, depth=3).fit(features, FEATURE_COLUMNS)
     for r in margin.transform(features, "a").select("a_3-0", "a_3-1", "a_3-2").collect():
         assert sum(r) == pytest.approx(1.0)
     assert PointTrees(**SMALL).fit(features, FEATURE_COLUMNS).transform(features).filter("p IS NULL").count() == 0
@@ -144,7 +144,7 @@ def test_bundle_round_trip(spark, ladder, tmp_path):
     rows = ladder.withColumns({"competition_id": F.lit("WCH_MEN"), "stage": F.lit("final"),
                                "team_a_score": F.col("sets_a") * 25, "team_b_score": F.col("sets_b") * 25})
     competitions = competition_table(spark)
-    bundle = train_all(rows, competitions, SMALL, {"numTrees": 3}, SMALL)
+    bundle = train_all(rows, competitions, SMALL, {"rounds": 3}, SMALL)
     save_bundle(bundle, f"{tmp_path}/b")
     fixtures = spark.sql("SELECT 'men' AS gender, a AS team_a, b AS team_b, date'2016-01-01' AS date, 'OG_MEN' AS competition_id "
                          "FROM VALUES ('STRONG', 'BOTTOM'), ('MID', 'NEW') AS t(a, b)")
