@@ -28,7 +28,7 @@ from courtside.llm.shared import with_struct
 
 SAMPLE = 300           # pages whose text the training pages are made of
 MADE = 1500            # training pages
-MATERIAL = 200_000     # characters of a sampled page that give material
+MATERIAL = 200_000     # characters of a sampled page's blocks that give material
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,8 +53,9 @@ TOKENS = tuple(("nav menu header footer sidebar aside ad ads advert banner cooki
                 "container hidden").split())
 _TOKEN = {t: k for k, t in enumerate(TOKENS)}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
+_TELLING = re.compile("class|id|role|hidden|style", re.I).search
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
@@ -77,6 +78,8 @@ class Node:
 
 def _tokens(attrs: str) -> tuple[int, bool]:
     bits, hidden = 0, False
+    if not _TELLING(attrs):
+        return bits, hidden
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "style":
@@ -85,7 +88,7 @@ def _tokens(attrs: str) -> tuple[int, bool]:
             hidden = True
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
-        else:
+        elif name in ("class", "id", "role"):
             for token in _SPLIT(value):
                 k = _TOKEN.get(token.lower())
                 if k is not None:
@@ -98,12 +101,15 @@ def parse(page: str) -> tuple[list[Node], int]:
 
     Closing tags without an opening one are passed over; paragraphs, list items and table cells end where the next begins.
     A hidden element without an end ends with its block or where HTML ends it: an option at the next one, a select at an input,
-    an svg at a paragraph and the like, a head at the first text or element of the body. Formulae are text of their block.
+    an svg at a paragraph and the like, a head at the first text or element of the body. Formulae are text of their block. Inline
+    elements that an attribute hides are hidden, too. In a tag, a quote counts only right after an equals sign; one that is not
+    closed is an ordinary character.
     """
     nodes = [Node("html", -1, 0, 0)]
     stack = [0]                    # open blocks
     hidden: list[str] = []         # an open hidden element and the open elements within it
     inline: dict[str, int] = {}    # open inline elements of the block
+    opened: dict[str, int] = {}    # open blocks by name
     links = 0
     at = order = 0
     size = len(page)
@@ -120,7 +126,10 @@ def parse(page: str) -> tuple[list[Node], int]:
 
     def close(to: int) -> None:
         while len(stack) > to:
-            nodes[stack.pop()].last = len(nodes) - 1
+            node = nodes[stack.pop()]
+            node.last = len(nodes) - 1
+            if stack:
+                opened[node.tag] -= 1
             inline.clear()
 
     def leave(tag: str) -> None:
@@ -155,14 +164,14 @@ def parse(page: str) -> tuple[list[Node], int]:
                 if tag in hidden:
                     leave(tag)
                     continue
-                if not inline.get(tag) and all(nodes[k].tag != tag for k in stack[1:]):
+                if not inline.get(tag) and not opened.get(tag):
                     continue
                 hidden.clear()     # what is around it ends
             if inline.get(tag):
                 inline[tag] -= 1
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE:
+            elif opened.get(tag):
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
                         close(k)
@@ -191,7 +200,7 @@ def parse(page: str) -> tuple[list[Node], int]:
             continue
         if hidden and tag == "body" and hidden[0] == "head":
             hidden.clear()
-        if hidden or tag in HIDDEN:
+        if hidden or tag in HIDDEN or (tag in INLINE and tag not in VOID and _tokens(attrs)[1]):
             if tag not in VOID and not attrs.endswith("/"):
                 hidden.append(tag)
             continue
@@ -225,6 +234,7 @@ def parse(page: str) -> tuple[list[Node], int]:
         nodes.append(Node(tag, parent, len(stack), nodes[parent].children, bits, unseen, order=order))
         nodes[parent].children += 1
         stack.append(len(nodes) - 1)
+        opened[tag] = opened.get(tag, 0) + 1
     close(0)
     return nodes, order
 
@@ -436,8 +446,8 @@ class Maker:
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE, made: int = MADE) -> boosting.Trees:
     """Trees trained on ``made`` pages set from the text of at most ``sample`` of the given ones (first by a hash of the page).
 
-    Copies of a page count once and pages without any text but white space not at all. The bound keeps training in one task; of a sampled page
-    the first ``MATERIAL`` characters are material. Without pages the skeletons are set with placeholder words.
+    Copies of a page count once and pages without any text but white space not at all. The bound keeps training in one task; of a longer
+    page some blocks of ``MATERIAL`` characters together are material. Without pages the skeletons are set with placeholder words.
     """
     told = pages.select(F.col(html).cast("string").alias("html")).where(F.col("html").rlike(r"\S")).withColumn("hash", F.xxhash64("html"))
     first = [r.hash for r in told.select("hash").distinct().orderBy("hash").limit(sample).collect()]
@@ -445,7 +455,7 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE, made: int =
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pickle
-        material = [blocks_of(page[:MATERIAL]) for batch in batches for page in sorted(batch["html"])]
+        material = [_some(blocks_of(page)) for batch in batches for page in sorted(batch["html"])]
         yield pd.DataFrame({"model": [pickle.dumps(_train(material, made))]})
 
     import pickle
@@ -453,6 +463,18 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE, made: int =
     return pickle.loads(got[0].model) if got else _train([], made)
 
 
+def _some(blocks: list[str]) -> list[str]:
+    """The blocks, or if they are long some from all over the page, in page order."""
+    if sum(map(len, blocks)) <= MATERIAL:
+        return blocks
+    kept, room = [], MATERIAL
+    for i in random.Random(len(blocks)).sample(range(len(blocks)), len(blocks)):
+        if len(blocks[i]) <= room:
+            kept.append(i)
+            room -= len(blocks[i])
+    return [blocks[i] for i in sorted(kept)]
+
+
 def _train(material: list[list[str]], made: int) -> boosting.Trees:
     maker = Maker(material or [["some words of text"]])
     if not maker.material:

@@ -29,7 +29,9 @@ LEAST_SHARE = 2e-5     # of a language's n-grams; so a language has at most 50 0
 RIVAL = 0.15           # of the largest share that any language has
 UNKNOWN = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
+# numbers that the class \w takes for letters, such as one half or a Roman eight
+_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
 
 
 def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

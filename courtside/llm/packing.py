@@ -134,82 +134,136 @@ def best_fit(sizes: np.ndarray, room: int) -> list[list[int]]:
 
 
 class Search:
-    """Exchanges between underfull bins; every one raises the sum of squared fills."""
+    """Exchanges between underfull bins; every one raises the sum of squared fills, so there is an end to them.
+
+    An exchange fills the other bin as far as it goes. What fits is looked up by size, of which there are at most ``room``: bins by their
+    free space, and items by the space that there would be in their bin without them.
+    """
 
     def __init__(self, sizes: np.ndarray, bins: list[list[int]], room: int):
-        self.sizes, self.room = sizes, room
-        self.full = [b for b in bins if sizes[b].sum() >= room]
-        self.bins = [b for b in bins if sizes[b].sum() < room]
-        self.fill = np.array([sizes[b].sum() for b in self.bins], np.int64)
-        self.bin_of = np.full(len(sizes), -1, np.int64)
-        for at, b in enumerate(self.bins):
-            self.bin_of[b] = at
-        self.items = np.flatnonzero(self.bin_of >= 0)
-
-    def _shift(self, source: int, target: int, give: list[int], take: list[int]) -> None:
+        self.size, self.room = sizes.tolist(), room
+        fills = [sum(self.size[i] for i in b) for b in bins]
+        self.full = [b for b, f in zip(bins, fills) if f >= room]
+        self.bins = [b for b, f in zip(bins, fills) if f < room]
+        self.free = [room - f for f in fills if f < room]
+        self.spaces: list[set[int]] = [set() for _ in range(room + 1)]
+        self.open = 0                                       # a bit for every free space that some bin has
+        # by space without the item: items by size, and the smallest of these sizes
+        self.swaps: list[dict[int, set[tuple[int, int]]]] = [{} for _ in range(room + 1)]
+        self.least = np.full(room + 1, room + 1, np.int64)
+        for at in range(len(self.bins)):
+            self._enter(at)
+
+    def _enter(self, at: int) -> None:
+        free = self.free[at]
+        self.spaces[free].add(at)
+        self.open |= 1 << free
+        for item in self.bins[at]:
+            u = self.size[item]
+            self.swaps[free + u].setdefault(u, set()).add((at, item))
+            if u < self.least[free + u]:
+                self.least[free + u] = u
+
+    def _leave(self, at: int) -> None:
+        free = self.free[at]
+        self.spaces[free].discard(at)
+        if not self.spaces[free]:
+            self.open &= ~(1 << free)
+        for item in self.bins[at]:
+            u = self.size[item]
+            same = self.swaps[free + u]
+            same[u].discard((at, item))
+            if not same[u]:
+                del same[u]
+                if self.least[free + u] == u:
+                    self.least[free + u] = min(same, default=self.room + 1)
+
+    def _fits(self, size: int) -> int:
+        """The bin with the least free space that takes ``size``, or -1."""
+        some = self.open >> size
+        return next(iter(self.spaces[size + (some & -some).bit_length() - 1])) if some else -1
+
+    def _exchange(self, size: int) -> tuple[int, int] | None:
+        """The item, and its bin, smaller than ``size`` whose place ``size`` fills best."""
+        if size > self.room:
+            return None
+        smaller = self.least[size:] < size
+        first = int(smaller.argmax())
+        if not smaller[first]:
+            return None
+        return next(iter(self.swaps[size + first][int(self.least[size + first])]))
+
+    def _put(self, source: int, give: list[int], target: int, take: int | None) -> None:
+        self._leave(target)
         for item in give:
             self.bins[source].remove(item)
             self.bins[target].append(item)
-            self.bin_of[item] = target
-        for item in take:
-            self.bins[target].remove(item)
-            self.bins[source].append(item)
-            self.bin_of[item] = source
-        moved = int(self.sizes[give].sum() - self.sizes[take].sum())
-        self.fill[source] -= moved
-        self.fill[target] += moved
-
-    def _move(self, source: int) -> bool:
-        """Put an item of ``source`` into the fullest bin that takes it."""
-        for item in sorted(self.bins[source], key=lambda i: -self.sizes[i]):
-            size = self.sizes[item]
-            ok = (self.fill + size <= self.room) & (self.fill + size > self.fill[source]) & (self.fill > 0)
-            ok[source] = False
-            if ok.any():
-                target = int(np.argmax(np.where(ok, self.fill, -1)))
-                self._shift(source, target, [item], [])
+        if take is not None:
+            self.bins[target].remove(take)
+            self.bins[source].append(take)
+        moved = sum(self.size[i] for i in give) - (0 if take is None else self.size[take])
+        self.free[source] += moved
+        self.free[target] -= moved
+        self._enter(target)
+
+    def _step(self, source: int) -> bool:
+        """One exchange out of ``source``: a move, one for one, or two for one."""
+        own: dict[int, list[int]] = {}
+        for item in self.bins[source]:
+            own.setdefault(self.size[item], []).append(item)
+        sizes = sorted(own, reverse=True)
+        free = self.free[source]
+        for u in sizes:
+            target = self._fits(u)
+            if target >= 0 and self.free[target] - u < free:
+                self._put(source, own[u][:1], target, None)
+                return True
+        for u in sizes:
+            found = self._exchange(u)
+            if found and self.free[found[0]] + self.size[found[1]] - u < free:
+                self._put(source, own[u][:1], *found)
                 return True
+        tried = set()
+        for k, u in enumerate(sizes):
+            for v in sizes[k:]:
+                if u + v in tried or (u == v and len(own[u]) < 2):
+                    continue
+                tried.add(u + v)
+                found = self._exchange(u + v)
+                if found and self.free[found[0]] + self.size[found[1]] - u - v < free:
+                    self._put(source, own[u][:2] if u == v else [own[u][0], own[v][0]], *found)
+                    return True
         return False
 
-    def _swap(self, source: int, give: list[int]) -> bool:
-        """Exchange one or two items of ``source`` for a smaller one elsewhere, raising a bin as far as it goes."""
-        gain = int(self.sizes[give].sum()) - self.sizes[self.items]
-        at = self.bin_of[self.items]
-        raised = self.fill[at] + gain
-        ok = (gain > 0) & (raised <= self.room) & (raised > self.fill[source]) & (at != source)
-        if not ok.any():
-            return False
-        pick = int(np.argmax(np.where(ok, raised, -1)))
-        self._shift(source, int(at[pick]), give, [int(self.items[pick])])
-        return True
-
-    def run(self, steps: int) -> list[list[int]]:
-        """Empty bins until none of the emptier ones can be raised from, the bound is met, or ``steps`` are used."""
-        least = -(-int(self.fill.sum()) // self.room)
-        stuck: set[int] = set()
-        while steps > 0 and np.count_nonzero(self.fill) > least:
-            order = [int(b) for b in np.argsort(np.where(self.fill > 0, self.fill, self.room + 1), kind="stable")
-                     if self.fill[b] > 0 and int(b) not in stuck]
-            if not order:
-                break
-            source = order[0]
-            while self.fill[source] > 0 and steps > 0:
-                steps -= 1
-                own = sorted(self.bins[source], key=lambda i: -self.sizes[i])
-                if not (self._move(source) or any(self._swap(source, [i]) for i in own)
-                        or any(self._swap(source, [a, b]) for k, a in enumerate(own) for b in own[k + 1:])):
-                    stuck.add(source)
-                    break
+    def run(self) -> list[list[int]]:
+        """Go over the bins from the emptiest on, again and again, until the bound is met or no exchange is left."""
+        least = -(-sum(self.room - f for f in self.free) // self.room)
+        left = len(self.bins)
+        moved = True
+        while moved and left > least:
+            moved = False
+            for source in sorted(range(len(self.bins)), key=lambda at: (-self.free[at], at)):
+                if not self.bins[source]:
+                    continue
+                self._leave(source)
+                while self.bins[source] and self._step(source):
+                    moved = True
+                if self.bins[source]:
+                    self._enter(source)
+                else:
+                    left -= 1
+                    if left <= least:
+                        break
         return self.full + [b for b in self.bins if b]
 
 
-def pack(sizes: np.ndarray, room: int = LENGTH, steps: int = 4000) -> list[list[int]]:
-    """Bins (lists of item numbers) of at most ``room``; ``steps`` bounds the exchanges, not the items."""
+def pack(sizes: np.ndarray, room: int = LENGTH) -> list[list[int]]:
+    """Bins (lists of item numbers) of at most ``room``."""
     if not len(sizes):
         return []
     bins = best_fit(sizes, room)
     if len(bins) > -(-int(sizes.sum()) // room):
-        bins = Search(sizes, bins, room).run(steps)
+        bins = Search(sizes, bins, room).run()
     return bins
 
 
