@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.shared import free_name, in_fold, with_struct
+from courtside.llm.shared import Scratch, free_name, in_fold, with_struct
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -118,7 +118,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     """Fit on at most ``sample`` labelled rows without and with the label, those first in the order of a hash of the id.
 
     The bound keeps the fit in one task; features are made where the rows are. Rows with a null id, label or text are
-    not learned from. Without labelled rows of both classes the scores are constant.
+    not learned from. Repeated rows count each; if ids repeat among the documents, those of the smallest hashes of
+    their features are taken up to the bound. Without labelled rows of both classes the scores are constant.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     order = F.xxhash64("id")
@@ -133,10 +134,11 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         for column in batches:
             yield pa.array([features.of(t.as_py()).tobytes() for t in column], pa.binary())
 
-    found = with_struct(rows, "f", work, "binary", F.col("text")).select("y", "f")
+    scratch = Scratch(documents.sparkSession)
+    found = scratch.keep(with_struct(rows, "f", work, "binary", F.col("text")).select("y", "f"))  # read for both labels
     bounded = None
     for y in (0, 1):  # ids may repeat among the documents
-        part = found.where(F.col("y") == y).limit(sample[y])
+        part = found.where(F.col("y") == y).orderBy(F.xxhash64("f"), "f").limit(sample[y])
         bounded = part if bounded is None else bounded.union(part)
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["y", "f"], kind="stable")
@@ -144,6 +146,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", id_col: str
         return pd.DataFrame({"w": [model.weight.astype(np.float32).tobytes()], "b": [model.bias]})
 
     got = bounded.withColumn("all", F.lit("one")).groupBy("all").applyInPandas(train, "w binary, b double").collect()
+    scratch.drop(found)
     if not got:
         return fit_rows([], np.zeros(0))
     return Model(np.frombuffer(got[0].w, np.float32).astype(np.float64), got[0].b)
