@@ -34,7 +34,7 @@ PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint>>"
 class WordTokenizer:
     """Ids of a tokenizer file whose pre-tokenizer keeps letters, single digits and other signs apart.
 
-    The library gives the ids of each distinct word, which are kept; texts with characters beyond Latin
+    The library's merges give the ids of each distinct word, which are kept; texts with characters beyond Latin
     letters or with the file's special strings go through the library whole.
     """
 
@@ -43,31 +43,36 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        latin = [chr(i) for i in range(0x250)]
+        # Latin letters, and the small letters of some of them, which lie elsewhere
+        latin = sorted({c for i in range(0x250) if i != 0x130 for c in (chr(i), chr(i).lower())})
         def some(kind):
             return "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind)
         letters, numbers, space = some("L"), some("N"), r"\t-\r \x85\xa0"
         # The file's own pattern, its classes spelled out for Latin text.
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
         self.other = re.compile("[^\x00-\u024f]|<\\||\u0130").search
-        size = self.library.get_vocab_size()
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.merge = self.library.model.tokenize
+        # Printable bytes stand for themselves in the file, the others for code points from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        self.sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Look words up in the library, many in one call: a word's last token is marked in the vocabulary."""
+        """Merge the bytes of new words, which are in the form that the library gives them."""
         if len(self.known) + len(words) > self.KEEP:
             self.known.clear()
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            self.known.update((w, self._ids(w)) for w in words)
-            return
-        raw, cuts = ids.tobytes(), (4 * ends).tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0] + cuts, cuts))
+        ids: list[int] = []
+        ends = [0]
+        for w in words:
+            signs = w if w.isascii() and w.isprintable() else "".join([self.sign[b] for b in w.encode()])
+            ids += [t.id for t in self.merge(signs)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, ends, ends[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""

@@ -192,3 +192,46 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = fim.restored(F.col("fim.output"), F.col("fim.form"))
     return found.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
                         F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+QUALITY_SQL = r"""with t as (select row_number() over () r, doc_id, coalesce(text, '') x from documents),
+w as (select r, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') ws from t),
+win as (select r, p, array_to_string(ws[p:p + 2], ' ') g from w, range(1, 2 + (select max(len(ws)) from w)) q(p) where p + 2 <= len(ws)),
+twice as (select r, g from win group by r, g having count(*) > 1),
+rep as (select r, count(distinct q) n from (select win.r, unnest([p, p + 1, p + 2]) q from win join twice using (r, g)) group by r),
+lines as (select r, unnest(string_split(x, chr(10))) line from w),
+dup as (select r, count(*) - count(distinct line) n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by r)
+select doc_id, cast(len(ws) as bigint) n_words, cast(len(array_to_string(ws, '')) as bigint) word_chars,
+  cast(len(regexp_extract_all(x, '[#*$%&|<>]')) as bigint) n_symbols, cast(coalesce(dup.n, 0) as bigint) n_dup_lines,
+  cast(coalesce(rep.n, 0) as bigint) n_repeat_words, len(ws) < 50 or 100 * coalesce(rep.n, 0) > 50 * len(ws) base_failed
+from w left join dup using (r) left join rep using (r)"""
+
+
+@query("quality_base_columns", QUALITY_SQL)
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can say."""
+    return op2(spark, sf_dir).drop("kept")
+
+
+LM_SQL = r"""with w as (select row_number() over () r, doc_id, crc.rest,
+   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
+   from documents join crc using (doc_id)),
+tok as (select r, rest, unnest(ws || [chr(10)]) t from w),
+c as (select t, count(*) n from tok where rest <> 1 group by t),
+total as (select cast(sum(n) as bigint) n, count(*) v from c)
+select w.doc_id, cast(len(any_value(ws)) + 1 as bigint) n_tokens, cast(count(c.t) as bigint) n_known, any_value(total.n) train_tokens,
+  round(sum(log10(coalesce(c.n, 0) + 0.5::double)) - count(*) * log10(any_value(total.n) + 0.5::double * (any_value(total.v) + 1)), 4) base_score
+from w join tok using (r) left join c using (t), total group by w.r, w.doc_id"""
+
+# crc32 as SQL: one step for each byte of the id's text, eight shifts a byte
+_CRC = r"""with recursive b as (select doc_id, cast(doc_id as varchar) s, 0 i, 4294967295::bigint c from (select distinct doc_id from documents)
+ union all select doc_id, s, i + 1, list_reduce([xor(c, ascii(s[i + 1])::bigint)] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+   lambda a, z: case when a & 1 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end) from b where i < len(s)),
+crc as (select doc_id, xor(c, 4294967295::bigint) % 5 rest from b where i = len(s)),
+"""
+
+
+@query("lm_base_columns", _CRC + LM_SQL.removeprefix("with "))
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can say."""
+    return op9(spark, sf_dir).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
