@@ -77,15 +77,25 @@ _STANDING = "gender string, team string, rating double, day int"
 _BLOCK = ["gender", "part", "block"]
 
 
-def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """seq plus ratings before and after each match and the chance given to side a."""
+def elo_history(matches: DataFrame, config: EloConfig = EloConfig(), block_rows: int = BLOCK_ROWS, start: DataFrame | None = None) -> DataFrame:
+    """seq plus ratings before and after each match and the chance given to side a.
+
+    ``start`` (gender, team, rating, day of the last match as a number) has the ratings of teams that played before these matches.
+    """
     margin = F.abs(F.col("sets_a") - F.col("sets_b")).cast("double") if config.margin_weight else F.lit(1.0)
     slim = matches.select("gender", F.unix_date("date").alias("date"), F.col("seq").cast("bigint").alias("seq"), "team_a", "team_b",
                           (F.col("winner") == "team_a").alias("a_won"), margin.alias("margin"))
     largest = slim.groupBy("gender").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= block_rows:
+    if largest <= block_rows and start is None:
         return slim.groupBy("gender").applyInPandas(lambda pdf: _replay(pdf, {}, config)[0], _HISTORY_SCHEMA)
-    return _by_levels(cut(slim), config, block_rows)
+    if largest <= block_rows:
+        return slim.groupBy("gender").cogroup(start.withColumnRenamed("gender", "g").groupBy("g")).applyInPandas(
+            lambda pdf, known: _replay(pdf, _standing(known), config)[0], _HISTORY_SCHEMA)
+    return _by_levels(cut(slim), config, block_rows, start)
+
+
+def _standing(pdf: pd.DataFrame) -> dict:
+    return {t: (r, d) for t, r, d in zip(pdf["team"].tolist(), pdf["rating"].tolist(), pdf["day"].tolist())}
 
 
 def block_levels(entered: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def block_levels(entered: DataFrame) -> DataFrame:
             return levels
 
 
-def _by_levels(slim: DataFrame, config: EloConfig, block_rows: int) -> DataFrame:
+def _by_levels(slim: DataFrame, config: EloConfig, block_rows: int, start: DataFrame | None) -> DataFrame:
     spark = slim.sparkSession
     named = {side: F.coalesce(f"team_{side}", F.lit("")).alias(side) for side in ("a", "b")}  # a missing team is one, too
     groups = connected_groups(slim.select("gender", *named.values()).distinct(), ["gender"])
@@ -125,13 +135,12 @@ def _by_levels(slim: DataFrame, config: EloConfig, block_rows: int) -> DataFrame
     def replay(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame({"gender": [], "seq": [], **{c: [] for c in HISTORY}, "team": [], "day": []})
-        known = {t: (r, d) for t, r, d in zip(start["team"].tolist(), start["rating"].tolist(), start["day"].tolist())}
-        history, state = _replay(pdf, known, config)
+        history, state = _replay(pdf, _standing(start), config)
         ends = pd.DataFrame({"team": list(state), "elo_a_post": [r for r, _ in state.values()], "day": [d for _, d in state.values()]})
         return pd.concat([history, ends]).assign(gender=key[0])
 
     both = f"gender string, {_HISTORY_SCHEMA}, team string, day int"
-    standing = spark.createDataFrame([], _STANDING)
+    standing = spark.createDataFrame([], _STANDING) if start is None else start.select("gender", "team", "rating", "day")
     done = []
     for level in range((levels.agg(F.max("level")).first()[0] or 0) + 1):
         start = null_safe_join(entries.where(F.col("level") == level), standing, ["gender", "team"]).select(

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Lines per file that fit into seq below the file number.
-FILE_SHIFT = 1 << 40
+from courtside.session import cut
+
+# Splits, a row each, up to which their table is sent to every task (some 60 MB).
+MOST_SPLITS = 500_000
 
 
 def number_lines(df: DataFrame) -> DataFrame:
-    """Add file, line (from 0, per file) and seq (file order, then line order).
+    """Add file, line (from 0, per file) and seq (from 0 over all files, in file order, then line order).
 
-    A split is read by one task in order, so lines are numbered inside their split and shifted by
-    the line counts of the earlier splits of the file; no task holds a whole file.
+    A split is read by one task in order, so a line's place in it is how far its row id is from the split's first one. A small table
+    with a row a split, of line counts summed over the splits before, does the rest; the text itself is neither sorted nor moved.
     """
     return number_located(locate_lines(df))
 
@@ -26,19 +28,18 @@ def locate_lines(df: DataFrame) -> DataFrame:
 
 def number_located(located: DataFrame) -> DataFrame:
     read = located.withColumn("_at", F.monotonically_increasing_id())
-    in_block = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at")) - 1
-    counts = read.groupBy("file", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # One row per file: a listing, not data.
-    files = counts.select("file").distinct().withColumn(
-        "_file_no", F.row_number().over(Window.orderBy("file")).cast("bigint") - 1)
-    return (
-        read.withColumn("_local", in_block).join(shifts, ["file", "_block"]).join(files, "file")
-        .withColumn("line", (F.col("_shift") + F.col("_local")).cast("bigint"))
-        .withColumn("seq", F.col("_file_no") * F.lit(FILE_SHIFT) + F.col("line"))
-        .drop("_block", "_at", "_local", "_shift", "_file_no")
-    )
+    splits = cut(read.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
+    in_file = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a file: a listing, not data
+    over = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = splits.groupBy("file").agg(F.sum("_n").alias("_n")).select("file", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
+    shifts = splits.select("file", "_block", F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_shift"), "_first").join(files, "file")
+    if splits.count() <= MOST_SPLITS:
+        shifts = F.broadcast(shifts)
+    return (read.join(shifts, ["file", "_block"])
+            .withColumn("line", (F.col("_shift") + F.col("_at") - F.col("_first")).cast("bigint"))
+            .withColumn("seq", (F.col("_before") + F.col("line")).cast("bigint"))
+            .drop("_block", "_at", "_shift", "_first", "_before"))
 
 
 def require_columns(df: DataFrame, columns) -> DataFrame:

@@ -42,17 +42,28 @@ def _total(side: str) -> Column:
     return F.nullif(F.aggregate("sets", F.lit(0), lambda acc, s: acc + s[f"team_{side}_points"]), F.lit(0))
 
 
+RANGE = 4096           # lines that are looked at together
+
+
 def with_headers(lines: DataFrame) -> DataFrame:
-    """Match lines with the name, gender and number of the last header above them in their file."""
-    headers = lines.filter(F.col("_type") == "tournament")
-    following = F.lead("line").over(Window.partitionBy("file").orderBy("line"))
-    headers = headers.select(F.col("file").alias("_file"), F.col("line").alias("_from"), following.alias("_until"),
-                             F.col("No").alias("tournament_no"), F.coalesce("Name", F.lit("")).alias("tournament_name"),
-                             F.col("Gender").alias("tournament_gender"))
-    matches = lines.filter(F.coalesce(F.col("_type") != "tournament", F.lit(True)))
-    above = ((F.col("file") == F.col("_file")) & (F.col("line") > F.col("_from"))
-             & (F.col("_until").isNull() | (F.col("line") < F.col("_until"))))
-    return matches.join(headers, above, "left").drop("_file", "_until")
+    """Match lines with the name, gender and number of the last header above them in their file.
+
+    Lines meet the headers of their own range of lines and the last header before it, so a file of any length and with any number of
+    headers is many small keys.
+    """
+    placed = lines.withColumn("_range", F.floor(F.col("line") / RANGE))
+    is_header = F.coalesce(F.col("_type") == "tournament", F.lit(False))
+    header = F.struct(F.col("line").alias("from"), F.col("No").alias("no"), F.coalesce("Name", F.lit("")).alias("name"), F.col("Gender").alias("gender"))
+    own = F.array_sort(F.collect_list(F.when(is_header, header)))
+    ranges = placed.groupBy("file", "_range").agg(own.alias("_own"))
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.size("_own") > 0, F.element_at("_own", -1))
+    ranges = ranges.withColumn("_carried", F.last(last, ignorenulls=True).over(before))
+    above = F.filter("_own", lambda h: h["from"] < F.col("line"))
+    found = F.when(F.size(above) > 0, F.element_at(above, -1)).otherwise(F.col("_carried"))
+    return (placed.where(~is_header).join(ranges, ["file", "_range"]).withColumn("_header", found).select(
+        *lines.columns, F.col("_header.from").alias("_from"), F.col("_header.no").alias("tournament_no"),
+        F.col("_header.name").alias("tournament_name"), F.col("_header.gender").alias("tournament_gender")))
 
 
 def translate(lines: DataFrame, source: str = "landing") -> DataFrame:

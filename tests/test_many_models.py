@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from courtside.models import boosting
 from courtside.models.boosting import Boosted, Settings, first_gains, fit_boosted, trained_by
 from courtside.models.ensemble import simplex_weights, stacked_predictions, stacking_weights
+from courtside.models.isotonic import Isotonic
 from courtside.models.linear import bradley_terry_by_fold, fit_logistic, logistic_chance, pair_counts, team_strengths
 from courtside.operators.drift import drift, merge_sketches, period_sketches
-from courtside.operators.elo import block_levels, elo_history
+from courtside.operators.elo import block_levels, elo_history, final_ratings
 from courtside.operators.folds import assign_folds, fold_weights, train_rows
 from courtside.operators.form import long_form
 from courtside.operators.graph import connected_groups
 from courtside.operators.rolling import form_last_year, schedule_density
+from courtside.operators.state import team_state
+from courtside.streaming.state import current_state, merge_state
 
 
 @pytest.fixture(scope="module")
@@ -204,3 +207,44 @@ def test_rows_without_a_date_or_team_stay(crowded):
         assert rows.count() == long.count()
     lost = schedule_density(long).where("date IS NULL")
     assert lost.count() == 28 and lost.where("matches_last_30d > 0").count() == 0
+
+
+def _slow_isotonic(p, y):
+    xs = sorted(set(p))
+    w = [sum(a == x for a in p) for x in xs]
+    s = [sum(b for a, b in zip(p, y) if a == x) for x in xs]
+    return {x: max(min(sum(s[a:b + 1]) / sum(w[a:b + 1]) for b in range(i, len(xs))) for a in range(i + 1)) for i, x in enumerate(xs)}
+
+
+@pytest.mark.parametrize("piece", [1000, 9])
+def test_isotonic_levels_in_ranges(spark, piece):
+    rng = np.random.default_rng(9)
+    p = [round(float(x), 2) for x in rng.random(400)] + [0.5] * 60
+    y = [float(rng.random() < (0.3 if 0.4 < x < 0.7 else x)) for x in p]  # long stretches to pool
+    rows = spark.createDataFrame(list(zip(p, y)) + [(None, 1.0), (0.3, None)], "p double, y double")
+    model = Isotonic(0.0, 1.0, piece).fit(rows)
+    want = _slow_isotonic(p, y)
+    got = {r.x: r.p for r in model.transform(rows.where("p IS NOT NULL").selectExpr("p", "p AS x").distinct()).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    xs = sorted(want)
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate([None, float("nan"), -1.0, 0.005, (xs[40] + xs[41]) / 2, 0.3333, 2.0])], "i int, p double")
+    out = {r.i: r.p for r in model.transform(asked).collect()}
+    line = np.interp([-1.0, 0.005, (xs[40] + xs[41]) / 2, 0.3333, 2.0], xs, [want[x] for x in xs])
+    assert out[0] is None and out[1] is None and [out[i] for i in range(2, 7)] == pytest.approx(line.tolist(), abs=1e-9)
+
+
+def test_state_kept_up_by_batches(spark, crowded, tmp_path):
+    """Late rows, a repeated batch, a pool that a batch does not touch: the state is that of one run."""
+    rows = crowded.where("date IS NOT NULL").cache()
+    arrives = F.when(F.col("seq") % 61 == 0, 2).when(F.col("gender") == "women", F.when(F.col("date") < "2020-02-15", 1).otherwise(3)).otherwise(
+        F.when(F.col("date") < "2020-01-20", 0).when(F.col("date") < "2020-02-20", 1).when(F.col("date") < "2020-03-10", 2).otherwise(3))
+    placed = rows.withColumn("arrives", arrives).cache()
+    out = f"{tmp_path}/state"
+    for i in (0, 1, 2, 2, 3, 4):
+        merge_state(placed.where(F.col("arrives") == i), i, out)
+        upto = placed.where(F.col("arrives") <= i).drop("arrives")
+        want = {(r.gender, r.team): r.asDict(recursive=True) for r in team_state(upto).collect()}
+        got = {(r.gender, r.team): r.asDict(recursive=True) for r in current_state(spark, out).collect()}
+        ratings = {(r.gender, r.team): r.elo for r in final_ratings(upto, elo_history(upto)).collect()}
+        assert {k: {c: v for c, v in x.items() if c != "elo"} for k, x in got.items()} == want
+        assert {k: x["elo"] for k, x in got.items()} == pytest.approx(ratings, abs=1e-9)

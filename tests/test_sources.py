@@ -8,7 +8,7 @@ from courtside.sources.csv_matches import read_csv_matches
 from courtside.sources.dimensions import competition_table
 from courtside.sources.files import number_lines, read_aliases, read_competitions, read_table, write_matches
 from courtside.sources.landing import discarded, read_landing, set_rows, usable
-from courtside.streaming.ingest import ingest_available, stored_matches
+from courtside.streaming.ingest import _SEEN, _earlier, ingest_available, stored_matches
 
 
 def _land(folder, no, name, gender, matches, header=True):
@@ -58,6 +58,30 @@ def test_last_header_above_counts(spark, tmp_path):
     assert {r["source_match_id"]: r["gender"] for r in usable(read_landing(spark, str(tmp_path))).collect()} == {"a": "men", "b": "women"}
 
 
+def test_headers_of_a_long_file_in_many_splits(spark, tmp_path, monkeypatch):
+    """One file with all tournaments, more of them than a range of lines, and a tournament over several ranges and splits."""
+    from courtside.sources import landing
+    monkeypatch.setattr(landing, "RANGE", 16)
+    lines, want = [json.dumps({"_type": "match", **_match("early")})], {}
+    for t in range(60):
+        lines.append(json.dumps({"_type": "tournament", "No": f"t{t}", "Name": "World Cup", "Gender": ["men", "women"][t % 2]}))
+        for i in range(70 if t % 20 == 0 else t % 3):
+            want[f"{t}-{i}"] = f"t{t}"
+            lines.append(json.dumps({"_type": "match", **_match(f"{t}-{i}")}))
+    (tmp_path / "all.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "other.jsonl").write_text(json.dumps({"_type": "match", **_match("lost")}) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = read_landing(spark, str(tmp_path))
+        assert {r["source_match_id"]: r["tournament_no"] for r in usable(rows).collect()} == want
+        assert {r[0] for r in discarded(rows).collect()} == {"early", "lost"}
+        seqs = [r["seq"] for r in rows.orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(set(seqs)) == len(want) + 2
+
+
 def test_csv_rows(spark, tmp_path):
     path = tmp_path / "vnl_2025.csv"
     path.write_text("day,gender,competition,team_a,team_b,team_a_score,sets_a,sets_b\n"
@@ -124,3 +148,5 @@ def test_streaming_resumes_and_drops_repeats(spark, tmp_path):
     seqs = [r["seq"] for r in stored_matches(spark, out).collect()]
     assert sorted(seqs) == [0, 1]
     assert spark.read.parquet(f"{out}/judged").filter(F.col("reason").isNotNull()).count() == 1
+    plan = _earlier(spark, f"{out}/judged", _SEEN, 1, "bucket", [3, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
