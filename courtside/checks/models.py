@@ -119,11 +119,11 @@ def l4(spark, sf):
 
 
 @check("l4_isotonic_levels", MATCHES, ELO,
-       """g as (select gender, round(elo_pred_a, 2) x, count(*)::double w, sum((winner='team_a')::int)::double s from elo group by all),
-       c as (select gender, x, sum(w) over o - w wb, sum(w) over o wa, sum(s) over o - s sb, sum(s) over o sa from g
+       """xs as (select gender, round(elo_pred_a, 2) x, count(*)::double w, sum((winner='team_a')::int)::double s from elo group by all),
+       run as (select gender, x, sum(w) over o - w wb, sum(w) over o wa, sum(s) over o - s sb, sum(s) over o sa from xs
         window o as (partition by gender order by x rows between unbounded preceding and current row)),
-       low as (select i.gender, i.x, a.x ax, min((b.sa - a.sb) / (b.wa - a.wb)) m from c i join c a on a.gender = i.gender and a.x <= i.x
-        join c b on b.gender = i.gender and b.x >= i.x group by i.gender, i.x, a.x)""",
+       low as (select i.gender, i.x, a.x ax, min((b.sa - a.sb) / (b.wa - a.wb)) m from run i join run a on a.gender = i.gender and a.x <= i.x
+        join run b on b.gender = i.gender and b.x >= i.x group by i.gender, i.x, a.x)""",
        "select gender, x, round(least(0.98, greatest(0.02, max(m))), 9) level from low group by gender, x", recursive=True)
 def l4_levels(spark, sf):
     """Levels at hundredths, pooled in ranges of 16, against the largest of the least means."""
