@@ -28,6 +28,9 @@ LEAST_Z = 3.5
 _SLOTS = (1 << BITS) - 1
 
 
+_NONE = np.zeros(0, np.int32)
+
+
 class Features:
     """Feature numbers of a text with the number of its words that hold each, as ``number << 32 | words``.
 
@@ -38,25 +41,33 @@ class Features:
     _words = re.compile(r"[^\W_]+").findall
 
     def __init__(self, wanted: np.ndarray | None = None):
-        self.wanted = wanted
+        self.wanted = None if wanted is None else frozenset(np.flatnonzero(wanted).tolist())
         self.known: dict[str, np.ndarray] = {}
+        self.telling: set[str] = set()     # known words that have features at all
 
-    def _of_word(self, word: str) -> np.ndarray:
-        padded = f" {word} "
-        grams = {padded[i:i + n] for n in ORDERS for i in range(len(padded) - n + 1)}
-        found = np.array(sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) & _SLOTS for g in grams}), np.int32)
-        if self.wanted is not None:
-            found = found[self.wanted[found]]
-        if len(self.known) > self.KEEP:
+    def _learn(self, words: set[str]) -> None:
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > self.KEEP:
             self.known.clear()
-        self.known[word] = found
-        return found
+            self.telling.clear()
+            fresh = words
+        for word in fresh:
+            padded = f" {word} ".encode("utf-8", "surrogatepass") if word.isascii() else f" {word} "
+            grams = {padded[i:i + n] for n in ORDERS for i in range(len(padded) - n + 1)}
+            if isinstance(padded, str):
+                grams = {g.encode("utf-8", "surrogatepass") for g in grams}
+            slots = {zlib.crc32(g) & _SLOTS for g in grams}
+            if self.wanted is not None:
+                slots &= self.wanted
+            self.known[word] = np.array(sorted(slots), np.int32) if slots else _NONE
+            if slots:
+                self.telling.add(word)
 
     def of(self, text: str | None) -> np.ndarray:
-        words = set(self._words(text.lower())) if text else ()
+        words = set(self._words(text.lower())) if text else set()
+        self._learn(words)
         known = self.known
-        parts = [known[w] if w in known else self._of_word(w) for w in words]
-        parts = [p for p in parts if p.size]
+        parts = [known[w] for w in words & self.telling]
         if not parts:
             return np.zeros(0, np.int64)
         seen = np.concatenate(parts)

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 from itertools import permutations
 
 import numpy as np
@@ -11,9 +12,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from courtside.llm import ann, audit, fim
+import public_tokenizers
+from courtside.llm import ann, audit, fim, html, language, packing
 from courtside.llm.queries import QUERIES
 
+WORDS = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
 SF = "/root/testdata/sf0.001"
 
 
@@ -209,3 +212,58 @@ def test_search_query(spark):
     got = QUERIES["op11_ann"](spark, SF).toPandas()
     found = sum(len({j for j, _ in want[q]} & set(part.vec_id)) for q, part in got.groupby("query_id"))
     assert set(got.query_id) == set(want) and found >= 0.9 * sum(map(len, want.values()))
+
+
+# ---- mended cases of other operators -----------------------------------------------------------------------
+
+def texts_of(page):
+    return ["".join(t for _, t in node.text) for node in html.parse(page)[0]][1:]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<p data-x=it's>FIRST</p><p>SECOND it's</p><p>THIRD</p>", ["FIRST", "SECOND it's", "THIRD"]),
+    ('<p title="abc>Hello', ["Hello"]),
+    ("<p title='a > b' class = \"x\">yes</p>", ["yes"]),
+    ("<p>a<span hidden>no</span>b<span style='display: none'>no<i>x</i></span>c <b class='hidden'>d</b></p>", ["abc d"]),
+    ("<p>e<span aria-hidden=true>no</p><p>f</p>", ["e", "f"]),
+])
+def test_odd_markup(page, want):
+    assert texts_of(page) == want
+
+
+def test_many_end_tags_are_passed_over_quickly():
+    begin = time.process_time()
+    assert len(html.parse("<div>" * 100_000 + "</span></section>" * 100_000)[0]) == 100_001
+    assert time.process_time() - begin < 5
+
+
+def test_material_comes_from_all_over_a_page():
+    blocks = [f"{i} " + "x" * 30_000 for i in range(20)]
+    some = html._some(blocks)
+    assert sum(map(len, some)) <= html.MATERIAL and len(some) == 6 and int(some[-1].split()[0]) > 6 and html._some(blocks[:3]) == blocks[:3]
+
+
+def test_search_goes_on_to_the_end():
+    sizes = np.random.default_rng(0).integers(520, 900, 4000)
+    bins = packing.pack(sizes)
+    assert sorted(i for b in bins for i in b) == list(range(4000)) and max(sizes[b].sum() for b in bins) <= 2048
+    assert len(bins) <= 0.95 * len(packing.best_fit(sizes, 2048))
+    search = packing.Search(sizes, bins, 2048)
+    assert len(search.run()) == len(bins)  # nothing is left to exchange
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
+@settings(deadline=None)
+def test_small_bins(sizes):
+    bins = packing.pack(np.array(sizes, np.int64), 40)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(0 < sum(sizes[i] for i in b) <= 40 for b in bins)
+
+
+def test_numbers_are_not_letters():
+    assert language._WORDS("½ ² Ⅷ 12 _") == [] and language._WORDS("aé½b 漢字1") == ["aé", "b", "漢字"]
+
+
+@given(st.text(alphabet=[chr(i) for i in range(0x250)], max_size=30))
+@settings(deadline=None, max_examples=300)
+def test_latin_ids_are_the_librarys(text):
+    assert WORDS.encode([text])[0] == np.array(WORDS.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
