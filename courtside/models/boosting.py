@@ -92,8 +92,12 @@ def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.
     return out
 
 
+def _bin_type(edges: list[np.ndarray]) -> type:
+    return np.uint8 if max(map(len, edges), default=0) < 255 else np.uint16
+
+
 def _binned(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(columns[0]) if columns else 0, len(edges)), np.uint8)
+    out = np.zeros((len(columns[0]) if columns else 0, len(edges)), _bin_type(edges))
     for i, (x, cuts) in enumerate(zip(columns, edges)):
         known = ~np.isnan(x)
         out[known, i] = 1 + np.searchsorted(cuts, x[known], "left")
@@ -172,8 +176,8 @@ class Boosted:
 class _Rows:
     """The written training rows and the passes over them."""
 
-    def __init__(self, frame: DataFrame, models: int, outputs: int, objective: str):
-        self.frame, self.models, self.outputs, self.objective = frame, models, outputs, objective
+    def __init__(self, frame: DataFrame, models: int, outputs: int, objective: str, kind: type = np.uint8):
+        self.frame, self.models, self.outputs, self.objective, self.kind = frame, models, outputs, objective, kind
         self.tasks = frame.rdd.getNumPartitions()
         self.done = 0                 # trees in the written scores
 
@@ -202,7 +206,7 @@ class _Rows:
 
     def summed(self, width: int, work: Callable[[np.ndarray, dict], None]) -> np.ndarray:
         """``work(total, batch)`` over all batches of (row, model) pairs, added up over tasks: in groups first if there are many."""
-        tally = _tally(width, work, self.models, self.outputs)
+        tally = _tally(width, work, self.outputs, self.kind)
         parts = self.frame.mapInArrow(tally, "v binary")
         if self.tasks > DIRECT:
             def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,12 +222,12 @@ class _Rows:
         return total
 
 
-def _pairs(batch: pa.RecordBatch, outputs: int) -> dict:
+def _pairs(batch: pa.RecordBatch, outputs: int, kind: type = np.uint8) -> dict:
     """The batch's rows once for every model that they train."""
     column = dict(zip(batch.schema.names, batch.columns))
     n = batch.num_rows
     raw = column["x"]
-    x = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(n, -1)
+    x = np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(n, -1)
     trains = column["trains"]
     each = np.asarray(trains.value_lengths())
     flat = trains.flatten()
@@ -235,12 +239,12 @@ def _pairs(batch: pa.RecordBatch, outputs: int) -> dict:
             "model": flat.field("m").to_numpy().astype(np.int64), "weight": flat.field("w").to_numpy(), "score": score}
 
 
-def _tally(width: int, work: Callable[[np.ndarray, dict], None], models: int, outputs: int):
+def _tally(width: int, work: Callable[[np.ndarray, dict], None], outputs: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
-                work(total, _pairs(batch, outputs))
+                work(total, _pairs(batch, outputs, kind))
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
     return run
 
@@ -454,14 +458,18 @@ def _scored(frame: DataFrame, me: Boosted, done: int, outputs: int) -> DataFrame
 
 
 def first_gains(rows: DataFrame, columns: list[str], y: Column, key: Column, trains: Column, models: int, objective: str = "logistic",
-                outputs: int = 1, settings: Settings = Settings(), bins: int = 256) -> DataFrame:
-    """(model, output, feature, threshold, gain) of every possible first split: missing values and those up to the threshold against the rest."""
+                outputs: int = 1, settings: Settings = Settings(), bins: int = 1 << 15) -> DataFrame:
+    """(model, output, feature, threshold, gain) of every possible first split: missing values and those up to the threshold against the rest.
+
+    A model's thresholds are the values of its own rows; of a feature with over ``bins`` * 0.8 values, some ``bins`` quantiles.
+    """
     edges = bin_edges(rows, columns, bins)
-    table = _Rows(cut(prepare(rows, columns, y, key, trains, edges)), models, outputs, objective)
+    bins = max(map(len, edges), default=0) + 2
+    table = _Rows(cut(prepare(rows, columns, y, key, trains, edges)), models, outputs, objective, _bin_type(edges))
     me = Boosted(objective, list(columns), edges, _start(table, models, outputs, objective))
     none = np.zeros((models, outputs, 1), np.int64)
     sums = table.level(me, none, none, 0, settings, bins)[:, :, :, 0]
-    gain = _gains(sums, settings.penalty, settings.least_rows)
+    gain = np.where(sums[2] > 0, _gains(sums, settings.penalty, settings.least_rows), -np.inf)
     out = [(int(m), int(k), columns[f], float(edges[f][b - 1]), float(gain[m, k, f, b]))
            for m, k, f, b in np.argwhere(np.isfinite(gain)) if 1 <= b <= len(edges[f])]
     return rows.sparkSession.createDataFrame(out, "model int, output int, feature string, threshold double, gain double")

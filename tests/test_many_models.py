@@ -77,6 +77,15 @@ def test_first_gains_against_brute_force(table):
     assert [r.threshold for r in got] == [0.0, 1.0, 2.0]
 
 
+def test_first_gains_at_every_value_of_a_models_own_rows(spark):
+    """Model 0 has the even values below 2 000, model 1 the odd ones; far more values than a tree has bins."""
+    rows = spark.range(2000).selectExpr("id AS seq", "CAST(id AS double) AS v", "CAST(id % 3 = 0 AS double) AS y", "array(CAST(id % 2 AS int)) AS m")
+    got = first_gains(rows, ["v"], F.col("y"), F.col("seq"), trained_by(F.col("m")), 2, settings=Settings(least_rows=20)).collect()
+    for model in (0, 1):
+        values = list(range(model, 2000, 2))
+        assert sorted(r.threshold for r in got if r.model == model) == values[19:-20]
+
+
 def test_simplex_weights():
     rng = np.random.default_rng(3)
     for k in (1, 2, 3, 4):
