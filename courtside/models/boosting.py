@@ -70,28 +70,100 @@ def _mixed(key: np.ndarray, number: int) -> np.ndarray:
 
 
 def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
-    """Upper ends of the bins: the distinct values where these are few, else approximate quantiles; never more than ``bins`` - 2."""
+    """Upper ends of the bins: the distinct values where these are few, else quantiles; never more than ``bins`` - 2.
+
+    Nothing depends on how the rows are dealt, so the same rows give the same edges. ``rows`` is read several times.
+    """
     value = {c: F.col(f"`{c}`").cast("double") for c in columns}
     value = {c: F.when(~F.isnan(v), v) for c, v in value.items()}
-    steps = [i / (bins - 1) for i in range(1, bins - 1)]
-    found = rows.agg(*[F.approx_count_distinct(v).alias(f"n{i}") for i, v in enumerate(value.values())],
-                     *[F.percentile_approx(v, steps, 10_000).alias(f"q{i}") for i, v in enumerate(value.values())]).first()
+    found = rows.agg(*[F.approx_count_distinct(v).alias(f"n{i}") for i, v in enumerate(value.values())]).first()
     few = [i for i in range(len(columns)) if found[f"n{i}"] <= (bins - 2) * 0.8]
     values: dict[int, list[float]] = {i: [] for i in few}
     if few:
         stacked = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), value[columns[i]].alias("v")) for i in few])))
         for r in stacked.where("v IS NOT NULL").distinct().collect():
             values[r.i].append(r.v)
+    many = [i for i in range(len(columns)) if i not in values or len(set(values[i])) > bins - 1]
+    cuts = dict(zip(many, _quantiles(rows, [columns[i] for i in many], bins))) if many else {}
+    return [cuts[i] if i in cuts else np.array(sorted(set(values[i]))[:-1]) for i in range(len(columns))]
+
+
+def _in_order(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the values."""
+    bits = (v + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))
+
+
+def _quantiles(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
+    """``bins`` - 2 quantiles of each column: a pass counts values by their first 16 bits, a second one those of the cells with a
+    wanted rank by up to 10 more. An edge is the upper end of its cell."""
+    each = rows.select(*[F.col(f"`{c}`").cast("double") for c in columns])
+
+    def counted(width: int, cell: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(columns), width))
+            for batch in batches:
+                for i, column in enumerate(batch.columns):
+                    v = np.asarray(column.to_numpy(zero_copy_only=False), float)
+                    total[i] += np.bincount(cell(i, _in_order(v[~np.isnan(v)])), minlength=width)
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+        return _added(each, run, len(columns) * width).reshape(len(columns), width)
+
+    def at(counts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that hold the ranks (from 1), and the ranks within them."""
+        upto = np.cumsum(counts)
+        cell = np.searchsorted(upto, ranks, "left")
+        return cell, ranks - (upto - counts)[cell]
+
+    first = counted(1 << 16, lambda i, key: (key >> 48) + 32768)
+    wanted = []
+    for counts in first:
+        n = counts.sum()
+        wanted.append(at(counts, np.ceil(np.arange(1, bins - 1) * n / (bins - 1)).clip(1)) if n else (np.zeros(0, np.int64), np.zeros(0)))
+    cells = [np.unique(cell) for cell, _ in wanted]
+    slots = max(map(len, cells))
+    if not slots:
+        return [np.zeros(0) for _ in columns]
+    more = max(1, min(10, 17 - slots.bit_length()))
+    slot = np.full((len(columns), 1 << 16), -1)
+    for i, mine in enumerate(cells):
+        slot[i, mine] = np.arange(len(mine))
+
+    def finer(i: int, key: np.ndarray) -> np.ndarray:
+        place = slot[i, (key >> 48) + 32768]
+        return ((place << more) + ((key >> (48 - more)) & ((1 << more) - 1)))[place >= 0]
+
+    second = counted(slots << more, finer)
     out = []
-    for i in range(len(columns)):
-        exact = sorted(set(values.get(i, [])))
-        if i in values and len(exact) <= bins - 1:
-            out.append(np.array(exact[:-1]))
-        else:
-            out.append(np.unique(np.array(found[f"q{i}"] or [], float)))
+    for i, (cell, rank) in enumerate(wanted):
+        ends = []
+        for c, r in zip(cell, rank):
+            s = int(slot[i, c]) << more
+            sub, _ = at(second[i, s:s + (1 << more)], r)
+            ends.append(((int(c) - 32768) << 48) + ((int(sub) + 1) << (48 - more)) - 1)
+        key = np.array(ends, np.int64)
+        end = (key ^ ((key >> 63) & np.int64(2 ** 63 - 1))).view(np.float64)
+        out.append(np.unique(np.where(np.isnan(end), np.inf, end)))
     return out
 
 
+def _added(frame: DataFrame, tally: Callable, width: int, tasks: int | None = None) -> np.ndarray:
+    """The sum of the arrays that ``tally`` gives for each task: in groups first if there are many."""
+    parts = frame.mapInArrow(tally, "v binary")
+    if (frame.rdd.getNumPartitions() if tasks is None else tasks) > DIRECT:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width)
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    total += np.frombuffer(raw)
+            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+        parts = parts.repartition(DIRECT).mapInArrow(add, "v binary")
+    total = np.zeros(width)
+    for r in parts.collect():
+        total += np.frombuffer(r.v)
+    return total
+
+
 def _bin_type(edges: list[np.ndarray]) -> type:
     return np.uint8 if max(map(len, edges), default=0) < 255 else np.uint16
 
@@ -206,20 +278,7 @@ class _Rows:
 
     def summed(self, width: int, work: Callable[[np.ndarray, dict], None]) -> np.ndarray:
         """``work(total, batch)`` over all batches of (row, model) pairs, added up over tasks: in groups first if there are many."""
-        tally = _tally(width, work, self.outputs, self.kind)
-        parts = self.frame.mapInArrow(tally, "v binary")
-        if self.tasks > DIRECT:
-            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros(width)
-                for batch in batches:
-                    for raw in batch.column(0).to_pylist():
-                        total += np.frombuffer(raw)
-                yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
-            parts = parts.repartition(DIRECT).mapInArrow(add, "v binary")
-        total = np.zeros(width)
-        for r in parts.collect():
-            total += np.frombuffer(r.v)
-        return total
+        return _added(self.frame, _tally(width, work, self.outputs, self.kind), width, self.tasks)
 
 
 def _pairs(batch: pa.RecordBatch, outputs: int, kind: type = np.uint8) -> dict:
@@ -296,19 +355,23 @@ def _gains(sums: np.ndarray, penalty: float, least_rows: int) -> np.ndarray:
     return np.where((left[2] >= least_rows) & (right[2] >= least_rows), gain, -np.inf)
 
 
-def prepare(rows: DataFrame, columns: list[str], y: Column, key: Column, trains: Column, edges: list[np.ndarray]) -> DataFrame:
-    """The written rows: bins, target, key and an array of (m, w): the models that a row trains and its weight in each."""
+def _written(rows: DataFrame, columns: list[str], y: Column, key: Column, trains: Column) -> DataFrame:
+    """Features, target, key and models of the rows, written once for the passes that find the bins."""
+    return cut(rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns], y.cast("double").alias("_y"), key.cast("bigint").alias("_key"),
+                           F.filter(trains, lambda t: t.w > 0).alias("_trains")))
+
+
+def prepare(written: DataFrame, columns: list[str], edges: list[np.ndarray]) -> DataFrame:
+    """The training rows: bins, target, key and an array of (m, w): the models that a row trains and its weight in each."""
     def work(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for features in batches:
             features = (features,) if isinstance(features, pa.Array) else features  # a single column comes by itself
             x = _binned([np.asarray(f.to_numpy(zero_copy_only=False), float) for f in features], edges)
             yield pa.array([r.tobytes() for r in x], pa.binary())
 
-    binned = F.arrow_udf(work, "binary")(*[F.col(f"`{c}`").cast("double") for c in columns])
-    slim = rows.select(*[F.col(f"`{c}`") for c in columns], y.cast("double").alias("_y"), key.cast("bigint").alias("_key"),
-                       F.filter(trains, lambda t: t.w > 0).alias("_trains"))
+    binned = F.arrow_udf(work, "binary")(*[F.col(f"`{c}`") for c in columns])
     # rows without a target train nothing
-    slim = slim.where(F.col("_y").isNotNull() & (F.size("_trains") > 0))
+    slim = written.where(F.col("_y").isNotNull() & (F.size("_trains") > 0))
     return slim.select(binned.alias("x"), F.col("_y").alias("y"), F.col("_key").alias("key"), F.col("_trains").alias("trains"))
 
 
@@ -326,8 +389,10 @@ def fit_boosted(rows: DataFrame, columns: list[str], y: Column, key: Column, tra
     ``key`` tells rows apart when a tree uses a share of them. ``allowed`` [model, column] leaves columns to some models only. A model without
     rows predicts zero scores. Missing and NaN values lie below all others; rows with a null target are left out.
     """
-    edges = bin_edges(rows, columns, bins)
-    frame = cut(prepare(rows, columns, y, key, trains, edges))
+    written = _written(rows, columns, y, key, trains)
+    edges = bin_edges(written, columns, bins)
+    frame = cut(prepare(written, columns, edges))
+    forget(written)
     sizes = frame.select(F.explode("trains.m").alias("m")).groupBy("m").count().collect()  # a row a model
     may = np.ones((models, len(columns)), bool) if allowed is None else allowed
     if max((r["count"] for r in sizes), default=0) <= whole:
@@ -463,9 +528,11 @@ def first_gains(rows: DataFrame, columns: list[str], y: Column, key: Column, tra
 
     A model's thresholds are the values of its own rows; of a feature with over ``bins`` * 0.8 values, some ``bins`` quantiles.
     """
-    edges = bin_edges(rows, columns, bins)
+    written = _written(rows, columns, y, key, trains)
+    edges = bin_edges(written, columns, bins)
     bins = max(map(len, edges), default=0) + 2
-    table = _Rows(cut(prepare(rows, columns, y, key, trains, edges)), models, outputs, objective, _bin_type(edges))
+    table = _Rows(cut(prepare(written, columns, edges)), models, outputs, objective, _bin_type(edges))
+    forget(written)
     me = Boosted(objective, list(columns), edges, _start(table, models, outputs, objective))
     none = np.zeros((models, outputs, 1), np.int64)
     sums = table.level(me, none, none, 0, settings, bins)[:, :, :, 0]

@@ -86,6 +86,18 @@ def test_first_gains_at_every_value_of_a_models_own_rows(spark):
         assert sorted(r.threshold for r in got if r.model == model) == values[19:-20]
 
 
+def test_bin_edges_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = spark.range(200_000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 51 = 0 THEN double('nan') ELSE (hash(id) % 100000) / 7D END AS v",
+                                           "CAST(hash(id, 1) AS double) * 1e-300 AS w")
+    got = [boosting.bin_edges(rows.repartition(n), ["v", "w"]) for n in (3, 40)]
+    for a, b in zip(*got):
+        assert np.array_equal(a, b) and len(a) == boosting.BINS - 2
+    for c, edges in zip(("v", "w"), got[0]):
+        x = np.array([r[0] for r in rows.where(f"{c} IS NOT NULL AND NOT isnan({c})").select(c).collect()])
+        shares = [(x <= e).mean() for e in edges]
+        assert np.abs(np.array(shares) - np.arange(1, 63) / 63).max() < 1e-3
+
+
 def test_simplex_weights():
     rng = np.random.default_rng(3)
     for k in (1, 2, 3, 4):
