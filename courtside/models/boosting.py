@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from courtside.session import cut, forget
 
 BINS = 64              # a missing value has the first one
-REFRESH = 40
+REFRESH = 8            # trees after which the scores are written anew
 TASK_ROWS = 20_000     # (row, model) pairs for which a task of its own pays
 DIRECT = 16            # tasks whose sums go straight to the driver
-WHOLE = 250_000        # rows of a model that one task may hold (some 10 MB)
+WHOLE = 1_000_000      # rows of a model that one task may hold (some 200 MB)
+STEP = 1 << 14         # rows whose places stay in a processor's cache
 
 
 @dataclass(frozen=True)
@@ -179,9 +180,11 @@ def _binned(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
 def _walk(x: np.ndarray, model: np.ndarray, feature: np.ndarray, bound: np.ndarray, depth: int) -> np.ndarray:
     """Number within the level reached after ``depth`` steps, for row bins x and each row's model."""
     node = np.zeros(len(model), np.int64)
-    rows = np.arange(len(model))
+    own, row, bins = model * feature.shape[1], np.arange(len(model)) * x.shape[1], np.ascontiguousarray(x).ravel()
+    feature, bound = np.ascontiguousarray(feature).ravel(), np.ascontiguousarray(bound).ravel()
     for _ in range(depth):
-        right = x[rows, feature[model, node]] > bound[model, node]
+        at = own + node
+        right = bins.take(row + feature.take(at)) > bound.take(at)
         node = 2 * node + 1 + right
     return node - (2 ** depth - 1)
 
@@ -271,7 +274,11 @@ class _Rows:
             chosen = _drawn(part["key"], tree, s)
             part = {k: None if v is None else v[chosen] for k, v in part.items()}
             part["score"] = recent.raw(part["x"], part["model"], 0, part["score"])
-            _add(total, part, me.objective, feature, bound, level, columns, bins)
+            slope, bend = _weighted_slopes(me.objective, part)
+            by_feature = np.ascontiguousarray(part["x"].T)
+            for k in range(outputs):
+                node = _walk(part["x"], part["model"], feature[:, k], bound[:, k], level)
+                _add(total.reshape(shape)[:, :, k], by_feature, part["model"] * 2 ** level + node, slope[:, k], bend[:, k])
 
         shape = (3, self.models, outputs, 2 ** level, columns, bins)
         return self.summed(int(np.prod(shape)), work).reshape(shape)
@@ -285,8 +292,9 @@ def _pairs(batch: pa.RecordBatch, outputs: int, kind: type = np.uint8) -> dict:
     """The batch's rows once for every model that they train."""
     column = dict(zip(batch.schema.names, batch.columns))
     n = batch.num_rows
-    raw = column["x"]
-    x = np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(n, -1)
+    raw = column["x"].cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + n + 1]
+    x = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0]:ends[-1]].view(kind).reshape(n, -1)
     trains = column["trains"]
     each = np.asarray(trains.value_lengths())
     flat = trains.flatten()
@@ -309,39 +317,75 @@ def _tally(width: int, work: Callable[[np.ndarray, dict], None], outputs: int, k
 
 
 class _Held:
-    """One model's rows in memory, with the same interface."""
+    """One model's rows in memory, with the same interface. Every row keeps its place in the tree being grown."""
 
     def __init__(self, part: dict, outputs: int):
         self.part, self.outputs = part, outputs
+        self.x = np.ascontiguousarray(part["x"].T)
+        self.node = np.zeros((outputs, len(part["y"])), np.int64)
+
+    def _down(self, feature: np.ndarray, bound: np.ndarray) -> None:
+        """All rows go on to the next level."""
+        rows = self.x.shape[1]
+        flat = self.x.ravel()
+        for k in range(self.outputs):
+            first, most = feature[k] * rows, bound[k]
+            for at in range(0, rows, STEP):
+                node = self.node[k, at:at + STEP]
+                right = flat.take(first.take(node) + np.arange(at, at + len(node))) > most.take(node)
+                node *= 2
+                node += 1
+                node += right
 
     def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int) -> np.ndarray:
         part = self.part
         if level == 0:
-            part["score"] = me.raw(part["x"], part["model"], max(len(me.value) - 1, 0), part["score"])
-            chosen = _drawn(part["key"], len(me.value), s)
-            self.now = {k: v[chosen] for k, v in part.items()}
-        shape = (3, 1, self.outputs, 2 ** level, len(me.columns), bins)
-        total = np.zeros(int(np.prod(shape)))
-        _add(total, self.now, me.objective, feature, bound, level, len(me.columns), bins)
-        return total.reshape(shape)
+            if me.value:
+                last = me.value[-1][0]
+                self._down(me.feature[-1][0], me.bound[-1][0])
+                for k in range(self.outputs):
+                    part["score"][:, k] += last[k].take(self.node[k] - (last.shape[1] - 1))
+            self.node[:] = 0
+            self.chosen = np.flatnonzero(_drawn(part["key"], len(me.value), s))
+            self.drawn = self.x if len(self.chosen) == self.x.shape[1] else self.x.take(self.chosen, axis=1)
+            slope, bend = _weighted_slopes(me.objective, {c: part[c][self.chosen] for c in ("score", "y", "weight")})
+            self.slope, self.bend = np.ascontiguousarray(slope.T), np.ascontiguousarray(bend.T)
+        else:
+            self._down(feature[0], bound[0])
+        total = np.zeros((3, 1, self.outputs, 2 ** level, len(me.columns), bins))
+        for k in range(self.outputs):
+            _add(total[:, :, k], self.drawn, self.node[k].take(self.chosen) - (2 ** level - 1), self.slope[k], self.bend[k])
+        return total
 
 
 def _drawn(key: np.ndarray, tree: int, s: Settings) -> np.ndarray:
     return np.ones(len(key), bool) if s.row_share >= 1 else _mixed(key, s.seed * 100_003 + tree) < s.row_share
 
 
-def _add(total: np.ndarray, part: dict, objective: str, feature: np.ndarray, bound: np.ndarray, level: int, columns: int, bins: int) -> None:
-    """Adds gradients, second derivatives and rows by (model, output, node, feature, bin)."""
-    x, model, weight = part["x"], part["model"], part["weight"]
+def _weighted_slopes(objective: str, part: dict) -> tuple[np.ndarray, np.ndarray]:
     slope, bend = _slopes(objective, part["score"], part["y"])
-    outputs, nodes = slope.shape[1], 2 ** level
-    sums = total.reshape(3, -1)
-    counted = (weight > 0).astype(float)
-    for k in range(outputs):
-        node = _walk(x, model, feature[:, k], bound[:, k], level)
-        at = (((model * outputs + k) * nodes + node)[:, None] * columns + np.arange(columns)) * bins + x
-        for i, v in enumerate((slope[:, k] * weight, bend[:, k] * weight, counted)):
-            sums[i] += np.bincount(at.ravel(), np.repeat(v, columns), sums.shape[1])
+    return slope * part["weight"][:, None], bend * part["weight"][:, None]
+
+
+def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> None:
+    """Adds gradients, second derivatives and rows to total[3, model, node, feature, bin], for bins x[feature, row] and each row's model and node."""
+    _, models, nodes, columns, bins = total.shape
+    width = models * nodes * bins
+    sums = np.zeros((3, columns, width))
+    step = max(STEP, 4 * width)
+    flat = bool((bend == 1.0).all())   # then the second derivatives add up to the rows
+    for at in range(0, len(node), step):
+        first = node[at:at + step] * bins
+        g, h = slope[at:at + step], bend[at:at + step]
+        for f in range(columns):
+            place = first + x[f, at:at + step]
+            sums[0, f] += np.bincount(place, g, width)
+            if not flat:
+                sums[1, f] += np.bincount(place, h, width)
+            sums[2, f] += np.bincount(place, minlength=width)
+    if flat:
+        sums[1] = sums[2]
+    total += sums.reshape(3, columns, models, nodes, bins).transpose(0, 2, 3, 1, 4)
 
 
 def _gains(sums: np.ndarray, penalty: float, least_rows: int) -> np.ndarray:
@@ -428,8 +472,10 @@ def _grow(me: Boosted, rows: _Rows | _Held, s: Settings, may: np.ndarray, bins:
             gain = np.where(usable[:, None, None, :, None], _gains(sums, s.penalty, s.least_rows), -np.inf)
             flat = gain.reshape(models, outputs, nodes, -1)
             most = flat.max(axis=-1)
-            # of splits that are equally good but for rounding, the first
-            best = (flat >= most[..., None] * (1 - 1e-9)).argmax(axis=-1)
+            # of splits that are equally good but for rounding, the first; sums are rounded by their own size, not the gain's
+            whole = sums[:2, ..., 0, :].sum(axis=-1)
+            blur = 1e-9 * np.abs(most) + 1e-12 * whole[0] ** 2 / (whole[1] + s.penalty + 1e-300)
+            best = (flat >= np.where(np.isfinite(most), most - blur, most)[..., None]).argmax(axis=-1)
             split = most > 1e-12
             place = slice(nodes - 1, 2 * nodes - 1)
             feature[:, :, place] = np.where(split, best // bins, 0)
@@ -438,7 +484,6 @@ def _grow(me: Boosted, rows: _Rows | _Held, s: Settings, may: np.ndarray, bins:
         # the last level's sums give the leaves
         left = np.take_along_axis(np.cumsum(sums[:2], axis=-1).reshape(2, models, outputs, nodes, -1),
                                   np.where(split, best, bins - 1)[None, ..., None], -1)[..., 0]
-        whole = sums[:2, ..., 0, :].sum(axis=-1)
         leaves = np.stack([left, whole - left], axis=-1).reshape(2, models, outputs, 2 * nodes)
         me.feature.append(feature)
         me.bound.append(bound)
