@@ -32,6 +32,13 @@ UNKNOWN = "und"
 # numbers that the class \w takes for letters, such as one half or a Roman eight
 _NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_RUNS = re.compile(r"[^\W\d_]+").findall
+
+
+def _words(text: str) -> list[str]:
+    """Maximal runs of letters. The long class of numbers is slow, and only runs that hold one need it."""
+    runs = _RUNS(text)
+    return runs if "".join(runs).isalpha() else [w for r in runs for w in ([r] if r.isalpha() else _WORDS(r))]
 
 
 def gram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +106,7 @@ class Counts:
 
     def of(self, text: str | None) -> np.ndarray | None:
         """Hits per language and the number of n-grams; None without letters."""
-        words = _WORDS(text.lower()) if text else []
+        words = _words(text.lower()) if text else []
         if not words:
             return None
         row = self.row
@@ -145,7 +152,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words.setdefault(lang, Counter()).update(_WORDS((text.as_py() or "").lower()))
+            words.setdefault(lang, Counter()).update(_words((text.as_py() or "").lower()))
         if sum(map(len, words.values())) >= 300_000:
             yield from flush()
     yield from flush()

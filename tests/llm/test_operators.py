@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on nulls, empty tables, ties, repeats and clashing names."""
 
+import time
 import pickle
 import re
 import zlib
@@ -594,3 +595,19 @@ def test_toxicity(spark, odd):
     assert {round(r.s, 3) for r in toxicity.with_score(docs, one, "s").collect()} == {0.018}
     none = toxicity.fit(docs.limit(0), known.limit(0))
     assert toxicity.with_score(docs.limit(0), none, "s").count() == 0
+
+
+def test_language_words_are_runs_of_letters_found_without_the_slow_class():
+    from courtside.llm import language
+    rng = np.random.default_rng(9)
+    odd = "aZ é½Ⅷ²٣_9-\u0301\U0001d7d9中ª\U00010107"
+    for _ in range(300):
+        text = "".join(odd[i] for i in rng.integers(0, len(odd), 40))
+        assert language._words(text) == language._WORDS(text)
+    plain = "some words of prose, again and again " * 20_000
+    start = time.perf_counter()
+    language._words(plain)
+    fast = time.perf_counter() - start
+    start = time.perf_counter()
+    language._WORDS(plain)
+    assert fast * 3 < time.perf_counter() - start
