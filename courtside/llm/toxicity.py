@@ -96,18 +96,20 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, ridge: float = 1.0, step
     size, n = 1 << BITS, len(rows)
     if not n or label.min() == label.max():
         return Model(np.zeros(size), 4.0 if n and label[0] == 1 else -4.0)
-    found = np.concatenate(rows).astype(np.int64)
-    index, doc = found >> 32, np.repeat(np.arange(n), [len(r) for r in rows])
     with_, without = label.sum(), n - label.sum()
-    pos, neg = np.bincount(index, label[doc], size), np.bincount(index, 1 - label[doc], size)
+    counts = np.zeros((2, size))  # by label; a text has a feature once
+    for r, y in zip(rows, label):
+        counts[int(y), r >> 32] += 1
+    neg, pos = counts
     share = (pos + neg) / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / with_ + 1 / without))
     ratio = np.log((pos + 1) / (with_ + 2)) - np.log((neg + 1) / (without + 2))
     ratio[np.abs(pos / with_ - neg / without) < LEAST_Z * error] = 0
-    on = ratio[index] != 0
-    value = (ratio[index] * np.log2(1 + (found & _WORDS)))[on]
-    kept, index = np.unique(index[on], return_inverse=True)
-    doc = doc[on]
+    telling = [r[ratio[r >> 32] != 0] for r in rows]  # few of all, so only these are held as numbers
+    found = np.concatenate(telling)
+    doc = np.repeat(np.arange(n), [len(r) for r in telling])
+    value = ratio[found >> 32] * np.log2(1 + (found & _WORDS))
+    kept, index = np.unique(found >> 32, return_inverse=True)
     ridge /= n
     step = 1 / (0.25 * float((value ** 2).sum()) / n + 0.25 + ridge)
     w, b = np.zeros(len(kept)), 0.0

@@ -611,3 +611,16 @@ def test_language_words_are_runs_of_letters_found_without_the_slow_class():
     start = time.perf_counter()
     language._WORDS(plain)
     assert fast * 3 < time.perf_counter() - start
+
+
+def test_toxicity_fit_holds_little_more_than_its_rows():
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    label = (np.arange(600) % 3 == 0).astype(float)
+    rows = [np.unique(np.r_[rng.integers(0, 1 << toxicity.BITS, 3000), np.arange(40) + 100 * int(y)]).astype(np.int64) << 32 | 1 for y in label]
+    tracemalloc.start()
+    model = toxicity.fit_rows(rows, label, steps=50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(r.nbytes for r in rows)
+    assert model.score(rows[0]) > 0.5 > model.score(rows[1])
