@@ -16,7 +16,7 @@ from courtside.operators.state import team_state
 from courtside.plans.predict import fixture_features
 from courtside.plans.sample import aliases, base_matches, competitions, matches
 from courtside.schemas import COMPETITION, MATCH, columns
-from courtside.session import scratch_path, small_table
+from courtside.session import cut, scratch_path, small_table
 from courtside.sources.csv_matches import read_csv_matches
 from courtside.sources.files import read_aliases, read_competitions, read_table, write_matches, write_report
 from courtside.sources.landing import accepted_sets, discarded, read_landing, set_rows, usable
@@ -41,10 +41,16 @@ trr as (select *, case when gender is null then 'unknown tournament gender' when
   when tb='' then 'missing team name' when day is null then 'missing or unreadable date' when sets_a is null then 'missing or non-numeric set count' end reason from tr)"""
 
 
+PART_ROWS = 100_000
+
+
 def _land(spark, sf):
-    """Write the sample as landed JSON lines; one file part holds at most 100 000 matches."""
+    """Write the sample as landed JSON lines. A tournament has as many parts, by ranges of seq, as its matches need at some 100 000
+    a part; their names sort in the order of seq."""
     path = scratch_path(spark, "landing")
-    m = matches(spark, sf)
+    m = cut(matches(spark, sf))
+    most = m.groupBy("tournament_no").agg(F.count("*").alias("n"), F.max("seq").alias("last")).agg(F.max("n").alias("n"), F.max("last").alias("last")).first()
+    parts = max(1, -(-(most["n"] or 0) // PART_ROWS))
     points = {}
     for n in range(1, 6):
         won, lost = ("15" if n == 5 else "25"), f"CAST(6 + (seq + {n}) % 8 AS string)"
@@ -53,7 +59,7 @@ def _land(spark, sf):
         points[f"PointsTeamASet{n}"] = F.expr(
             f"CASE {bad} WHEN NOT {played} THEN '0' WHEN {a_wins} THEN '{won}' ELSE {lost} END")
         points[f"PointsTeamBSet{n}"] = F.expr(f"CASE WHEN NOT {played} THEN '' WHEN {a_wins} THEN {lost} ELSE '{won}' END")
-    part = F.floor(F.col("seq") / 100_000).alias("part")
+    part = F.lpad(F.expr(f"seq * {parts}L div {(most['last'] or 0) + 1}L").cast("string"), 9, "0").alias("part")
     body = m.select("tournament_no", part, (F.col("seq") + 1).alias("ord"), F.to_json(F.struct(
         F.lit("match").alias("_type"), F.concat(F.lit("o"), "seq").alias("No"),
         F.col("no_in_tournament").cast("string").alias("NoInTournament"),

@@ -1,3 +1,4 @@
+import os
 import json
 
 import pytest
@@ -150,3 +151,21 @@ def test_streaming_resumes_and_drops_repeats(spark, tmp_path):
     assert spark.read.parquet(f"{out}/judged").filter(F.col("reason").isNotNull()).count() == 1
     plan = _earlier(spark, f"{out}/judged", _SEEN, 1, "bucket", [3, 7])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_landed_parts_are_read_in_the_order_of_their_matches(spark, tmp_path, monkeypatch):
+    """Keys into the millions, and files of two matches."""
+    from courtside.checks import files
+    sample = "/root/testdata/sf0.001"
+    if not os.path.isdir(sample):
+        pytest.skip("sample tables not present")
+    for t in ("customer", "nation", "region"):
+        os.symlink(f"{sample}/{t}.parquet", tmp_path / f"{t}.parquet")
+    orders = spark.read.parquet(f"{sample}/orders.parquet")
+    orders.withColumn("o_orderkey", F.col("o_orderkey") * 1001).write.parquet(f"{tmp_path}/orders.parquet")
+    for rows in (100_000, 2):
+        monkeypatch.setattr(files, "PART_ROWS", rows, raising=False)
+        got = read_landing(spark, files._land(spark, str(tmp_path))).select("tournament_no", "seq", "source_match_id").collect()
+        assert len(got) == 1500
+        placed = sorted((r.tournament_no, r.seq, int(r.source_match_id[1:])) for r in got)
+        assert [(t, k) for t, _, k in placed] == sorted((t, k) for t, _, k in placed)
