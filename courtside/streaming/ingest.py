@@ -58,7 +58,7 @@ def merge_batch(batch: DataFrame, batch_id: int, out: str, source: str, aliases:
     kept = _earlier(spark, f"{out}/matches", _KEPT, batch_id, "month", _touched(valid, "month")).select(
         "gender", "date", F.least("team_a", "team_b").alias("lo"), F.greatest("team_a", "team_b").alias("hi"))
     new = first_per_meeting(valid).join(kept, ["gender", "date", "lo", "hi"], "left_anti")
-    new.drop("lo", "hi", "reason").write.mode("overwrite").partitionBy("month").parquet(f"{out}/matches/batch={batch_id}")
+    new.drop("lo", "hi", "reason").hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{out}/matches/batch={batch_id}")
     forget(judged)
     forget(raw)
 

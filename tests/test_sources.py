@@ -169,3 +169,22 @@ def test_landed_parts_are_read_in_the_order_of_their_matches(spark, tmp_path, mo
         assert len(got) == 1500
         placed = sorted((r.tournament_no, r.seq, int(r.source_match_id[1:])) for r in got)
         assert [(t, k) for t, _, k in placed] == sorted((t, k) for t, _, k in placed)
+
+
+def test_a_batch_writes_each_month_once(spark, tmp_path):
+    landing, out = tmp_path / "in", f"{tmp_path}/out"
+    landing.mkdir()
+    aliases = spark.createDataFrame([(c, "landing", n, i) for i, (c, n) in enumerate(
+        [("USA", "USA"), ("BRA", "Brazil")])], "canonical_team_id string, source string, source_name string, ord bigint")
+    days = [f"2025-0{m}-{d:02}T18:00:00" for m in (5, 6) for d in range(1, 25)]
+    _land(landing, "1", "World Cup", "men", [_match(str(i), stamp=s) for i, s in enumerate(days)])
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # as if the batch were large
+    try:
+        ingest_available(spark, str(landing), out, aliases, competition_table(spark))
+    finally:
+        spark.conf.set(setting, before)
+    for month in ("202505", "202506"):
+        assert len(list((tmp_path / "out" / "matches" / "batch=0" / f"month={month}").glob("*.parquet"))) == 1
+    assert stored_matches(spark, out).count() == 48
