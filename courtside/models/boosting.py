@@ -262,11 +262,12 @@ class _Rows:
         forget(self.frame)
         self.frame, self.done = fresh, len(me.value)
 
-    def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int) -> np.ndarray:
-        """Sums [3, model, output, node, feature, bin] for the next level of the tree being grown."""
+    def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int, usable: np.ndarray) -> np.ndarray:
+        """Sums [3, model, output, node, feature, bin] for the next level of the tree being grown; those of features that no model may use are 0."""
         if level == 0 and len(me.value) - self.done >= REFRESH:
             self.refresh(me)
         d, tree, columns, outputs = self.done, len(me.value), len(me.columns), self.outputs
+        wanted = np.flatnonzero(usable.any(axis=0))
         # sent with each pass: only the trees since the scores were written
         recent = Boosted(me.objective, me.columns, [], me.start, me.feature[d:], me.bound[d:], me.value[d:])
 
@@ -278,7 +279,7 @@ class _Rows:
             by_feature = np.ascontiguousarray(part["x"].T)
             for k in range(outputs):
                 node = _walk(part["x"], part["model"], feature[:, k], bound[:, k], level)
-                _add(total.reshape(shape)[:, :, k], by_feature, part["model"] * 2 ** level + node, slope[:, k], bend[:, k])
+                _add(total.reshape(shape)[:, :, k], by_feature, part["model"] * 2 ** level + node, slope[:, k], bend[:, k], wanted)
 
         shape = (3, self.models, outputs, 2 ** level, columns, bins)
         return self.summed(int(np.prod(shape)), work).reshape(shape)
@@ -337,8 +338,8 @@ class _Held:
                 node += 1
                 node += right
 
-    def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int) -> np.ndarray:
-        part = self.part
+    def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int, usable: np.ndarray) -> np.ndarray:
+        part, wanted = self.part, np.flatnonzero(usable.any(axis=0))
         if level == 0:
             if me.value:
                 last = me.value[-1][0]
@@ -354,7 +355,21 @@ class _Held:
             self._down(feature[0], bound[0])
         total = np.zeros((3, 1, self.outputs, 2 ** level, len(me.columns), bins))
         for k in range(self.outputs):
-            _add(total[:, :, k], self.drawn, self.node[k].take(self.chosen) - (2 ** level - 1), self.slope[k], self.bend[k])
+            node = self.node[k].take(self.chosen) - (2 ** level - 1)
+            if level == 0:
+                _add(total[:, :, k], self.drawn, node, self.slope[k], self.bend[k], wanted)
+                continue
+            # of two siblings the smaller one is added up, the other is what remains of the parent
+            sizes = np.bincount(node, minlength=2 ** level).reshape(-1, 2)
+            less = np.zeros(sizes.shape, bool)
+            less[np.arange(len(sizes)), sizes.argmin(axis=1)] = True
+            mine = np.flatnonzero(less.ravel().take(node))
+            _add(total[:, :, k], self.drawn, node.take(mine), self.slope[k].take(mine), self.bend[k].take(mine), wanted, mine)
+            pairs = total[:, 0, k].reshape(3, len(sizes), 2, len(me.columns), bins)
+            rest = self.total[:, 0, k] - pairs.sum(axis=2)
+            rest[:2, rest[2] == 0] = 0.0     # no rows, no sums
+            pairs[:] = np.where(less[None, :, :, None, None], pairs, rest[:, :, None])
+        self.total = total
         return total
 
 
@@ -367,8 +382,11 @@ def _weighted_slopes(objective: str, part: dict) -> tuple[np.ndarray, np.ndarray
     return slope * part["weight"][:, None], bend * part["weight"][:, None]
 
 
-def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray, bend: np.ndarray) -> None:
-    """Adds gradients, second derivatives and rows to total[3, model, node, feature, bin], for bins x[feature, row] and each row's model and node."""
+def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray, bend: np.ndarray, wanted: np.ndarray,
+         rows: np.ndarray | None = None) -> None:
+    """Adds gradients, second derivatives and rows to total[3, model, node, feature, bin], for bins x[feature, row] and each row's model and node.
+
+    Of the features only the ``wanted`` ones, and of the columns of x only ``rows`` (all without it)."""
     _, models, nodes, columns, bins = total.shape
     width = models * nodes * bins
     sums = np.zeros((3, columns, width))
@@ -377,8 +395,8 @@ def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray,
     for at in range(0, len(node), step):
         first = node[at:at + step] * bins
         g, h = slope[at:at + step], bend[at:at + step]
-        for f in range(columns):
-            place = first + x[f, at:at + step]
+        for f in wanted:
+            place = first + (x[f, at:at + step] if rows is None else x[f].take(rows[at:at + step]))
             sums[0, f] += np.bincount(place, g, width)
             if not flat:
                 sums[1, f] += np.bincount(place, h, width)
@@ -464,16 +482,17 @@ def _grow(me: Boosted, rows: _Rows | _Held, s: Settings, may: np.ndarray, bins:
         usable[rng.permutation(n)[:max(1, int(np.ceil(n * s.column_share)))]] = True
         # a model none of whose columns were drawn uses all of its own
         usable = np.where((may & usable).any(axis=1, keepdims=True), may & usable, may)
+        some = usable.argmax(axis=1)   # a column whose sums every model has
         feature = np.zeros((models, outputs, inner), np.int64)
         bound = np.full((models, outputs, inner), 255, np.int64)
         for level in range(s.depth):
             nodes = 2 ** level
-            sums = rows.level(me, feature, bound, level, s, bins)
+            sums = rows.level(me, feature, bound, level, s, bins, usable)
             gain = np.where(usable[:, None, None, :, None], _gains(sums, s.penalty, s.least_rows), -np.inf)
             flat = gain.reshape(models, outputs, nodes, -1)
             most = flat.max(axis=-1)
             # of splits that are equally good but for rounding, the first; sums are rounded by their own size, not the gain's
-            whole = sums[:2, ..., 0, :].sum(axis=-1)
+            whole = np.stack([sums[:2, m, :, :, f].sum(axis=-1) for m, f in enumerate(some)], axis=1)
             blur = 1e-9 * np.abs(most) + 1e-12 * whole[0] ** 2 / (whole[1] + s.penalty + 1e-300)
             best = (flat >= np.where(np.isfinite(most), most - blur, most)[..., None]).argmax(axis=-1)
             split = most > 1e-12
@@ -483,7 +502,7 @@ def _grow(me: Boosted, rows: _Rows | _Held, s: Settings, may: np.ndarray, bins:
             np.add.at(me.gain, (np.argwhere(split)[:, 0], (best // bins)[split]), most[split])
         # the last level's sums give the leaves
         left = np.take_along_axis(np.cumsum(sums[:2], axis=-1).reshape(2, models, outputs, nodes, -1),
-                                  np.where(split, best, bins - 1)[None, ..., None], -1)[..., 0]
+                                  np.where(split, best, (some * bins + bins - 1)[:, None, None])[None, ..., None], -1)[..., 0]
         leaves = np.stack([left, whole - left], axis=-1).reshape(2, models, outputs, 2 * nodes)
         me.feature.append(feature)
         me.bound.append(bound)
@@ -580,7 +599,7 @@ def first_gains(rows: DataFrame, columns: list[str], y: Column, key: Column, tra
     forget(written)
     me = Boosted(objective, list(columns), edges, _start(table, models, outputs, objective))
     none = np.zeros((models, outputs, 1), np.int64)
-    sums = table.level(me, none, none, 0, settings, bins)[:, :, :, 0]
+    sums = table.level(me, none, none, 0, settings, bins, np.ones((models, len(columns)), bool))[:, :, :, 0]
     gain = np.where(sums[2] > 0, _gains(sums, settings.penalty, settings.least_rows), -np.inf)
     out = [(int(m), int(k), columns[f], float(edges[f][b - 1]), float(gain[m, k, f, b]))
            for m, k, f, b in np.argwhere(np.isfinite(gain)) if 1 <= b <= len(edges[f])]

@@ -52,6 +52,36 @@ def test_passes_and_whole_models_agree(table, monkeypatch, objective, outputs):
     assert not got[0].start[2].any() and not got[1].gain[2].any()
 
 
+def test_a_level_adds_up_the_smaller_siblings_on_open_columns(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, bins, s = 5000, 16, Settings(rounds=3, depth=3, rate=0.5)
+    part = {"x": rng.integers(0, bins, (n, 4)).astype(np.uint8), "key": np.arange(n), "weight": rng.random(n) + 0.5, "model": np.zeros(n, np.int64),
+            "score": np.zeros((n, 1))}
+    part["y"] = (part["x"][:, 0] + part["x"][:, 2] + rng.normal(0, 3, n) > 15).astype(float)
+    may = np.array([[True, False, True, True]])
+    added, levels = [], []
+    plain, level = boosting._add, boosting._Held.level
+    monkeypatch.setattr(boosting, "_add", lambda total, x, node, *rest: (added.append(len(node)), plain(total, x, node, *rest))[1])
+
+    def held(self, me, feature, bound, depth, *rest):
+        sums = level(self, me, feature, bound, depth, *rest)
+        node = self.node[0] - (2 ** depth - 1)
+        for at in range(2 ** depth):  # every row of the node, whichever sibling was added up
+            for f in (0, 2, 3):
+                mine = part["x"][node == at, f]
+                for got, w in zip(sums[:, 0, 0, at, f], (self.slope[0], self.bend[0], np.ones(n))):
+                    assert np.allclose(got, np.bincount(mine, w[node == at], bins), atol=1e-9)
+        assert not sums[:, :, :, :, 1].any()
+        levels.append(depth)
+        return sums
+
+    monkeypatch.setattr(boosting._Held, "level", held)
+    me = Boosted("logistic", list("abcd"), [], np.zeros((1, 1)))
+    boosting._grow(me, boosting._Held(part, 1), s, may, bins)
+    assert levels == [0, 1, 2] * 3 and me.gain[0, 0] > 0 and not me.gain[0, 1]
+    assert all(k == n for k, d in zip(added, levels) if d == 0) and all(k <= n / 2 for k, d in zip(added, levels) if d)
+
+
 def test_columns_closed_to_a_model_and_round_trip(spark, table, tmp_path):
     allowed = np.array([[True, True, True], [False, True, False]])
     model = fit_boosted(table, ["a", "b", "c"], F.col("y"), F.col("seq"), trained_by(F.array(F.lit(0), F.lit(1))), 2, "squared",
