@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside.operators.tally import added, in_order
 from courtside.session import cut, forget
 
 BINS = 64              # a missing value has the first one
 REFRESH = 8            # trees after which the scores are written anew
 TASK_ROWS = 20_000     # (row, model) pairs for which a task of its own pays
-DIRECT = 16            # tasks whose sums go straight to the driver
 WHOLE = 1_000_000      # rows of a model that one task may hold (some 200 MB)
 STEP = 1 << 14         # rows whose places stay in a processor's cache
 
@@ -89,12 +89,6 @@ def bin_edges(rows: DataFrame, columns: list[str], bins: int = BINS) -> list[np.
     return [cuts[i] if i in cuts else np.array(sorted(set(values[i]))[:-1]) for i in range(len(columns))]
 
 
-def _in_order(v: np.ndarray) -> np.ndarray:
-    """Whole numbers in the order of the values."""
-    bits = (v + 0.0).view(np.int64)
-    return bits ^ ((bits >> 63) & np.int64(2 ** 63 - 1))
-
-
 def _quantiles(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarray]:
     """``bins`` - 2 quantiles of each column: a pass counts values by their first 16 bits, a second one those of the cells with a
     wanted rank by up to 10 more. An edge is the upper end of its cell."""
@@ -106,9 +100,9 @@ def _quantiles(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarra
             for batch in batches:
                 for i, column in enumerate(batch.columns):
                     v = np.asarray(column.to_numpy(zero_copy_only=False), float)
-                    total[i] += np.bincount(cell(i, _in_order(v[~np.isnan(v)])), minlength=width)
+                    total[i] += np.bincount(cell(i, in_order(v[~np.isnan(v)])), minlength=width)
             yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
-        return _added(each, run, len(columns) * width).reshape(len(columns), width)
+        return added(each, run, len(columns) * width).reshape(len(columns), width)
 
     def at(counts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells that hold the ranks (from 1), and the ranks within them."""
@@ -148,23 +142,6 @@ def _quantiles(rows: DataFrame, columns: list[str], bins: int) -> list[np.ndarra
     return out
 
 
-def _added(frame: DataFrame, tally: Callable, width: int, tasks: int | None = None) -> np.ndarray:
-    """The sum of the arrays that ``tally`` gives for each task: in groups first if there are many."""
-    parts = frame.mapInArrow(tally, "v binary")
-    if (frame.rdd.getNumPartitions() if tasks is None else tasks) > DIRECT:
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(width)
-            for batch in batches:
-                for raw in batch.column(0).to_pylist():
-                    total += np.frombuffer(raw)
-            yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
-        parts = parts.repartition(DIRECT).mapInArrow(add, "v binary")
-    total = np.zeros(width)
-    for r in parts.collect():
-        total += np.frombuffer(r.v)
-    return total
-
-
 def _bin_type(edges: list[np.ndarray]) -> type:
     return np.uint8 if max(map(len, edges), default=0) < 255 else np.uint16
 
@@ -286,7 +263,7 @@ class _Rows:
 
     def summed(self, width: int, work: Callable[[np.ndarray, dict], None]) -> np.ndarray:
         """``work(total, batch)`` over all batches of (row, model) pairs, added up over tasks: in groups first if there are many."""
-        return _added(self.frame, _tally(width, work, self.outputs, self.kind), width, self.tasks)
+        return added(self.frame, _tally(width, work, self.outputs, self.kind), width, self.tasks)
 
 
 def _pairs(batch: pa.RecordBatch, outputs: int, kind: type = np.uint8) -> dict:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtside.functions.scores import combine_scores, decisiveness, logit, margin_training_frame, orient, score_rows
+from courtside.operators import evaluation
 from courtside.operators.context import add_tournament_progress
 from courtside.operators.evaluation import (
     calibration_table, exact_medians, leak_violations, summarize, summarize_across_folds, summarize_regression,
@@ -83,6 +84,18 @@ def test_exact_medians(spark, bins):
     assert got["c"] is None
 
 
+def test_medians_take_six_passes_at_any_spread(spark, monkeypatch):
+    """Values from 1e-300 to 1e300, signed zeros and infinities: the range of a column does not decide how often it is read."""
+    rng = random.Random(4)
+    rows = [(rng.choice((-1, 1)) * 10.0 ** rng.uniform(-300, 300), rng.choice((0.0, -0.0, math.inf, -math.inf)), 7.5, math.nan) for _ in range(500)]
+    passes, plain = [], evaluation._cell_counts
+    monkeypatch.setattr(evaluation, "_cell_counts", lambda *a: (passes.append(1), plain(*a))[1])
+    df = spark.createDataFrame(rows, "a double, `b.b` double, c double, d double").repartition(30)
+    got = exact_medians(df, ["a", "b.b", "c", "d"])
+    a, b = (sorted(r[i] for r in rows) for i in (0, 1))
+    assert got == {"a": (a[249] + a[250]) / 2, "b.b": (b[249] + b[250]) / 2, "c": 7.5, "d": None} and len(passes) == 6
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1.0, None, 5.0), (None, None, 5.0), (3.0, None, 5.0)], "a double, b double, c double")
     prep = fit_preparation(df, ["a", "b", "c"])
