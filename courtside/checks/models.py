@@ -178,8 +178,9 @@ def l6(spark, sf):
 @check("l7_margin_trees", MATCHES, "select gender, count(*) n, true sums_to_one, true better from matches group by gender")
 def l7(spark, sf):
     """Chances of the winner's margin add up to one; their log loss is below that of equal shares, to which class weights lead without features."""
-    frame = margin_training_frame(_features(spark, sf), FEATURE_COLUMNS)
-    models = MarginTrees().fit_pools(_features(spark, sf), FEATURE_COLUMNS, list(GENDERS))
+    features = _features(spark, sf)
+    frame = margin_training_frame(features, FEATURE_COLUMNS)
+    models = MarginTrees().fit_pools(features, FEATURE_COLUMNS, list(GENDERS))
     scored = reduce(DataFrame.unionByName, [m.transform(frame.filter(F.col("gender") == g), "a") for g, m in models.items()])
     total = sum((F.col(f"`a_{m}`") for m in MARGINS[1:]), F.col(f"`a_{MARGINS[0]}`"))
     hit = F.coalesce(*[F.when(F.col("margin_class") == m, F.col(f"`a_{m}`")) for m in MARGINS])

@@ -28,6 +28,8 @@ REFRESH = 8            # trees after which the scores are written anew
 TASK_ROWS = 20_000     # (row, model) pairs for which a task of its own pays
 WHOLE = 1_000_000      # rows of a model that one task may hold (some 200 MB)
 STEP = 1 << 14         # rows whose places stay in a processor's cache
+JOINT = 1 << 12        # joint bins of features that are added up at once
+FEW = 200              # rows of a model in a batch from which whole columns are compared rather than each row led down
 
 
 @dataclass(frozen=True)
@@ -166,6 +168,29 @@ def _walk(x: np.ndarray, model: np.ndarray, feature: np.ndarray, bound: np.ndarr
     return node - (2 ** depth - 1)
 
 
+def _leaf(x: np.ndarray, feature: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Number of the leaf that one tree leads each row to, for bins x[feature, row]: every node compares its whole column."""
+    depth = (len(feature) + 1).bit_length() - 1
+    out = np.zeros(x.shape[1], np.uint8 if depth <= 8 else np.int64)
+    bounds = bound.astype(x.dtype)
+    for first in range(0, x.shape[1], STEP):
+        part = x[:, first:first + STEP]
+        leaf = out[first:first + STEP]
+        masks = [np.ones(len(leaf), bool)]
+        for level in range(depth):
+            below, goes = [], np.zeros(len(leaf), bool)
+            for at, mask in enumerate(masks, 2 ** level - 1):
+                right = part[feature[at]] > bounds[at]
+                right &= mask
+                goes |= right
+                if level < depth - 1:
+                    below += [mask > right, right]
+            leaf *= 2
+            leaf += goes
+            masks = below
+    return out
+
+
 @dataclass
 class Boosted:
     """Fitted models over the same columns. Trees are arrays [tree, model, output, node] in heap order."""
@@ -181,10 +206,21 @@ class Boosted:
 
     def raw(self, x: np.ndarray, model: np.ndarray, first: int = 0, score: np.ndarray | None = None) -> np.ndarray:
         score = self.start[model].copy() if score is None else score.copy()
-        for feature, bound, value in zip(self.feature[first:], self.bound[first:], self.value[first:]):
-            depth = (feature.shape[2] + 1).bit_length() - 1
-            for k in range(score.shape[1]):
-                score[:, k] += value[model, k, _walk(x, model, feature[:, k], bound[:, k], depth)]
+        trees = list(zip(self.feature[first:], self.bound[first:], self.value[first:]))
+        numbers, group = np.unique(model, return_inverse=True)
+        if len(model) < FEW * len(numbers):
+            for feature, bound, value in trees:
+                depth = (feature.shape[2] + 1).bit_length() - 1
+                for k in range(score.shape[1]):
+                    score[:, k] += value[model, k, _walk(x, model, feature[:, k], bound[:, k], depth)]
+            return score
+        for i, m in enumerate(numbers):
+            rows = np.flatnonzero(group == i)
+            mine, own = np.ascontiguousarray(x[rows].T), np.ascontiguousarray(score[rows].T)
+            for feature, bound, value in trees:
+                for k in range(len(own)):
+                    own[k] += value[m, k].take(_leaf(mine, feature[m, k], bound[m, k]))
+            score[rows] = own.T
         return score
 
     def transform(self, df: DataFrame, out: str, model: Column | int = 0) -> DataFrame:
@@ -299,53 +335,78 @@ class _Held:
 
     def __init__(self, part: dict, outputs: int):
         self.part, self.outputs = part, outputs
+        part["score"] = np.asfortranarray(part["score"])
         self.x = np.ascontiguousarray(part["x"].T)
-        self.node = np.zeros((outputs, len(part["y"])), np.int64)
-
-    def _down(self, feature: np.ndarray, bound: np.ndarray) -> None:
-        """All rows go on to the next level."""
-        rows = self.x.shape[1]
-        flat = self.x.ravel()
+        self.sizes = self.x.max(axis=1, initial=0).astype(np.int64) + 1
+        self.joint: dict[bytes, list] = {}
+
+    def _packs(self, wanted: np.ndarray) -> list[tuple[list[int], tuple[int, ...], np.ndarray]]:
+        """Groups of the wanted features, their bins, and the joint bin of each row: few joint bins beside the rows are added up at once."""
+        found = self.joint.get(wanted.tobytes())
+        if found is not None:
+            return found
+        most = min(JOINT, self.x.shape[1] // 32)
+        groups: list[list[int]] = []
+        for f in sorted(wanted.tolist(), key=lambda f: -self.sizes[f]):
+            room = [g for g in groups if self.sizes[g].prod() * self.sizes[f] <= most]
+            if room:
+                max(room, key=lambda g: self.sizes[g].prod()).append(f)
+            else:
+                groups.append([f])
+        packs = []
+        for group in groups:
+            code = self.x[group[0]].astype(np.uint16)
+            for f in group[1:]:
+                code *= np.uint16(self.sizes[f])
+                code += self.x[f]
+            packs.append((group, tuple(self.sizes[group].tolist()), code))
+        self.joint = {wanted.tobytes(): packs}   # the last columns drawn; the same ones for every tree if it may use all
+        return packs
+
+    def _down(self, feature: np.ndarray, bound: np.ndarray, level: int) -> None:
+        """All rows go on from this level to the next one; every node compares its whole column."""
+        bound = bound.astype(self.x.dtype)
         for k in range(self.outputs):
-            first, most = feature[k] * rows, bound[k]
-            for at in range(0, rows, STEP):
-                node = self.node[k, at:at + STEP]
-                right = flat.take(first.take(node) + np.arange(at, at + len(node))) > most.take(node)
-                node *= 2
-                node += 1
-                node += right
+            node, goes = self.node[k], np.zeros(self.x.shape[1], bool)
+            for at in range(2 ** level - 1, 2 ** (level + 1) - 1):
+                right = self.x[feature[k, at]] > bound[k, at]
+                right &= node == at
+                goes |= right
+            node *= 2
+            node += 1
+            node += goes
 
     def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int, usable: np.ndarray) -> np.ndarray:
         part, wanted = self.part, np.flatnonzero(usable.any(axis=0))
+        packs = self._packs(wanted)
         if level == 0:
             if me.value:
                 last = me.value[-1][0]
-                self._down(me.feature[-1][0], me.bound[-1][0])
+                self._down(me.feature[-1][0], me.bound[-1][0], s.depth - 1)
                 for k in range(self.outputs):
                     part["score"][:, k] += last[k].take(self.node[k] - (last.shape[1] - 1))
-            self.node[:] = 0
-            self.chosen = np.flatnonzero(_drawn(part["key"], len(me.value), s))
-            self.drawn = self.x if len(self.chosen) == self.x.shape[1] else self.x.take(self.chosen, axis=1)
-            slope, bend = _weighted_slopes(me.objective, {c: part[c][self.chosen] for c in ("score", "y", "weight")})
+            self.node = np.zeros((self.outputs, self.x.shape[1]), np.uint8 if s.depth < 8 else np.int64)
+            self.chosen = _drawn(part["key"], len(me.value), s)
+            slope, bend = _weighted_slopes(me.objective, part)
             self.slope, self.bend = np.ascontiguousarray(slope.T), np.ascontiguousarray(bend.T)
         else:
-            self._down(feature[0], bound[0])
+            self._down(feature[0], bound[0], level - 1)
         total = np.zeros((3, 1, self.outputs, 2 ** level, len(me.columns), bins))
         for k in range(self.outputs):
-            node = self.node[k].take(self.chosen) - (2 ** level - 1)
-            if level == 0:
-                _add(total[:, :, k], self.drawn, node, self.slope[k], self.bend[k], wanted)
-                continue
+            mine = [self.chosen if level == 0 else (self.node[k] == at) & self.chosen for at in range(2 ** level - 1, 2 ** (level + 1) - 1)]
+            sizes = np.array([np.count_nonzero(m) for m in mine])
             # of two siblings the smaller one is added up, the other is what remains of the parent
-            sizes = np.bincount(node, minlength=2 ** level).reshape(-1, 2)
-            less = np.zeros(sizes.shape, bool)
-            less[np.arange(len(sizes)), sizes.argmin(axis=1)] = True
-            mine = np.flatnonzero(less.ravel().take(node))
-            _add(total[:, :, k], self.drawn, node.take(mine), self.slope[k].take(mine), self.bend[k].take(mine), wanted, mine)
-            pairs = total[:, 0, k].reshape(3, len(sizes), 2, len(me.columns), bins)
-            rest = self.total[:, 0, k] - pairs.sum(axis=2)
-            rest[:2, rest[2] == 0] = 0.0     # no rows, no sums
-            pairs[:] = np.where(less[None, :, :, None, None], pairs, rest[:, :, None])
+            less = np.ones(1, bool) if level == 0 else np.zeros(len(mine), bool)
+            if level:
+                less[2 * np.arange(len(mine) // 2) + sizes.reshape(-1, 2).argmin(axis=1)] = True
+            rows = np.concatenate([np.flatnonzero(mine[i]) for i in np.flatnonzero(less)])
+            node = np.repeat(np.flatnonzero(less), sizes[less])
+            _add(total[:, :, k], self.x, node, self.slope[k], self.bend[k], wanted, rows, packs)
+            if level:
+                pairs, less = total[:, 0, k].reshape(3, -1, 2, len(me.columns), bins), less.reshape(-1, 2)
+                rest = self.total[:, 0, k] - pairs.sum(axis=2)
+                rest[:2, rest[2] == 0] = 0.0     # no rows, no sums
+                pairs[:] = np.where(less[None, :, :, None, None], pairs, rest[:, :, None])
         self.total = total
         return total
 
@@ -360,20 +421,26 @@ def _weighted_slopes(objective: str, part: dict) -> tuple[np.ndarray, np.ndarray
 
 
 def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray, bend: np.ndarray, wanted: np.ndarray,
-         rows: np.ndarray | None = None) -> None:
+         rows: np.ndarray | None = None, packs: list | None = None) -> None:
     """Adds gradients, second derivatives and rows to total[3, model, node, feature, bin], for bins x[feature, row] and each row's model and node.
 
-    Of the features only the ``wanted`` ones, and of the columns of x only ``rows`` (all without it)."""
+    Of the features only the ``wanted`` ones. With ``packs`` only ``rows``, one model's, whose nodes (in ascending order) ``node`` has.
+    """
+    flat = bool((bend == 1.0).all())   # then the second derivatives add up to the rows
+    if packs is not None:
+        ends = np.searchsorted(node, np.arange(total.shape[2] + 1))
+        for at in np.flatnonzero(np.diff(ends)):
+            _add_joint(total[:, 0, at], packs, rows[ends[at]:ends[at + 1]], slope, bend, flat)
+        return
     _, models, nodes, columns, bins = total.shape
     width = models * nodes * bins
     sums = np.zeros((3, columns, width))
     step = max(STEP, 4 * width)
-    flat = bool((bend == 1.0).all())   # then the second derivatives add up to the rows
     for at in range(0, len(node), step):
         first = node[at:at + step] * bins
         g, h = slope[at:at + step], bend[at:at + step]
         for f in wanted:
-            place = first + (x[f, at:at + step] if rows is None else x[f].take(rows[at:at + step]))
+            place = first + x[f, at:at + step]
             sums[0, f] += np.bincount(place, g, width)
             if not flat:
                 sums[1, f] += np.bincount(place, h, width)
@@ -383,6 +450,27 @@ def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray,
     total += sums.reshape(3, columns, models, nodes, bins).transpose(0, 2, 3, 1, 4)
 
 
+def _add_joint(total: np.ndarray, packs: list, rows: np.ndarray, slope: np.ndarray, bend: np.ndarray, flat: bool) -> None:
+    """The same for one node, total[3, feature, bin]: features are added up by their joint bins, whose sums give each feature's own."""
+    tables = [np.zeros((3, int(np.prod(sizes)))) for _, sizes, _ in packs]
+    every = len(rows) == len(slope)
+    for first in range(0, len(rows), 2 * STEP):
+        some = slice(first, first + 2 * STEP) if every else rows[first:first + 2 * STEP]
+        g, h = slope[some], None if flat else bend[some]
+        for (_, _, code), table in zip(packs, tables):
+            place, width = (code[some] if every else code.take(some)).astype(np.intp), table.shape[1]
+            table[0] += np.bincount(place, g, width)
+            if not flat:
+                table[1] += np.bincount(place, h, width)
+            table[2] += np.bincount(place, minlength=width)
+    for (group, sizes, _), table in zip(packs, tables):
+        if flat:
+            table[1] = table[2]
+        joint = table.reshape(3, *sizes)
+        for i, f in enumerate(group):
+            total[:, f, :sizes[i]] += joint.sum(axis=tuple(1 + j for j in range(len(group)) if j != i))
+
+
 def _gains(sums: np.ndarray, penalty: float, least_rows: int) -> np.ndarray:
     """What splitting after each bin saves: [..., feature, bin] from [3, ..., feature, bin]; -inf where a side is too small."""
     left = np.cumsum(sums, axis=-1)

@@ -82,6 +82,50 @@ def test_a_level_adds_up_the_smaller_siblings_on_open_columns(monkeypatch):
     assert all(k == n for k, d in zip(added, levels) if d == 0) and all(k <= n / 2 for k, d in zip(added, levels) if d)
 
 
+def test_features_are_added_up_by_their_joint_bins(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, counted = 40_000, []
+    part = {"x": rng.integers(0, [30, 40, 4, 1], (n, 4)).astype(np.uint8), "y": np.zeros(n), "key": np.arange(n), "weight": rng.random(n) + 0.5,
+            "model": np.zeros(n, np.int64), "score": np.zeros((n, 1))}
+    part["y"] = (part["x"][:, 0] + part["x"][:, 1] + rng.normal(0, 9, n) > 35).astype(float)
+    plain = boosting._add_joint
+    monkeypatch.setattr(boosting, "_add_joint", lambda total, packs, *rest: (counted.append(packs), plain(total, packs, *rest))[1])
+    made = []
+    for joint in (boosting.JOINT, 1):
+        monkeypatch.setattr(boosting, "JOINT", joint)
+        me = Boosted("logistic", list("abcd"), [], np.zeros((1, 1)))
+        boosting._grow(me, boosting._Held({c: v.copy() for c, v in part.items()}, 1), Settings(rounds=3, depth=3, row_share=0.9), np.ones((1, 4), bool), 64)
+        made.append(me)
+    assert sorted(len(p) for p in counted)[0] < 3 and max(len(p) for p in counted) >= 3
+    for name in ("feature", "bound"):
+        assert all(np.array_equal(a, b) for a, b in zip(getattr(made[0], name), getattr(made[1], name)))
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(made[0].value, made[1].value))
+
+
+@pytest.mark.parametrize("few", [1, 10 ** 9])
+def test_scores_are_the_same_by_columns_and_by_rows(monkeypatch, few):
+    monkeypatch.setattr(boosting, "FEW", few)
+    rng = np.random.default_rng(6)
+    n, models, inner = 900, 3, 7
+    x, model = rng.integers(0, 64, (n, 5)).astype(np.uint8), rng.integers(0, models, n)
+    me = Boosted("softmax", list("abcde"), [], rng.normal(size=(models, 2)))
+    for _ in range(4):
+        me.feature.append(rng.integers(0, 5, (models, 2, inner)))
+        me.bound.append(np.where(rng.random((models, 2, inner)) < 0.2, 255, rng.integers(0, 64, (models, 2, inner))))
+        me.value.append(rng.normal(size=(models, 2, inner + 1)))
+    got = me.raw(x, model)
+    for i in range(0, n, 37):
+        for k in range(2):
+            want = me.start[model[i], k]
+            for feature, bound, value in zip(me.feature, me.bound, me.value):
+                node = 0
+                while node < inner:
+                    node = 2 * node + 1 + int(x[i, feature[model[i], k, node]] > bound[model[i], k, node])
+                want += value[model[i], k, node - inner]
+            assert abs(got[i, k] - want) < 1e-12
+    assert me.raw(x[:0], model[:0]).shape == (0, 2)
+
+
 def test_columns_closed_to_a_model_and_round_trip(spark, table, tmp_path):
     allowed = np.array([[True, True, True], [False, True, False]])
     model = fit_boosted(table, ["a", "b", "c"], F.col("y"), F.col("seq"), trained_by(F.array(F.lit(0), F.lit(1))), 2, "squared",
