@@ -537,6 +537,41 @@ def test_gradient_of_overlapping_windows():
         assert abs((loss(up) - loss(down)) / 2e-2 - grad[i]) < 0.05 * abs(grad[i]) + 1e-4, name
 
 
+def test_a_token_in_its_class_depends_on_the_one_before():
+    texts, v = _toy(3)
+    texts += [np.array([70, 71] * 9), np.array([72, 73] * 9)]  # 71 and 73 are as frequent as each other
+    v = attention.Vocabulary.of(np.bincount(np.concatenate(texts), minlength=80).astype(float))
+    v.classes[:], v.inputs[:] = 0, np.arange(80)
+    one = attention.Vocabulary(v.inputs, v.classes, v.pad, *attention._trees(np.bincount(np.concatenate(texts), minlength=80) + 0.05, v.classes))
+    counts = np.zeros(2 * attention.CELLS, np.float32)
+    np.add.at(counts, attention.turns_of(one, *attention.before(texts, 79))[0], 1)
+    def chance(last, token):
+        both = attention.within(one, counts, [np.array([last]), np.array([last, token])], 79)
+        return np.exp(both[1] - both[0])
+    for last in (70, 72, 5, 79):
+        assert abs(sum(chance(last, t) for t in range(80)) - 1) < 1e-4
+    assert chance(70, 71) > 0.5 > 0.1 > chance(70, 73) and chance(72, 73) > 0.5 > 0.1 > chance(72, 71)
+    # brute force: the counts of a token's turns after the one before it
+    pairs = Counter((int(a), int(b)) for t in texts for a, b in zip(np.concatenate([[79], t[:-1]]), t))
+    place, share, n = attention.turns_of(one, np.array([71]), np.array([70]))
+    assert n[0] == len(place) > 0 and counts[place].min() >= pairs[70, 71] and ((0 < share) & (share < 1)).all()
+    alone = attention.Vocabulary.of(np.array([3.0, 1.0]))
+    assert len(alone.turns) == 2 and attention.within(alone, counts * 0, [np.array([0, 1])], 0).shape == (1,)
+
+
+def test_words_give_the_ids_of_the_whole_text():
+    texts = [None, "", "A b  c \x85 d\x1ce", "\u0130x <|endoftext|> y", "\u65e5\u672c\u8a9e text \u00dcn\u00ef \u0391\u03a3", "it's 'S ''ll 12a3 --x", "\u00c9T\u00c9 caf\u00e9", " \n\t ", "a b a"] * 3
+    reader = lm.Reader(lm.Words(np.array([lm.word_hash(b"a")]), np.array([7]), 1, 9, 3), WORD_BPE)
+    whole = [np.frombuffer(i, "<u4").tolist() for i in reader.tokenizer.encode([t or "" for t in texts])]
+    old, lm.Reader.KEEP = lm.Reader.KEEP, 4  # what words give is forgotten in between
+    try:
+        got = [r for at in range(0, len(texts), 5) for r in reader.read(texts[at:at + 5])]
+    finally:
+        lm.Reader.KEEP = old
+    assert [np.frombuffer(r[0], "<u2").tolist() for r in got] == whole
+    assert got[8][1:4] == (4, 3, pytest.approx(np.log10(1.5) + 2 * np.log10(7.5))) and got[8][4].tolist() == [lm.word_hash(b"b")] and got[8][5].tolist() == [1]
+
+
 def test_lm_base_scores(spark, odd):
     learns = F.col("doc_id").isNotNull() & (F.col("doc_id") != 5)
     got = lm.scored(odd, learns, WORD_BPE).collect()
