@@ -5,34 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.operators.form import TEAM, WINDOWS, long_form, team_form
+from courtside.operators.form import TEAM, WINDOWS, long_form
 from courtside.operators.h2h import meetings, pair_days
-from courtside.operators.ordering import ROW_BUDGET
+from courtside.operators.ordering import null_safe_join
+from courtside.session import cut
 
 
-def team_state(matches: DataFrame, windows: tuple[int, ...] = WINDOWS, budget: int = ROW_BUDGET,
-               largest: int | None = None) -> DataFrame:
+def team_state(matches: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """gender, team, matches_played, current_streak, last_match_date, recent (oldest first).
 
-    Only the last rows of each team are kept (the limit is applied before the shuffle), and the
-    newest of them tells the counts after it.
+    Rows are counted per team and day. From these counts follow the days that hold a team's last rows, its last win and its last loss, and only
+    rows of those days are looked at one by one.
     """
     depth = max(windows) if windows else 10
-    rows = team_form(long_form(matches), windows or (depth,), budget, largest)
+    rows = long_form(matches)
+    last = {name: F.max(F.when(F.col("won") == won, F.col("seq"))).alias(name) for name, won in (("win", 1), ("loss", 0))}
+    days = cut(rows.groupBy(*TEAM, "date").agg(F.count("*").alias("_n"), *last.values()))
+    newer = Window.partitionBy(*TEAM).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_later", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    # of its days with a win (a loss), the newest has the last one
+    marked = days.withColumns({f"_{name}_day": F.col(name).isNotNull() & F.max(name).over(newer).isNull() for name in last})
+    wanted = cut(marked.where((F.col("_later") < max(depth, 2)) | F.col("_win_day") | F.col("_loss_day")).drop("_n"))
+    played = days.groupBy(*TEAM).agg(F.sum("_n").alias("matches_played"), F.max("date").alias("last_match_date"))
+    near = null_safe_join(rows, wanted, [*TEAM, "date"])
+
+    def since(name: str):
+        """Rows after the last win or loss (null without one)."""
+        on = F.col(f"_{name}_day")
+        return F.max(F.when(on, F.col("_later"))) + F.sum(F.when(on & (F.col("seq") > F.col(name)), 1).otherwise(0))
+
+    counts = near.groupBy(*TEAM).agg(since("win").alias("_since_win"), since("loss").alias("_since_loss"))
     newest_first = Window.partitionBy(*TEAM).orderBy(F.desc("date"), F.desc("seq"))
-    last = rows.withColumn("_back", F.row_number().over(newest_first)).filter(F.col("_back") <= depth)
-    streak, won = F.col("current_streak"), F.col("won") == 1
-    after = (F.when(won, F.greatest(streak, F.lit(0)) + 1).otherwise(F.least(streak, F.lit(0)) - 1))
-    when = F.struct("date", "seq")
-    result = F.struct("date", "seq", won.alias("won"), "sets_for", "sets_against")
-    return last.groupBy(*TEAM).agg(
-        F.max_by(F.col("matches_played") + 1, when).alias("matches_played"),
-        F.max_by(after, when).cast("bigint").alias("current_streak"),
-        F.max("date").alias("last_match_date"),
-        F.transform(F.array_sort(F.collect_list(result)), lambda r: F.struct(
+    ends = near.where(F.col("_later") < max(depth, 2)).withColumn("_back", F.row_number().over(newest_first)).where(F.col("_back") <= max(depth, 2))
+    result = F.struct("date", "seq", (F.col("won") == 1).alias("won"), "sets_for", "sets_against")
+    ends = ends.groupBy(*TEAM).agg(F.array_sort(F.collect_list(result)).alias("_ends"))
+    both = null_safe_join(null_safe_join(played, counts, TEAM), ends, TEAM)
+    won, before = F.element_at("_ends", -1)["won"], F.get("_ends", F.size("_ends") - 2)["won"]
+    streak = (F.when(won, F.when(before, F.coalesce("_since_loss", "matches_played")).otherwise(1))
+              .otherwise(F.when(~before, -F.coalesce("_since_win", "matches_played")).otherwise(-1)))
+    recent = F.when(F.size("_ends") > depth, F.slice("_ends", -depth, depth)).otherwise(F.col("_ends"))
+    return cut(both.select(  # a row a team, read by every side of a fixture
+        *TEAM, "matches_played", streak.cast("bigint").alias("current_streak"), "last_match_date",
+        F.transform(recent, lambda r: F.struct(
             r["date"].alias("date"), r["won"].alias("won"), r["sets_for"].alias("sets_for"),
             r["sets_against"].alias("sets_against"))).alias("recent"),
-    )
+    ))
 
 
 def pair_meetings(matches: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def with_state(fixtures: DataFrame, ratings: DataFrame, states: DataFrame, days:
             f"{side}_days_since_last": F.datediff("date", "_last").cast("bigint"),
             **rolling,
         }).drop("_mp", "_st", "_last", "_recent", "_elo")
-    out = out.withColumn("lo", F.least("team_a", "team_b")).withColumn("hi", F.greatest("team_a", "team_b"))
-    out = out.join(record_before(out, days), [*PAIR, "date"], "left")
+    pair = {"lo": F.least("team_a", "team_b"), "hi": F.greatest("team_a", "team_b")}
+    out = out.withColumns(pair).join(record_before(fixtures.withColumns(pair), days), [*PAIR, "date"], "left")
     a_wins = F.when(F.col("team_a") == F.col("lo"), F.col("lo_wins")).otherwise(F.col("met") - F.col("lo_wins"))
     return (
         out.withColumn("h2h_matches_played", F.coalesce("met", F.lit(0)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from courtside.operators.elo import EloConfig, elo_history, last_ratings
+from courtside.operators.elo import EloConfig, elo_history, final_ratings
 from courtside.operators.form import WINDOWS
 from courtside.operators.ordering import null_safe_join
 from courtside.operators.state import team_state
@@ -25,8 +25,7 @@ _TEAM = ["gender", "team"]
 def advance(before: DataFrame, rows: DataFrame, windows: tuple[int, ...] = WINDOWS, elo: EloConfig = EloConfig()) -> DataFrame:
     """The state after ``rows`` from the state ``before`` them, all of whose matches lie on earlier days."""
     ratings = before.select(*_TEAM, F.col("elo").alias("rating"), F.unix_date("last_match_date").alias("day"))
-    rated = rows.join(elo_history(rows, elo, start=ratings).select("seq", "elo_a_post", "elo_b_post"), "seq")
-    new = null_safe_join(team_state(rows, windows), last_ratings(rated), _TEAM)
+    new = null_safe_join(team_state(rows, windows), final_ratings(rows, elo_history(rows, elo, start=ratings)), _TEAM)
     old = before.select(*_TEAM, *[F.col(c).alias(f"_{c}") for c in ("matches_played", "current_streak", "last_match_date", "recent", "elo")])
     keys = new.select(*_TEAM).unionByName(old.select(*_TEAM)).distinct()
     both = null_safe_join(null_safe_join(keys, new, _TEAM, "left"), old, _TEAM, "left")

@@ -1,5 +1,6 @@
 """Models fitted together, stacking, training windows, drift, connected groups and rating blocks against brute force."""
 
+from collections import defaultdict
 from datetime import date, timedelta
 
 import numpy as np
@@ -12,7 +13,7 @@ from courtside.models.ensemble import simplex_weights, stacked_predictions, stac
 from courtside.models.isotonic import Isotonic
 from courtside.models.linear import bradley_terry_by_fold, fit_logistic, logistic_chance, pair_counts, team_strengths
 from courtside.operators.drift import drift, merge_sketches, period_sketches
-from courtside.operators.elo import block_levels, block_runs, elo_history, final_ratings
+from courtside.operators.elo import _in_blocks, block_levels, block_runs, elo_history, final_ratings
 from courtside.operators.folds import assign_folds, fold_weights, train_rows
 from courtside.operators.form import long_form
 from courtside.operators.graph import connected_groups
@@ -353,3 +354,46 @@ def test_state_kept_up_by_batches(spark, crowded, tmp_path):
         ratings = {(r.gender, r.team): r.elo for r in final_ratings(upto, elo_history(upto)).collect()}
         assert {k: {c: v for c, v in x.items() if c != "elo"} for k, x in got.items()} == want
         assert {k: x["elo"] for k, x in got.items()} == pytest.approx(ratings, abs=1e-9)
+
+
+def test_team_state_of_odd_rows(spark):
+    """Missing winners and days, days with many rows, teams with one row or without a win; against one team's rows in order."""
+    rows = []
+    for i in range(160):
+        a, b = f"t{i % 7}", f"t{(i + 1 + i // 7 % 6) % 7}"
+        winner = None if i % 13 == 5 else "team_a" if (i * 7) % 5 < 3 else "team_b"
+        rows.append((i, None if i % 31 == 3 else date(2020, 1, 1 + i // 40), "men" if i % 3 else None, a, b, 3, i % 3, winner))
+    rows += [(900, date(2020, 2, 1), "men", "once", "t1", 3, 0, "team_a")] + [(901 + i, date(2020, 2, 2), "men", "t0", "never", 3, 0, "team_a") for i in range(20)]
+    df = spark.createDataFrame(rows, "seq bigint, date date, gender string, team_a string, team_b string, sets_a int, sets_b int, winner string")
+    sides = defaultdict(list)
+    for seq, day, gender, a, b, sa, sb, winner in rows:
+        for team, mine, other, side in ((a, sa, sb, "team_a"), (b, sb, sa, "team_b")):
+            sides[gender, team].append((day or date.min, seq, None if winner is None else winner == side, mine, other))
+    for windows in ((5, 10), (1,), ()):
+        got = {(r.gender, r.team): r for r in team_state(df, windows).collect()}
+        assert got.keys() == sides.keys()
+        for key, mine in sides.items():
+            mine = sorted(mine, key=lambda r: r[:2])
+            streak, place, last = 0, 0, {True: 0, False: 0}
+            for _, _, won, _, _ in mine:
+                after = max(streak, 0) + 1 if won else min(streak, 0) - 1
+                place += 1
+                last[won] = place
+                streak = 0 if won is None else place - last[False] if won else last[True] - place
+            r = got[key]
+            assert (r.matches_played, r.current_streak) == (len(mine), after), key
+            assert r.last_match_date == max((x[0] for x in mine if x[0] > date.min), default=None)
+            depth = max(windows) if windows else 10
+            assert [(x.won, x.sets_for, x.sets_against) for x in r.recent] == [x[2:] for x in mine[-depth:]]
+
+
+def test_elo_blocks_are_found_without_sorting_matches(spark):
+    rows = [(i, date(2020, 1, 1) + timedelta(i // 30), "men", f"t{i % 5}", f"t{5 + i % 3}", 3, i % 3, "team_a") for i in range(600)]
+    df = spark.createDataFrame(rows, "seq bigint, date date, gender string, team_a string, team_b string, sets_a int, sets_b int, winner string")
+    placed = df.withColumn("part", F.lit("p"))
+    for size in (7, 50):  # days over the size, and not
+        blocks = _in_blocks(placed, size).groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("date", "seq")).alias("low"), F.max(F.struct("date", "seq")).alias("high")).orderBy("block").collect()
+        assert sum(b.n for b in blocks) == 600 and max(b.n for b in blocks) <= 2 * size and [b.block for b in blocks] == list(range(len(blocks)))
+        assert all(x.high < y.low for x, y in zip(blocks, blocks[1:]))
+    plan = _in_blocks(placed, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
