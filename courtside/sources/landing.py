@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from courtside.functions.dates import local_date
 from courtside.functions.text import canonical_competition, gender_of
 from courtside.schemas import columns
+from courtside.session import cut
 from courtside.sources.files import number_lines
 
 _SET_FIELDS = [f"PointsTeam{side}Set{n}" for n in range(1, 6) for side in "AB"]
@@ -58,7 +59,8 @@ def with_headers(lines: DataFrame) -> DataFrame:
     ranges = placed.groupBy("file", "_range").agg(own.alias("_own"))
     before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     last = F.when(F.size("_own") > 0, F.element_at("_own", -1))
-    ranges = ranges.withColumn("_carried", F.last(last, ignorenulls=True).over(before))
+    # a row for every range: its size is known once it is written, and the lines themselves are then not moved
+    ranges = cut(ranges.withColumn("_carried", F.last(last, ignorenulls=True).over(before)))
     above = F.filter("_own", lambda h: h["from"] < F.col("line"))
     found = F.when(F.size(above) > 0, F.element_at(above, -1)).otherwise(F.col("_carried"))
     return (placed.where(~is_header).join(ranges, ["file", "_range"]).withColumn("_header", found).select(
@@ -112,9 +114,11 @@ def set_rows(translated: DataFrame) -> DataFrame:
     """Long set table of the usable rows; repeated match lines give each set once."""
     rows = translated.filter("discard_reason IS NULL").select(
         F.concat_ws(":", "source", "source_match_id").alias("match_id"), "seq", F.inline("sets"))
-    first = F.min_by(F.struct("team_a_points", "team_b_points"), "seq")
-    return rows.groupBy("match_id", "set_number").agg(first.alias("p")).select(
-        "match_id", "set_number", "p.team_a_points", "p.team_b_points")
+    # both points as one number, which is added up by hash; a struct would be sorted
+    both = F.shiftleft(F.col("team_a_points").cast("bigint"), 32) + F.col("team_b_points") + F.lit(1 << 31)
+    low = F.col("p").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)
+    return rows.groupBy("match_id", "set_number").agg(F.min_by(both, "seq").alias("p")).select(
+        "match_id", "set_number", F.shiftright("p", 32).cast("int").alias("team_a_points"), low.cast("int").alias("team_b_points"))
 
 
 def accepted_sets(sets: DataFrame, matches: DataFrame) -> DataFrame:

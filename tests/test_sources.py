@@ -8,7 +8,7 @@ from courtside.schemas import ALL_TABLES, MATCH, columns
 from courtside.sources.csv_matches import read_csv_matches
 from courtside.sources.dimensions import competition_table
 from courtside.sources.files import number_lines, read_aliases, read_competitions, read_table, write_matches
-from courtside.sources.landing import discarded, read_landing, set_rows, usable
+from courtside.sources.landing import discarded, read_landing, set_rows, usable, with_headers
 from courtside.streaming.ingest import _SEEN, _earlier, ingest_available, stored_matches
 
 
@@ -188,3 +188,23 @@ def test_a_batch_writes_each_month_once(spark, tmp_path):
     for month in ("202505", "202506"):
         assert len(list((tmp_path / "out" / "matches" / "batch=0" / f"month={month}").glob("*.parquet"))) == 1
     assert stored_matches(spark, out).count() == 48
+
+
+def test_set_rows_are_hashed_and_keep_signs(spark):
+    rows = [(1, "landing", "x", None, [(1, 25, -3), (2, -(1 << 31), (1 << 31) - 1)]), (0, "landing", "x", None, [(1, -7, 20)]),
+            (2, "landing", "y", "bad", [(1, 1, 1)]), (3, "landing", "y", None, [(1, (1 << 31) - 1, -(1 << 31)), (3, 0, 0)])]
+    df = spark.createDataFrame(rows, "seq bigint, source string, source_match_id string, discard_reason string, sets array<struct<set_number:int,team_a_points:int,team_b_points:int>>")
+    got = set_rows(df)
+    assert {tuple(r) for r in got.collect()} == {("landing:x", 1, -7, 20), ("landing:x", 2, -(1 << 31), (1 << 31) - 1), ("landing:y", 1, (1 << 31) - 1, -(1 << 31)), ("landing:y", 3, 0, 0)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_meet_their_headers_without_being_moved(spark):
+    lines = spark.range(9000).select(
+        F.lit("f").alias("file"), F.col("id").alias("line"), F.when(F.col("id") % 5000 == 10, "tournament").otherwise("match").alias("_type"),
+        F.col("id").cast("string").alias("No"), F.lit("n").alias("Name"), F.lit("W").alias("Gender"))
+    got = with_headers(lines)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = {i: None if i < 10 else "10" if i < 5010 else "5010" for i in range(9000) if i % 5000 != 10}
+    assert {r.line: r.tournament_no for r in got.select("line", "tournament_no").collect()} == want
