@@ -4,29 +4,40 @@ Features are put into bins once and written beside the target, a row key and the
 level of a tree is one pass: every task adds up gradients by (model, node, feature, bin) over its rows and these sums meet on
 the executors; the driver picks splits from that table, whose size does not depend on the rows. All
 pools, folds and feature sets share the pass. A row's scores follow from the trees, so no state is kept between passes; every
-``REFRESH`` trees the scores reached so far are written with the rows. Models that are all small (``whole`` rows at most) are grown by the
-same steps inside one task each, all at the same time; the trees are the same up to the order of sums.
+``REFRESH`` trees the scores reached so far are written with the rows.
+
+That takes a job for every level, so it is the last resort. Models that are all small (``whole`` rows at most) are grown by the same steps inside one
+task each, all at the same time. For larger ones the rows are dealt once to the tasks of a barrier stage: each keeps its rows, their places
+and scores, and after every level the tasks add up their sums through files of the shared folder; all of them pick the same splits. The
+trees are the same up to the order of sums.
 """
 
 from __future__ import annotations
 
 import io
+import os
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtside.operators.tally import added, in_order
-from courtside.session import cut, forget
+from courtside.session import cut, forget, local_path, remove, scratch_path, shared_dir, slots
 
 BINS = 64              # a missing value has the first one
 REFRESH = 8            # trees after which the scores are written anew
 TASK_ROWS = 20_000     # (row, model) pairs for which a task of its own pays
-WHOLE = 1_000_000      # rows of a model that one task may hold (some 200 MB)
+WHOLE = 250_000        # rows of a model from which several tasks share them
+TEAM = 64              # tasks that grow models together
+HELD = 200 << 20       # bytes of rows and scores in a task's memory
+BLOCK = 1 << 18        # rows of a block
 STEP = 1 << 14         # rows whose places stay in a processor's cache
 JOINT = 1 << 12        # joint bins of features that are added up at once
 FEW = 200              # rows of a model in a batch from which whole columns are compared rather than each row led down
@@ -330,22 +341,50 @@ def _tally(width: int, work: Callable[[np.ndarray, dict], None], outputs: int, k
     return run
 
 
-class _Held:
-    """One model's rows in memory, with the same interface. Every row keeps its place in the tree being grown."""
+class _Arrays:
+    """Named arrays of a block: in memory or, given a folder, in its files."""
+
+    def __init__(self, folder: str | None = None):
+        self.folder, self.held = folder and tempfile.mkdtemp(dir=folder), {}
+
+    def __setitem__(self, name: str, a: np.ndarray) -> None:
+        if self.folder is None:
+            self.held[name] = a
+            return
+        np.ascontiguousarray(a).tofile(f"{self.folder}/{name}")
+        self.held[name] = (a.dtype, a.shape)
 
-    def __init__(self, part: dict, outputs: int):
-        self.part, self.outputs = part, outputs
-        part["score"] = np.asfortranarray(part["score"])
-        self.x = np.ascontiguousarray(part["x"].T)
-        self.sizes = self.x.max(axis=1, initial=0).astype(np.int64) + 1
-        self.joint: dict[bytes, list] = {}
+    def __getitem__(self, name: str) -> np.ndarray:
+        if self.folder is None:
+            return self.held[name]
+        kind, shape = self.held[name]
+        return np.fromfile(f"{self.folder}/{name}", kind).reshape(shape)
 
-    def _packs(self, wanted: np.ndarray) -> list[tuple[list[int], tuple[int, ...], np.ndarray]]:
+
+class _Block:
+    """Rows that train the same models: bins by feature, targets, keys and, where they are not all 1, weights [model, row]."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, key: np.ndarray, weight: np.ndarray | None, folder: str | None = None):
+        self.folder, self.rows, self.arrays = folder, len(y), _Arrays(folder)
+        self.sizes = x.max(axis=1, initial=0).astype(np.int64) + 1
+        for name, a in (("x", x), ("y", y), ("key", key), ("weight", weight)):
+            if a is not None:
+                self.arrays[name] = a
+        self.joint: dict[bytes, tuple] = {}
+
+    def packs(self, x: np.ndarray, wanted: np.ndarray, tree: int) -> list[tuple[list[int], tuple[int, ...], np.ndarray]]:
         """Groups of the wanted features, their bins, and the joint bin of each row: few joint bins beside the rows are added up at once."""
-        found = self.joint.get(wanted.tobytes())
-        if found is not None:
-            return found
-        most = min(JOINT, self.x.shape[1] // 32)
+        name = wanted.tobytes()
+        found = self.joint.get(name)
+        if found is None:
+            # only what this tree's models may use; the same columns for every tree if it may use all
+            self.joint = {n: kept for n, kept in self.joint.items() if kept[0] == tree and self.folder is None}
+            found = (tree, self._packs(x, wanted))
+        self.joint[name] = (tree, found[1])
+        return found[1]
+
+    def _packs(self, x: np.ndarray, wanted: np.ndarray) -> list[tuple[list[int], tuple[int, ...], np.ndarray]]:
+        most = min(JOINT, self.rows // 32)
         groups: list[list[int]] = []
         for f in sorted(wanted.tolist(), key=lambda f: -self.sizes[f]):
             room = [g for g in groups if self.sizes[g].prod() * self.sizes[f] <= most]
@@ -355,53 +394,76 @@ class _Held:
                 groups.append([f])
         packs = []
         for group in groups:
-            code = self.x[group[0]].astype(np.uint16)
+            code = x[group[0]].astype(np.uint16)
             for f in group[1:]:
                 code *= np.uint16(self.sizes[f])
-                code += self.x[f]
+                code += x[f]
             packs.append((group, tuple(self.sizes[group].tolist()), code))
-        self.joint = {wanted.tobytes(): packs}   # the last columns drawn; the same ones for every tree if it may use all
         return packs
 
-    def _down(self, feature: np.ndarray, bound: np.ndarray, level: int) -> None:
+
+class _Held:
+    """One model's share of a block, with the same interface. Every row keeps its place in the tree being grown."""
+
+    def __init__(self, part: dict, outputs: int, block: _Block | None = None, place: int = 0, number: int = 0):
+        """``part`` are rows of one model; or its score at the start, beside a block in which it is the model at ``place``. ``number`` tells it among the models grown together."""
+        self.outputs, self.number, self.place = outputs, number, place
+        if block is None:
+            block = _Block(np.ascontiguousarray(part["x"].T), part["y"], part["key"], part["weight"][None])
+            score = part["score"].T
+        else:
+            score = np.repeat(part["score"][:, None], block.rows, axis=1)
+        self.block, self.own = block, _Arrays(block.folder)
+        self.own["score"] = np.array(score, float)
+
+    node, slope, bend, chosen = (property(lambda self, name=name: self.own[name]) for name in ("node", "slope", "bend", "chosen"))
+
+    def _down(self, x: np.ndarray, node: np.ndarray, feature: np.ndarray, bound: np.ndarray, level: int) -> None:
         """All rows go on from this level to the next one; every node compares its whole column."""
-        bound = bound.astype(self.x.dtype)
+        bound = bound.astype(x.dtype)
         for k in range(self.outputs):
-            node, goes = self.node[k], np.zeros(self.x.shape[1], bool)
+            goes = np.zeros(x.shape[1], bool)
             for at in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                right = self.x[feature[k, at]] > bound[k, at]
-                right &= node == at
+                right = x[feature[k, at]] > bound[k, at]
+                right &= node[k] == at
                 goes |= right
-            node *= 2
-            node += 1
-            node += goes
+            node[k] *= 2
+            node[k] += 1
+            node[k] += goes
 
     def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int, usable: np.ndarray) -> np.ndarray:
-        part, wanted = self.part, np.flatnonzero(usable.any(axis=0))
-        packs = self._packs(wanted)
+        number, own, block = self.number, self.own, self.block
+        x, wanted = block.arrays["x"], np.flatnonzero(usable[number])
+        packs = block.packs(x, wanted, len(me.value))
         if level == 0:
+            score = own["score"]
             if me.value:
-                last = me.value[-1][0]
-                self._down(me.feature[-1][0], me.bound[-1][0], s.depth - 1)
+                last, node = me.value[-1][number], own["node"]
+                self._down(x, node, me.feature[-1][number], me.bound[-1][number], s.depth - 1)
                 for k in range(self.outputs):
-                    part["score"][:, k] += last[k].take(self.node[k] - (last.shape[1] - 1))
-            self.node = np.zeros((self.outputs, self.x.shape[1]), np.uint8 if s.depth < 8 else np.int64)
-            self.chosen = _drawn(part["key"], len(me.value), s)
-            slope, bend = _weighted_slopes(me.objective, part)
-            self.slope, self.bend = np.ascontiguousarray(slope.T), np.ascontiguousarray(bend.T)
+                    score[k] += last[k].take(node[k] - (last.shape[1] - 1))
+                own["score"] = score
+            node = np.zeros((self.outputs, x.shape[1]), np.uint8 if s.depth < 8 else np.int64)
+            chosen = _drawn(block.arrays["key"], len(me.value), s)
+            weight = block.arrays["weight"][self.place] if "weight" in block.arrays.held else None
+            slope, bend = _weighted_slopes(me.objective, {"score": score.T, "y": block.arrays["y"], "weight": weight})
+            slope, bend = np.ascontiguousarray(slope.T), np.ascontiguousarray(bend.T)
+            own["chosen"], own["slope"], own["bend"] = chosen, slope, bend
         else:
-            self._down(feature[0], bound[0], level - 1)
+            node, chosen, slope, bend = own["node"], own["chosen"], own["slope"], own["bend"]
+            self._down(x, node, feature[number], bound[number], level - 1)
+        own["node"] = node
         total = np.zeros((3, 1, self.outputs, 2 ** level, len(me.columns), bins))
         for k in range(self.outputs):
-            mine = [self.chosen if level == 0 else (self.node[k] == at) & self.chosen for at in range(2 ** level - 1, 2 ** (level + 1) - 1)]
+            mine = [chosen if level == 0 else (node[k] == at) & chosen for at in range(2 ** level - 1, 2 ** (level + 1) - 1)]
             sizes = np.array([np.count_nonzero(m) for m in mine])
             # of two siblings the smaller one is added up, the other is what remains of the parent
             less = np.ones(1, bool) if level == 0 else np.zeros(len(mine), bool)
             if level:
                 less[2 * np.arange(len(mine) // 2) + sizes.reshape(-1, 2).argmin(axis=1)] = True
             rows = np.concatenate([np.flatnonzero(mine[i]) for i in np.flatnonzero(less)])
-            node = np.repeat(np.flatnonzero(less), sizes[less])
-            _add(total[:, :, k], self.x, node, self.slope[k], self.bend[k], wanted, rows, packs)
+            at = np.repeat(np.flatnonzero(less), sizes[less])
+            _add(total[:, :, k], x, at, slope[k], bend[k], wanted, rows, packs)
             if level:
                 pairs, less = total[:, 0, k].reshape(3, -1, 2, len(me.columns), bins), less.reshape(-1, 2)
                 rest = self.total[:, 0, k] - pairs.sum(axis=2)
@@ -411,13 +473,51 @@ class _Held:
         return total
 
 
+class _Share:
+    """The blocks of several models in one task, with the same interface; ``met`` adds up what all tasks with such blocks give."""
+
+    def __init__(self, helds: list[_Held], models: int, outputs: int, met: Callable[[np.ndarray], np.ndarray]):
+        self.helds, self.models, self.outputs, self.met = helds, models, outputs, met
+
+    def level(self, me: Boosted, feature: np.ndarray, bound: np.ndarray, level: int, s: Settings, bins: int, usable: np.ndarray) -> np.ndarray:
+        total = np.zeros((3, self.models, self.outputs, 2 ** level, len(me.columns), bins))
+        for held in self.helds:
+            total[:, held.number:held.number + 1] += held.level(me, feature, bound, level, s, bins, usable)
+        return self.met(total)
+
+
+class _Meeting:
+    """Sums of arrays over the tasks of a barrier stage, through files of a folder that all of them reach. Every task gets the same sums."""
+
+    def __init__(self, folder: str, mine: int, tasks: int):
+        self.folder, self.mine, self.tasks, self.step = folder, mine, tasks, 0
+        os.makedirs(folder, exist_ok=True)
+
+    def __call__(self, a: np.ndarray) -> np.ndarray:
+        self.step += 1
+        name = f"{self.folder}/{self.step}-{self.mine}"
+        np.ascontiguousarray(a).tofile(name + "-")
+        os.replace(name + "-", name)
+        total = np.zeros_like(a)
+        for task in range(self.tasks):
+            wait, path = 2e-4, f"{self.folder}/{self.step}-{task}"
+            while task != self.mine and not os.path.exists(path):
+                time.sleep(wait)     # a task that ends by an error ends the whole stage
+                wait = min(2 * wait, 0.01)
+            total += a if task == self.mine else np.fromfile(path).reshape(a.shape)
+        if self.step > 1:            # all tasks have written this step, so they have read the one before
+            os.remove(f"{self.folder}/{self.step - 1}-{self.mine}")
+        return total
+
+
 def _drawn(key: np.ndarray, tree: int, s: Settings) -> np.ndarray:
     return np.ones(len(key), bool) if s.row_share >= 1 else _mixed(key, s.seed * 100_003 + tree) < s.row_share
 
 
 def _weighted_slopes(objective: str, part: dict) -> tuple[np.ndarray, np.ndarray]:
     slope, bend = _slopes(objective, part["score"], part["y"])
-    return slope * part["weight"][:, None], bend * part["weight"][:, None]
+    weight = part["weight"]
+    return (slope, bend) if weight is None else (slope * weight[:, None], bend * weight[:, None])
 
 
 def _add(total: np.ndarray, x: np.ndarray, node: np.ndarray, slope: np.ndarray, bend: np.ndarray, wanted: np.ndarray,
@@ -514,17 +614,23 @@ def fit_boosted(rows: DataFrame, columns: list[str], y: Column, key: Column, tra
     """Fit ``models`` models at once on the rows that ``trains`` gives to each.
 
     ``key`` tells rows apart when a tree uses a share of them. ``allowed`` [model, column] leaves columns to some models only. A model without
-    rows predicts zero scores. Missing and NaN values lie below all others; rows with a null target are left out.
+    rows predicts zero scores. Missing and NaN values lie below all others; rows with a null target are left out. Models of at most ``whole`` rows
+    are grown in a task each; with larger ones the rows are dealt to tasks that grow all models together, or (with a ``whole`` of 0, or
+    where tasks can't meet) every level is a job over all rows.
     """
     written = _written(rows, columns, y, key, trains)
     edges = bin_edges(written, columns, bins)
     frame = cut(prepare(written, columns, edges))
     forget(written)
-    sizes = frame.select(F.explode("trains.m").alias("m")).groupBy("m").count().collect()  # a row a model
+    sizes = {r["m"]: r["count"] for r in frame.select(F.explode("trains.m").alias("m")).groupBy("m").count().collect()}  # a row a model
     may = np.ones((models, len(columns)), bool) if allowed is None else allowed
-    if max((r["count"] for r in sizes), default=0) <= whole:
-        return _fit_whole(frame, columns, edges, models, objective, outputs, settings, may, bins)
-    tasks = -(-sum(r["count"] for r in sizes) // TASK_ROWS)
+    most, pairs = max(sizes.values(), default=0), sum(sizes.values())
+    if most <= whole:
+        return _fit_held(frame, columns, edges, models, objective, outputs, settings, may, bins, sizes, 0)
+    tasks = min(TEAM, slots(frame.sparkSession), -(-pairs // TASK_ROWS))
+    if whole and tasks > 1 and local_path(frame.sparkSession, shared_dir(frame.sparkSession)):
+        return _fit_held(frame, columns, edges, models, objective, outputs, settings, may, bins, sizes, tasks)
+    tasks = -(-pairs // TASK_ROWS)
     if tasks < frame.rdd.getNumPartitions():
         small = cut(frame.coalesce(tasks))
         forget(frame)
@@ -574,24 +680,62 @@ def _grow(me: Boosted, rows: _Rows | _Held, s: Settings, may: np.ndarray, bins:
         me.value.append(-s.rate * leaves[0] / (leaves[1] + s.penalty + 1e-300))
 
 
-def _fit_whole(frame: DataFrame, columns: list[str], edges: list[np.ndarray], models: int, objective: str, outputs: int, s: Settings,
-               may: np.ndarray, bins: int) -> Boosted:
-    """Every model in a task of its own; the trees come back as bytes, a row a model."""
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "y", "w"], kind="stable")  # sums do not depend on how rows arrived
-        x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(len(pdf), -1)
-        part = {"x": x, "y": pdf["y"].to_numpy(), "key": pdf["key"].to_numpy(), "weight": pdf["w"].to_numpy(),
-                "model": np.zeros(len(pdf), np.int64), "score": None}
-        total = np.zeros(outputs + 1)
-        _count(total.reshape(1, -1), part, objective)
-        me = Boosted(objective, columns, [], _from_counts(total.reshape(1, -1), objective))
-        part["score"] = np.repeat(me.start, len(pdf), axis=0)
-        _grow(me, _Held(part, outputs), s, may[int(key[0])][None], bins)
-        parts = [me.start, me.gain, np.array(me.feature), np.array(me.bound), np.array(me.value)]
-        return pd.DataFrame({"m": [key[0]], **{f"a{i}": [np.ascontiguousarray(p).tobytes()] for i, p in enumerate(parts)}})
-
-    pairs = frame.select("x", "y", "key", F.inline("trains"))
-    got = pairs.groupBy("m").applyInPandas(one, "m int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary").collect()
+def _fit_held(frame: DataFrame, columns: list[str], edges: list[np.ndarray], models: int, objective: str, outputs: int, s: Settings,
+              may: np.ndarray, bins: int, sizes: dict[int, int], tasks: int) -> Boosted:
+    """Every model in a task of its own (``tasks`` 0), or all of them by that many tasks with a share of the rows each; the trees come back as bytes, a row a model.
+
+    A task holds up to ``HELD`` bytes: of many models it grows some after the others, and beyond that its arrays are files.
+    """
+    # largest first
+    order = sorted(sizes, key=lambda m: (-sizes[m], m))
+    row, pair = len(columns) + 30, outputs * 25 + 8   # bytes of a row, and of each model that it trains
+    if tasks:
+        path = scratch_path(frame.sparkSession, "meeting")
+        folder, each = local_path(frame.sparkSession, path), {m: -(-n // tasks) for m, n in sizes.items()}
+        pairs = frame.select("x", "y", "key", "trains.m", "trains.w").repartition(tasks, "key", "y")
+        room = max(HELD - row * -(-frame.count() // tasks), pair * max(each.values()))
+        groups: list[list[int]] = [[]]
+        for m in order:
+            if groups[-1] and (sum(each[o] for o in groups[-1]) + each[m]) * pair > room:
+                groups.append([])
+            groups[-1].append(m)
+        large = room > HELD or row * -(-frame.count() // tasks) + room > 2 * HELD
+    else:
+        folder, groups = None, [[m] for m in order]
+        place = F.element_at(F.create_map(*[F.lit(v) for p in enumerate(order) for v in p[::-1]]), F.col("m")) if order else F.lit(0)
+        pairs = frame.select("x", "y", "key", F.inline("trains")).withColumn("_place", place).repartitionById(max(1, len(order)), "_place")
+        pairs = pairs.select("x", "y", "key", F.array("m").alias("m"), F.array("w").alias("w"))
+        large = (row + pair) * max(sizes.values(), default=0) > HELD
+    pairs = pairs.sortWithinPartitions("key", "y")  # sums do not depend on how rows arrived
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as files:
+            blocks = _blocks(batches, files if large else None)
+            met, mine = (lambda a: a), 0
+            if folder is not None:
+                team = BarrierTaskContext.get()
+                mine = team.partitionId()
+                met = _Meeting(f"{folder}/{team.allGather(uuid.uuid4().hex)[0]}", mine, tasks)   # another one if the stage is run again
+            total = np.zeros((models, outputs + 1))
+            for members, block in blocks:
+                weight = block.arrays["weight"] if "weight" in block.arrays.held else np.ones((len(members), block.rows))
+                for m, w in zip(members, weight):
+                    _count(total[m:m + 1], {"y": block.arrays["y"], "weight": w, "model": np.zeros(block.rows, np.int64)}, objective)
+            start = _from_counts(met(total), objective)
+            here = {m for members, _ in blocks for m in members}
+            for group in groups:
+                if folder is None and not here.intersection(group):
+                    continue
+                me = Boosted(objective, columns, [], start[group])
+                number = {m: i for i, m in enumerate(group)}
+                helds = [_Held({"score": start[m]}, outputs, block, j, number[m]) for members, block in blocks for j, m in enumerate(members) if m in number]
+                _grow(me, _Share(helds, len(group), outputs, met), s, may[group], bins)
+                if mine == 0:
+                    parts = [me.start[:, None], me.gain[:, None], *(np.array(a).swapaxes(0, 1) for a in (me.feature, me.bound, me.value))]
+                    yield pa.RecordBatch.from_pydict({"m": pa.array(group, pa.int32()), **{
+                        f"a{i}": pa.array([np.ascontiguousarray(p[j]).tobytes() for j in range(len(group))], pa.binary()) for i, p in enumerate(parts)}})
+
+    got = pairs.mapInArrow(run, "m int, a0 binary, a1 binary, a2 binary, a3 binary, a4 binary", barrier=tasks > 0).collect()
     me = Boosted(objective, list(columns), edges, np.zeros((models, outputs)), gain=np.zeros((models, len(columns))))
     inner = 2 ** s.depth - 1
     feature = np.zeros((s.rounds, models, outputs, inner), np.int64)
@@ -604,10 +748,47 @@ def _fit_whole(frame: DataFrame, columns: list[str], edges: list[np.ndarray], mo
         bound[:, m] = np.frombuffer(r["a3"], np.int64).reshape(s.rounds, outputs, inner)
         value[:, m] = np.frombuffer(r["a4"]).reshape(s.rounds, outputs, inner + 1)
     me.feature, me.bound, me.value = list(feature), list(bound), list(value)
+    if tasks:
+        remove(frame.sparkSession, path)
     forget(frame)
     return me
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], folder: str | None) -> list[tuple[tuple[int, ...], _Block]]:
+    """The rows of a task by the models that they train, up to ``BLOCK`` in a block."""
+    waiting: dict[tuple[int, ...], list] = {}
+    out = []
+
+    def close(members: tuple[int, ...]) -> None:
+        x, y, key, w = (np.concatenate(p, axis=-1) for p in zip(*waiting.pop(members)))
+        out.append((members, _Block(x, y, key, None if (w == 1).all() else w, folder)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.num_rows
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(n, -1)
+        y, key = batch.column("y").to_numpy(), batch.column("key").fill_null(0).to_numpy()
+        m, w = batch.column("m").flatten().to_numpy(), batch.column("w").flatten().to_numpy()
+        size = np.asarray(batch.column("m").value_lengths()).astype(np.int64)
+        first = np.cumsum(size) - size
+        # rows with the same models, told by the sums of mixed numbers and then by the numbers themselves
+        mark = np.add.reduceat((m + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D), first)
+        _, some, group = np.unique(mark, return_index=True, return_inverse=True)
+        for g, one in enumerate(some):
+            members = tuple(m[first[one]:first[one] + size[one]].tolist())
+            rows = np.flatnonzero(group == g)
+            at = first[rows][None] + np.arange(len(members))[:, None]
+            assert (size[rows] == len(members)).all() and (m[at] == np.array(members)[:, None]).all()
+            held = waiting.setdefault(members, [])
+            held.append((np.ascontiguousarray(x[rows].T), y[rows], key[rows], w[at]))
+            if sum(len(p[1]) for p in held) >= BLOCK:
+                close(members)
+    for members in list(waiting):
+        close(members)
+    return out
+
+
 def _count(sums: np.ndarray, part: dict, objective: str) -> None:
     """Adds weights by class (or the weighted target) and in all, for each model."""
     y, w, m = part["y"], part["weight"], part["model"]

@@ -53,6 +53,26 @@ def test_passes_and_whole_models_agree(table, monkeypatch, objective, outputs):
     assert not got[0].start[2].any() and not got[1].gain[2].any()
 
 
+@pytest.mark.parametrize("objective, outputs", [("logistic", 1), ("softmax", 3)])
+def test_tasks_that_share_the_rows_of_large_models(table, monkeypatch, objective, outputs):
+    """Rows dealt to several tasks, in files and one model after the other, give the trees of one task a model."""
+    ran, held = [], boosting._fit_held
+    monkeypatch.setattr(boosting, "TASK_ROWS", 60)
+    monkeypatch.setattr(boosting, "_fit_held", lambda *args: (ran.append(args[-1]), held(*args))[1])
+    y = F.col("y") if objective != "logistic" else F.least("y", F.lit(1.0))
+    settings = Settings(rounds=3, depth=3, rate=0.3, row_share=0.7, column_share=0.7)
+    got = []
+    for whole, most in ((10, 1 << 30), (10, 1), (10_000, 1)):
+        monkeypatch.setattr(boosting, "HELD", most)
+        got.append(fit_boosted(table, ["a", "b", "c"], y, F.col("seq"), trained_by(F.col("m"), F.col("b") + 1), 3, objective, outputs, settings, whole=whole))
+    assert ran[0] > 1 and ran[1] > 1 and ran[2:] == [0]
+    for other in got[1:]:
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(got[0].value, other.value)) and np.allclose(got[0].gain, other.gain)
+        for name in ("feature", "bound"):
+            assert all(np.array_equal(a, b) for a, b in zip(getattr(got[0], name), getattr(other, name)))
+    assert got[0].gain[:2].any() and not got[0].gain[2].any()
+
+
 def test_a_level_adds_up_the_smaller_siblings_on_open_columns(monkeypatch):
     rng = np.random.default_rng(3)
     n, bins, s = 5000, 16, Settings(rounds=3, depth=3, rate=0.5)
