@@ -12,6 +12,7 @@ table is emptied when it grows past a bound.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +68,18 @@ def _machine() -> tuple[np.ndarray, np.ndarray]:
 def _classes() -> np.ndarray:
     """The class of every code point."""
     import regex
+    from tokenizers import pre_tokenizers
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     kinds = np.full(0x110000, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", BLANK_OTHER)):
         for m in regex.finditer(pattern, every):
             a, b = m.span()
             kinds[ord(every[a]):ord(every[b - 1]) + 1] = kind
+    # characters newer than Python's own tables: the library may know fewer of them than the pattern does
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for code in np.flatnonzero((kinds == LETTER) | (kinds == NUMBER)).tolist():
+        if unicodedata.category(chr(code)) == "Cn":
+            kinds[code] = next((kind for sign, kind in (("a", LETTER), ("1", NUMBER)) if len(split(sign + chr(code))) == 1), OTHER)
     for chars, kind in (("stmd", SHORT), ("r", R), ("e", E), ("v", V), ("l", L), ("'", APOSTROPHE), (" ", BLANK_SPACE)):
         for c in chars:
             kinds[ord(c)] = kind

@@ -190,6 +190,12 @@ def test_token_counts(byte_bpe, parts):
     assert ours.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
+@pytest.mark.parametrize("text", ["\U000323b0's", "a\U000323b0b", "\U000323b0\U000323b0 \U00033479"])
+def test_token_counts_of_characters_that_the_library_does_not_know(byte_bpe, text):
+    ours, library = byte_bpe
+    assert ours.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
 def test_chunk_maps_compose(byte_bpe):
     ours, library = byte_bpe
     texts = ["don't  we'll x" * 900, " " * 5000, "a" * 3000, "", "'" * 1000]
