@@ -28,7 +28,7 @@ from courtside.plans.sample import base_matches, competitions, feature_frame, ma
 from courtside.plans.training import load_bundle, run_metadata, save_bundle, train_all
 from courtside.plans.walkforward import elo_predictor, evaluate
 from courtside.schemas import GENDERS, MARGINS
-from courtside.session import cut, scratch_path
+from courtside.session import cut, forget, scratch_path
 
 # Models are fitted at the full size of their classes. What SQL cannot fit itself is held against what every right fit must satisfy:
 # row counts, first-order conditions, ranges, and being better than a constant.
@@ -348,7 +348,10 @@ def l17(spark, sf):
 
 
 def _simple_predictions(spark, sf):
-    folded = cut(assign_folds(_features(spark, sf)), "gender", "test_fold")
+    features = cut(feature_frame(spark, sf).select("gender", "seq", "date", "winner", "elo_pred_a", "h2h_matches_played", "h2h_win_rate_a",
+                                                   "win_rate_last10_diff"), "gender")
+    folded = cut(assign_folds(features), "gender", "test_fold")
+    forget(features)
     met = F.col("h2h_matches_played")
 
     def given(p):
@@ -359,9 +362,11 @@ def _simple_predictions(spark, sf):
         factory.needs_training = False
         return factory
 
-    return cut(evaluate(folded, {
+    single = cut(evaluate(folded, {
         "elo": elo_predictor, "h2h": given((F.coalesce("h2h_win_rate_a", F.lit(0.0)) * met + 1) / (met + 2)),
         "form": given(F.coalesce(0.5 + F.col("win_rate_last10_diff") / 2, F.lit(0.5)))}))
+    forget(folded)
+    return single
 
 
 @check("l17_stacked_predictions", MATCHES, ELO, ELO_FOLDS, "select gender, test_fold fold, count(*) n, true inside, true good from folds where test_fold is not null group by gender, test_fold",

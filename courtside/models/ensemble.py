@@ -102,8 +102,11 @@ def stacking_weights(predictions: DataFrame, models: list[str]) -> DataFrame:
     sums of products of predictions and outcomes; earlier folds' sums are added up on that table, whose
     rows are solved by themselves. Rows that lack a model's prediction are left out; a fold without earlier rows has equal weights.
     """
+    return _weights(predictions, _side_by_side(predictions, models), models)
+
+
+def _weights(predictions: DataFrame, wide: DataFrame, models: list[str]) -> DataFrame:
     k = len(models)
-    wide = _side_by_side(predictions, models)
     parts = [f"g{i}_{j}" for i in range(k) for j in range(i, k)] + [f"c{i}" for i in range(k)] + ["n"]
     whole = wide.dropna(subset=[f"_p{i}" for i in range(k)] + ["y"])
     sums = whole.groupBy("gender", "fold").agg(
@@ -133,8 +136,9 @@ def _side_by_side(predictions: DataFrame, models: list[str]) -> DataFrame:
 
 def stacked_predictions(predictions: DataFrame, models: list[str], name: str = "stacked") -> DataFrame:
     """gender, seq, fold, y, p, model: each row's predictions weighted by ``stacking_weights``; where some are missing, by the others' weights."""
-    weights = stacking_weights(predictions, models).select("gender", "fold", "weights")
-    rows = null_safe_join(_side_by_side(predictions, models), weights, ["gender", "fold"])
+    wide = cut(_side_by_side(predictions, models))   # read for the weights and for the rows
+    weights = _weights(predictions, wide, models).select("gender", "fold", "weights")
+    rows = null_safe_join(wide, weights, ["gender", "fold"])
     share = [F.when(F.col(f"_p{i}").isNotNull(), F.col("weights")[i]).otherwise(0.0) for i in range(len(models))]
     total = sum(share[1:], share[0])
     value = sum((s * F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i, s in enumerate(share)), F.lit(0.0))

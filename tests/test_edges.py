@@ -1,5 +1,7 @@
 """Rows and settings that the samples do not have."""
 
+import os
+import time
 from datetime import date
 
 import pytest
@@ -87,6 +89,22 @@ def test_year_folds_and_orientation(spark):
     assert tuple(turned) == (-1.0, 0.75, 3.0)
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    """What a written table was shuffled for is removed with the end of the write, not when the driver next clears its memory."""
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+
+    def held():
+        return {name for _, _, names in os.walk(folder) for name in names if name.startswith("shuffle_")}
+
+    before = held()
+    out = cut(spark.range(20_000).groupBy((F.col("id") % 7_000).alias("k")).agg(F.sum("id").alias("s")))
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 7_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_forget_removes_a_written_table(spark):
     kept = cut(spark.range(3))
     path = kept.inputFiles()[0]
